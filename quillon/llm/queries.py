@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, secrets, sharding, tokenbin, wordpiece
+from . import html, pieces, secrets, sharding, tokenbin, wordpiece
 from .common import table
 from pyspark.sql import functions as F
 
@@ -21,6 +21,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, DOC), keep_ids=False)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(table(spark, sf_dir, DOC))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,6 +41,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
     "op5_token_files": op5_token_files,
+    "op6_main_text": op6_main_text,
     "op7_shards": op7_shards,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
