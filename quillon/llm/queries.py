@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, pieces, secrets, sharding, tokenbin, wordpiece
+from . import html, pieces, rules, secrets, sharding, tokenbin, wordpiece
 from .common import table
 from pyspark.sql import functions as F
 
 DOC = "documents"
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality(table(spark, sf_dir, DOC))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, DOC), keep=False)
 
@@ -39,6 +43,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_pieces": op4_pieces,
     "op5_token_files": op5_token_files,
     "op6_main_text": op6_main_text,
