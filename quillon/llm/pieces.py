@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from .common import id_text, map_arrow, texts, tokenizer_path
 
 SPACE = "▁"
 #: Remembered segments per worker, and the longest that is remembered.
-MEMORY, LONGEST = 300_000, 48
+MEMORY, LONGEST = 1_000_000, 48
 BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 #: Types of a piece in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTES = 1, 2, 3, 4, 5, 6
@@ -52,7 +53,9 @@ class PieceModel:
         self.prefix = SPACE if norm.add_dummy_prefix else ""
         self.text_of = [p.piece for p in spec.pieces]
         self.kind = [p.type for p in spec.pieces]
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(spec.pieces) if p.type == NORMAL}
+        self.id_of = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == NORMAL}
+        order = {score: k for k, score in enumerate(sorted({p.score for p in spec.pieces if p.type == NORMAL}, reverse=True))}
+        self.rank = {p.piece: order[p.score] for p in spec.pieces if p.type == NORMAL}
         self.byte_id = {int(BYTE.match(p.piece)[1], 16): i for i, p in enumerate(spec.pieces) if p.type == BYTES}
         self.unk = next(i for i, p in enumerate(spec.pieces) if p.type == UNKNOWN)
         self.end = self.library.eos_id()
@@ -62,34 +65,41 @@ class PieceModel:
         #: "\n" can be cut at if it is in no longer piece.
         self.cuts = "" if any("\n" in p for p in longer) else "\n"
         self.segment = re.compile(f"{SPACE}*[^{SPACE}{self.cuts}]+|{SPACE}+" + "|\n" * bool(self.cuts))
-        self.memory: dict[str, tuple[int, str, str]] = {}
+        #: The decimal ids of remembered segments, and the text of those few whose ids do not spell the segment itself.
+        self.memory: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     # -- one segment -------------------------------------------------------------------------
     def merge(self, chars: str) -> list[int]:
-        """Ids of one segment by the agenda."""
-        rank = self.rank
+        """Ids of one segment by the agenda. An entry is the pair's score rank above the left symbol's place."""
+        rank = self.rank.get
         sym: list[str] = list(chars)
         n = len(sym)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(r[0], i, i + 1, sym[i] + sym[i + 1]) for i in range(n - 1) if (r := rank.get(sym[i] + sym[i + 1]))]
-        heapify(agenda)
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        agenda = [r << bits | i for i, r in enumerate(map(rank, map(add, sym, sym[1:]))) if r is not None]
+        if agenda:
+            left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+            heapify(agenda)
         while agenda:
-            _, i, j, joined = heappop(agenda)
-            if not sym[i] or not sym[j] or right[i] != j or sym[i] + sym[j] != joined:
+            entry = heappop(agenda)
+            i = entry & low
+            a, j = sym[i], right[i]
+            if not a or j >= n or rank(joined := a + sym[j]) != entry >> bits:
                 continue  # one of the two was merged meanwhile
             sym[i], sym[j] = joined, ""
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if r := rank.get(joined + sym[k]):
-                    heappush(agenda, (r[0], i, k, joined + sym[k]))
-            if (h := left[i]) >= 0 and (r := rank.get(sym[h] + joined)):
-                heappush(agenda, (r[0], h, i, sym[h] + joined))
+                if (r := rank(joined + sym[k])) is not None:
+                    heappush(agenda, r << bits | i)
+            if (h := left[i]) >= 0 and (r := rank(sym[h] + joined)) is not None:
+                heappush(agenda, r << bits | h)
         ids: list[int] = []
         for s in sym:
             if s:
-                if r := rank.get(s):
-                    ids.append(r[1])
+                if (at := self.id_of.get(s)) is not None:
+                    ids.append(at)
                 elif self.byte_id:
                     ids += [self.byte_id[b] for b in s.encode()]
                 else:
@@ -128,20 +138,23 @@ class PieceModel:
         first = next((i for i in ids if self.kind[i] != CONTROL), None)
         return text[1:] if self.prefix and first is not None and self.text_of[first].startswith(SPACE) else text
 
-    def learn(self, found: set[str]) -> dict[str, tuple[int, str, str]]:
+    def learn(self, found: set[str]) -> dict[str, str]:
         """Encodes the segments, checks them against the library, and remembers the short ones."""
         order = list(found)
         ids = [self.merge(s) for s in order]
-        # A text's own leading mark is put before it by the library, so that one is left out; others get it, which is checked as well.
-        bare = [s[1:] if self.prefix and s.startswith(self.prefix) else None for s in order]
-        check = [(s, b, i) for s, b, i in zip(order, bare, ids, strict=True) if b]
-        for (s, _, mine), theirs in zip(check, self.library.encode([b for _, b, _ in check], num_threads=1), strict=True):
-            if mine != theirs:
-                raise AssertionError(f"the agenda and the library differ on {s!r}")
-        entries = {s: (len(i), " ".join(map(str, i)), self.spell(i)) for s, i in zip(order, ids, strict=True)}
+        # The library puts the space mark before each text: it gets segments with a mark without it, and those that have none are checked behind a cut.
+        marked = [(s[len(self.prefix) :], i) for s, i in zip(order, ids, strict=True) if s.startswith(self.prefix) and s != self.prefix]
+        bare = [(s, i) for s, i in zip(order, ids, strict=True) if not s.startswith(self.prefix) and s != "\n" and self.cuts]
+        lead = self.library.encode("\n") if bare else []
+        theirs = self.library.encode([s for s, _ in marked] + ["\n" + s for s, _ in bare], num_threads=1)
+        mine = [i for _, i in marked] + [lead + i for _, i in bare]
+        if mine != theirs:
+            raise AssertionError(f"the agenda and the library differ on {next((s for (s, _), a, b in zip(marked + bare, mine, theirs, strict=True) if a != b), '')!r}")
+        entries = {s: " ".join(map(str, i)) for s, i in zip(order, ids, strict=True)}
         if len(self.memory) + len(entries) > MEMORY:
-            self.memory.clear()
+            self.memory, self.odd = {}, {}  # anew, so that a batch under way keeps those it has
         self.memory.update((s, e) for s, e in entries.items() if len(s) <= LONGEST)
+        self.odd.update((s, t) for s, i in zip(order, ids, strict=True) if (t := self.spell(i)) != s.replace(SPACE, " "))
         return entries
 
 
@@ -162,26 +175,19 @@ def _batches(path: str, keep_text: bool):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 cut = [m.segments(t) for t in texts(part)]
-                memory = m.memory
-                new = {s for segs in cut for s in set(segs) if s not in memory}
+                found = [[*map(m.memory.get, segs)] for segs in cut]
+                new = {s for segs, rows in zip(cut, found, strict=True) if None in rows for s, r in zip(segs, rows, strict=True) if r is None}
+                odd = m.odd
                 if new:
-                    seen = {s: memory[s] for segs in cut for s in segs if s in memory} if len(memory) + len(new) > MEMORY else memory
                     fresh = m.learn(new)
-                    memory = seen | fresh if seen is not m.memory else m.memory
-                    if memory is m.memory and any(len(s) > LONGEST for s in new):
-                        long = {s: e for s, e in fresh.items() if len(s) > LONGEST}
-                        get = lambda s, a=m.memory, b=long: a.get(s) or b[s]
-                    else:
-                        get = memory.__getitem__
-                else:
-                    get = memory.__getitem__
+                    odd = odd | m.odd
+                    found = [[r or fresh[s] for s, r in zip(segs, rows, strict=True)] if None in rows else rows for segs, rows in zip(cut, found, strict=True)]
                 n, shas, dec, ids, spelt = [], [], [], [], []
-                for segs in cut:
-                    rows = [*map(get, segs)]
-                    line = " ".join([*(r[1] for r in rows), str(m.end)])
-                    text = "".join([r[2] for r in rows])
+                for segs, rows in zip(cut, found, strict=True):
+                    line = " ".join([*rows, str(m.end)])
+                    text = "".join([odd.get(s) or s for s in segs] if odd else segs).replace(SPACE, " ")
                     text = text[mark:] if rows and segs[0].startswith(SPACE) else text
-                    n.append(sum(r[0] for r in rows) + 1)
+                    n.append(line.count(" ") + 1)
                     shas.append(hashlib.sha256(line.encode()).hexdigest())
                     dec.append(hashlib.sha256(text.encode()).hexdigest())
                     if keep_text:
