@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, pieces, rules, secrets, sharding, tokenbin, wordpiece
+from . import decontaminate, html, neardup, pieces, rules, secrets, sharding, tokenbin, wordpiece
 from .common import table
 from pyspark.sql import functions as F
 
@@ -17,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(table(spark, sf_dir, DOC))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, DOC), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, DOC), keep=False)
 
@@ -34,6 +38,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, DOC))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, DOC))
 
@@ -44,11 +52,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_pieces": op4_pieces,
     "op5_token_files": op5_token_files,
     "op6_main_text": op6_main_text,
     "op7_shards": op7_shards,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontamination": decontaminate.SQL, "op8_near_duplicates": neardup.SQL}
