@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, neardup, pieces, rules, secrets, sharding, tokenbin, wordpiece
+from . import decontaminate, html, neardup, pieces, rules, secrets, sharding, suffix, tokenbin, wordpiece
 from .common import table
 from pyspark.sql import functions as F
 
 DOC = "documents"
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(table(spark, sf_dir, DOC), keep_spans=False)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(table(spark, sf_dir, DOC))
 
@@ -51,6 +55,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_bytes": op1_repeated_bytes,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_pieces": op4_pieces,
@@ -61,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
-ORACLE: dict[str, str] = {"op3_decontamination": decontaminate.SQL, "op8_near_duplicates": neardup.SQL}
+ORACLE: dict[str, str] = {"op1_repeated_bytes": suffix.SQL, "op3_decontamination": decontaminate.SQL, "op8_near_duplicates": neardup.SQL}
