@@ -251,9 +251,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each component, with its own columns: of equal ids only one row stays."""
-    drop = written(near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct(), "drop")
-    kept = docs.join(side(drop), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of docs for each component, with its own columns. Of rows that repeat an id and text one stays."""
+    found = written(near_duplicates(docs, size, percent), "found")
+    drop = side(written(found.where("not kept").select("doc_id").distinct(), "drop"))
+    kept = docs.join(drop, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    again = written(found.where("kept").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    if again.limit(1).count():
+        again = side(again)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*(F.col(f"`{c}`") for c in docs.columns))
     return kept
 
 

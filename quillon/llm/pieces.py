@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -191,12 +192,13 @@ def _batches(path: str, keep_text: bool):
                     shas.append(hashlib.sha256(line.encode()).hexdigest())
                     dec.append(hashlib.sha256(text.encode()).hexdigest())
                     if keep_text:
-                        ids.append([int(i) for i in line.split(" ")])
+                        ids.append(np.fromstring(line, np.int32, sep=" "))
                         spelt.append(text)
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(dec, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_text:
-                    cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(spelt, pa.string())]
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    cols += [pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.zeros(0, np.int32)), pa.array(spelt, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
