@@ -1,0 +1 @@
+"""Structural comparison of two snapshots of a hierarchical corpus, on Spark DataFrames."""
