@@ -1,4 +1,469 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries of the engine and their SQL twins."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions import hashing, scores, text
+from quillon.operators import assembly, blocks, features, fuzzy, matching, presentation, propagation
+from quillon.plans import engine, twins
+from quillon.plans.storage import saved
+from quillon.sources import corpora, export, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query, with its SQL twin where there is one."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        key = name or fn.__name__
+        QUERIES[key] = fn
+        if sql:
+            ORACLE[key] = sql
+        return fn
+
+    return add
+
+
+def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(features.unit_features(corpora.document_corpus(spark, sf_dir)), "units")
+
+
+# -- features ---------------------------------------------------------------------------------------
+
+
+@query(twins.over(twins.UNITS, twins.BLOCKS) + " SELECT diff_id, side, func_addr, block_addr, byte_hash, CAST(instr_count AS BIGINT) AS instr_count, mnemonic_sig, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree FROM bs")
+def feat_block_hash(spark, sf_dir):
+    return features.block_features(corpora.document_corpus(spark, sf_dir)).select("diff_id", "side", "func_addr", "block_addr", "byte_hash", "instr_count", "mnemonic_sig", "in_degree", "out_degree")
+
+
+@query(twins.over(twins.UNITS, twins.BLOCKS, twins.HASHES) + " SELECT diff_id, side, func_addr, byte_hash FROM uh")
+def feat_func_hash(spark, sf_dir):
+    return features.unit_hashes(corpora.document_corpus(spark, sf_dir)).select("diff_id", "side", "func_addr", "byte_hash")
+
+
+@query(twins.over(twins.UNITS, twins.BLOCKS, twins.HASHES) + " SELECT diff_id, side, func_addr, norm_hash FROM uh")
+def feat_norm_hash(spark, sf_dir):
+    return features.unit_hashes(corpora.document_corpus(spark, sf_dir)).select("diff_id", "side", "func_addr", "norm_hash")
+
+
+@query(
+    r"""SELECT p_partkey, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(1, octet_length(encode(p_name)) + 1), lambda i: CAST(('0x' || substr(hex(encode(p_name)), 2 * i - 1, 2))::INT AS UHUGEINT))),
+    lambda h, b: (xor(h, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT)) AS VARCHAR) AS fnv FROM part WHERE p_name IS NOT NULL"""
+)
+def feat_fnv1a(spark, sf_dir):
+    part = corpora.table(spark, sf_dir, "part").where("p_name is not null")
+    return part.select("p_partkey", hashing.unsigned(hashing.fnv1a_text(F.col("p_name"))).alias("fnv"))
+
+
+@query()
+def feat_fnv_chained(spark, sf_dir):
+    """Bit-exact FNV-1a of whole units: the chained hash over their blocks."""
+    units = corpora.document_corpus(spark, sf_dir)
+    return features.unit_fnv(units).select("diff_id", "side", "func_addr", hashing.unsigned(F.col("fnv")).alias("fnv"))
+
+
+@query(twins.over(twins.UNITS, twins.PRIMES) + " SELECT diff_id, side, func_addr, CAST(spp AS VARCHAR) AS spp, CAST(sp.pseudo_primes AS VARCHAR) AS pseudo_primes, pseudo_hash FROM sp JOIN ph USING (diff_id, side, func_addr)")
+def feat_spp(spark, sf_dir):
+    return features.unit_products(corpora.document_corpus(spark, sf_dir)).select("diff_id", "side", "func_addr", F.col("spp").cast("string"), F.col("pseudo_primes").cast("string"), "pseudo_hash")
+
+
+@query(
+    twins.over(twins.UNITS, twins.PRIMES)
+    + """, bo AS (SELECT diff_id, side, func_addr, block_addr, list_reduce(list_prepend(CAST(1 AS UHUGEINT), list(CAST(p AS UHUGEINT))), lambda a, x: (a * x) % CAST(18446744073709551557 AS UHUGEINT)) AS product
+    FROM t JOIN (SELECT m, p FROM (SELECT m, row_number() OVER (ORDER BY encode(m)) AS rn FROM (SELECT DISTINCT m FROM ops WHERE kind = 'op')) JOIN pr USING (rn)) d2 ON lower(substr(t.text, 1, 2)) = d2.m WHERE NOT imm GROUP BY ALL)
+    SELECT diff_id, side, func_addr, block_addr, CAST(product AS VARCHAR) AS spp FROM bo"""
+)
+def feat_block_spp(spark, sf_dir):
+    return features.block_products(corpora.document_corpus(spark, sf_dir)).select("diff_id", "side", "func_addr", "block_addr", F.col("spp").cast("string"))
+
+
+@query(twins.over(twins.EVENTS) + " SELECT side, func_addr, block, in_degree, out_degree FROM ed")
+def feat_degrees(spark, sf_dir):
+    c = corpora.event_corpus(spark, sf_dir)
+    names = c.blocks.select("side", "func_addr", "block_addr", F.decode("bytes", "UTF-8").alias("block"))
+    return features.degrees(c).join(names, ["side", "func_addr", "block_addr"]).select("side", "func_addr", "block", "in_degree", "out_degree")
+
+
+@query(
+    twins.over(twins.EVENTS)
+    + """ SELECT g.side, g.func_addr, CAST(round(sum(1 / sqrt(sqrt(2) * a.in_degree + sqrt(3) * a.out_degree + sqrt(5) * z.in_degree + sqrt(7) * z.out_degree)) * 1e6) AS BIGINT) AS md_q
+    FROM eg g JOIN ed a ON g.side = a.side AND g.func_addr = a.func_addr AND g.src = a.block JOIN ed z ON g.side = z.side AND g.func_addr = z.func_addr AND g.dst = z.block GROUP BY ALL"""
+)
+def feat_mdindex(spark, sf_dir):
+    return features.md_index(corpora.event_corpus(spark, sf_dir)).select("side", "func_addr", hashing.quantize(F.col("md_index")).alias("md_q"))
+
+
+@query(
+    twins.over(twins.EVENTS)
+    + """ SELECT side, func_addr, nodes, edges, CAST(0 AS BIGINT) AS calls, instr_count, CASE WHEN edges >= nodes THEN edges - nodes + 2 ELSE 2 END AS cyclomatic
+    FROM (SELECT side, func_addr, count(DISTINCT block) AS nodes, count(*) AS instr_count FROM e GROUP BY ALL) LEFT JOIN (SELECT side, func_addr, count(*) AS n FROM eg GROUP BY ALL) USING (side, func_addr), LATERAL (SELECT coalesce(n, 0) AS edges)"""
+)
+def feat_shape(spark, sf_dir):
+    return features.shapes(corpora.event_corpus(spark, sf_dir)).select("side", "func_addr", "nodes", "edges", "calls", "instr_count", "cyclomatic")
+
+
+@query(twins.over(twins.UNITS, twins.REFS) + " SELECT rc.diff_id, rc.side, rc.func_addr, array_to_string(constants, ',') AS constants, coalesce(array_to_string(string_hashes, ','), '') AS string_hashes FROM rc LEFT JOIN rs USING (diff_id, side, func_addr) WHERE len(constants) > 0 OR len(string_hashes) > 0")
+def feat_const_sets(spark, sf_dir):
+    found = features.reference_sets(corpora.document_corpus(spark, sf_dir))
+    line = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.where("size(constants) > 0 or size(string_hashes) > 0").select("diff_id", "side", "func_addr", line("constants"), line("string_hashes"))
+
+
+TRADE = f"""tr AS (SELECT DISTINCT CASE WHEN l_orderkey % 2 = 0 THEN 'L' ELSE 'R' END AS side, unnest([o_custkey + 1, l_partkey + {corpora.PARTS}]) AS caller, unnest([l_partkey + {corpora.PARTS}, l_suppkey + {corpora.SUPPLIERS}]) AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query("WITH " + TRADE + " SELECT side, caller, callee FROM tr")
+def feat_callgraph(spark, sf_dir):
+    return features.callees(corpora.trade_calls(spark, sf_dir)).select("side", "caller", "callee")
+
+
+@query(
+    twins.over(twins.ALL)
+    + " SELECT diff_id, side, addr, name, nodes, edges, calls, instr_count, byte_hash, norm_hash, CAST(spp AS VARCHAR) AS spp, md_q FROM f WHERE side = 'L' AND addr = 8"
+)
+def extract_one(spark, sf_dir):
+    """Features of a single unit: the filter reaches every scan. Prime products are omitted from the comparison of dictionaries: the unit has its own."""
+    whole = features_of(spark, sf_dir)
+    return whole.where("side = 'L' and addr = 8").select("diff_id", "side", "addr", "name", "nodes", "edges", "calls", "instr_count", "byte_hash", "norm_hash", F.col("spp").cast("string").alias("spp"), "md_q")
+
+
+@query(twins.over(twins.UNITS, twins.BLOCKS, twins.HASHES) + " SELECT func_addr AS addr, nodes, edges, instr_count, byte_hash, norm_hash FROM uh WHERE diff_id = 'en' AND side = 'L' AND func_addr BETWEEN 1 AND 30")
+def extract_filtered(spark, sf_dir):
+    """The extraction plan over units of an address range; the filter is pushed into the scans."""
+    c = corpora.document_corpus(spark, sf_dir)
+    own = lambda df, at="func_addr": df.where((F.col("diff_id") == "en") & (F.col("side") == "L") & F.col(at).between(1, 30)) if df is not None else None
+    c = corpora.Corpus(own(c.units, "addr"), own(c.blocks), own(c.tokens), own(c.edges), own(c.calls, "caller"), own(c.refs), own(c.ast))
+    return features.shapes(c).join(features.unit_hashes(c), corpora.UNIT).select(F.col("func_addr").alias("addr"), "nodes", "edges", "instr_count", "byte_hash", "norm_hash")
+
+
+@query(twins.over(twins.UNITS) + " SELECT diff_id, side, func_addr, block_addr, string_agg(text, ' ' ORDER BY line_no) AS signature FROM t GROUP BY ALL")
+def block_signature(spark, sf_dir):
+    return presentation.signatures(corpora.document_corpus(spark, sf_dir).tokens)
+
+
+# -- matching ---------------------------------------------------------------------------------------
+
+
+def _one_pass(p: matching.MatchPass):
+    def run(spark, sf_dir):
+        return matching.match_unique(features_of(spark, sf_dir), p)
+
+    return run
+
+
+for _p in matching.PASSES:
+    query(twins.over(twins.ALL) + " " + twins.unique_pairs(_p.name, "f"), "match_" + _p.name.replace("+", "_"))(_one_pass(_p))
+
+
+@query(twins.CASCADE + f" SELECT * FROM {twins.LAST}")
+def match_cascade(spark, sf_dir):
+    return matching.cascade(features_of(spark, sf_dir))
+
+
+#: Trade units: shapes from the graph alone; only suppliers keep their names, so that parts and customers follow from them.
+TRADE_UNITS = f"""tu AS (SELECT side, addr, CASE WHEN addr > {corpora.SUPPLIERS} THEN 'S' || addr ELSE '' END AS name, count(*) FILTER (out) AS calls, count(*) FILTER (NOT out) AS nodes FROM (SELECT side, caller AS addr, true AS out FROM tr UNION ALL SELECT side, callee, false FROM tr) GROUP BY ALL)"""
+
+
+def trade_units(calls: DataFrame) -> DataFrame:
+    ends = calls.select("diff_id", "side", F.col("caller").alias("addr"), F.lit(True).alias("out")).union(calls.select("diff_id", "side", F.col("callee").alias("addr"), F.lit(False).alias("out")))
+    per = ends.groupBy("diff_id", "side", "addr").agg(F.count_if("out").alias("calls"), F.count_if(~F.col("out")).alias("nodes"))
+    none = F.lit(None)
+    return per.select("diff_id", "side", "addr", F.when(F.col("addr") > corpora.SUPPLIERS, F.concat(F.lit("S"), F.col("addr").cast("string"))).otherwise("").alias("name"), "nodes", F.col("nodes").alias("edges"), "calls", F.lit(0).cast("long").alias("instr_count"), F.lit(0).cast("long").alias("md_q"), none.cast("string").alias("pseudo_hash"), F.lit(1).cast("decimal(38,0)").alias("spp"))
+
+
+@query(
+    "WITH "
+    + TRADE
+    + ", "
+    + TRADE_UNITS
+    + """, an AS (SELECT l.addr FROM tu l JOIN tu r ON l.name = r.name AND l.side = 'L' AND r.side = 'R' WHERE l.name <> ''),
+nb AS (SELECT an.addr AS anchor, tr.side, tu.addr, tu.nodes || '|' || tu.calls AS k FROM an JOIN tr ON tr.callee = an.addr JOIN tu ON tu.side = tr.side AND tu.addr = tr.caller WHERE tu.name = ''),
+pk AS (SELECT anchor, k, max(addr) FILTER (side = 'L') AS left_addr, max(addr) FILTER (side = 'R') AS right_addr FROM nb GROUP BY anchor, k HAVING count(*) FILTER (side = 'L') = 1 AND count(*) FILTER (side = 'R') = 1),
+pd AS (SELECT DISTINCT left_addr, right_addr FROM pk),
+rk AS (SELECT *, row_number() OVER (PARTITION BY left_addr ORDER BY right_addr) AS a, row_number() OVER (PARTITION BY right_addr ORDER BY left_addr) AS b FROM pd)
+SELECT left_addr, right_addr, CAST(0.7 * 0.92 AS DOUBLE) AS confidence FROM rk WHERE a = 1 AND b = 1"""
+)
+def match_propagate_round1(spark, sf_dir):
+    """One bulk step: callers of matched suppliers, by shape."""
+    calls = saved(features.callees(corpora.trade_calls(spark, sf_dir)), "calls")
+    units = saved(trade_units(calls), "units")
+    anchors = saved(matching.match_unique(units, matching.BY_NAME["name"]), "anchors")
+    up = calls.select("diff_id", "side", F.col("callee").alias("addr"), F.col("caller").alias("near"))
+    return propagation.step(anchors, matching.open_units(units, anchors), up, propagation.KEYS[-1]).select("left_addr", "right_addr", "confidence")
+
+
+@query()
+def match_propagate(spark, sf_dir):
+    calls = saved(features.callees(corpora.trade_calls(spark, sf_dir)), "calls")
+    units = saved(trade_units(calls), "units")
+    return propagation.propagate(saved(matching.match_unique(units, matching.BY_NAME["name"]), "anchors"), units, calls)
+
+
+@query(twins.over(twins.ALL) + f", fm AS MATERIALIZED (SELECT * FROM f) SELECT l.diff_id, l.addr AS left_addr, r.addr AS right_addr, round({twins.fuzzy_score()}, 6) AS score FROM fm l JOIN fm r ON l.diff_id = r.diff_id AND l.side = 'L' AND r.side = 'R' WHERE {twins.fuzzy_score()} >= 0.75")
+def match_fuzzy_scores(spark, sf_dir):
+    return fuzzy.scored(features_of(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def match_fuzzy(spark, sf_dir):
+    units = features_of(spark, sf_dir)
+    first = matching.cascade(units, matching.PASSES[:2])
+    return fuzzy.fuzzy_matches(saved(matching.open_units(units, first), "open"))
+
+
+# -- blocks -----------------------------------------------------------------------------------------
+
+
+def _block_pairs(spark, sf_dir):
+    corpus = corpora.document_corpus(spark, sf_dir)
+    units = saved(features.unit_features(corpus), "units")
+    return corpus, units, matching.cascade(units, matching.PASSES[:2])
+
+
+@query(twins.over(twins.ALL, twins.cascade_ctes(("bytehash", "normhash")), twins.BLOCK_BASE) + " SELECT * FROM ba")
+def blocks_exact(spark, sf_dir):
+    corpus, _, matches = _block_pairs(spark, sf_dir)
+    rows = features.block_features(corpus)
+    return blocks.occurrence_pairs(blocks.paired(matches, rows, "L"), blocks.paired(matches, rows, "R"), "byte_hash", "identical")
+
+
+@query(twins.over(twins.ALL, twins.cascade_ctes(("bytehash", "normhash")), twins.BLOCK_BASE) + " SELECT * FROM bb")
+def blocks_norm(spark, sf_dir):
+    corpus, _, matches = _block_pairs(spark, sf_dir)
+    rows = features.block_features(corpus)
+    left, right = blocks.paired(matches, rows, "L"), blocks.paired(matches, rows, "R")
+    same = blocks.occurrence_pairs(left, right, "byte_hash", "identical")
+    return blocks.occurrence_pairs(blocks.without(left, same, "left_addr"), blocks.without(right, same, "right_addr"), "mnemonic_sig", "changed")
+
+
+def _full(spark, sf_dir) -> engine.Diff:
+    return engine.compute(corpora.document_corpus(spark, sf_dir))
+
+
+@query()
+def blocks_full(spark, sf_dir):
+    return _full(spark, sf_dir).block_matches
+
+
+@query(
+    twins.over(twins.ALL, twins.cascade_ctes(("bytehash", "normhash")), twins.BLOCK_BASE)
+    + """, bm AS (SELECT * FROM ba UNION ALL SELECT * FROM bb),
+ll AS (SELECT bm.*, t.line_no, t.text FROM bm JOIN t ON t.side = 'L' AND t.diff_id = bm.diff_id AND t.func_addr = bm.left_func AND t.block_addr = bm.left_addr),
+rl AS (SELECT bm.*, t.line_no, t.text FROM bm JOIN t ON t.side = 'R' AND t.diff_id = bm.diff_id AND t.func_addr = bm.right_func AND t.block_addr = bm.right_addr)
+SELECT diff_id, left_func, right_func, left_addr, right_addr, CAST(line_no AS INTEGER) AS line_no, ll.text AS left_line, rl.text AS right_line FROM ll FULL JOIN rl USING (diff_id, left_func, right_func, left_addr, right_addr, line_no) WHERE ll.text IS DISTINCT FROM rl.text"""
+)
+def instr_diff(spark, sf_dir):
+    corpus, _, matches = _block_pairs(spark, sf_dir)
+    rows = features.block_features(corpus)
+    left, right = blocks.paired(matches, rows, "L"), blocks.paired(matches, rows, "R")
+    same = blocks.occurrence_pairs(left, right, "byte_hash", "identical")
+    alike = blocks.occurrence_pairs(blocks.without(left, same, "left_addr"), blocks.without(right, same, "right_addr"), "mnemonic_sig", "changed")
+    return blocks.line_changes(same.unionByName(alike), blocks.shown_lines(corpus))
+
+
+@query()
+def highlight(spark, sf_dir):
+    return blocks.highlights(_full(spark, sf_dir).block_matches)
+
+
+TALK = r"""WITH tb AS (SELECT conv_id + 1 AS func_addr, turn + 1 AS block_addr, coalesce(text, '') AS line FROM conversations),
+tl AS (SELECT *, row_number() OVER (PARTITION BY func_addr, line ORDER BY block_addr) AS n FROM tb), tr AS (SELECT *, row_number() OVER (PARTITION BY func_addr, line ORDER BY block_addr) AS n FROM tb WHERE block_addr % 5 <> 0)
+SELECT l.func_addr, l.block_addr AS left_addr, r.block_addr AS right_addr FROM tl l JOIN tr r USING (func_addr, line, n)"""
+
+
+@query(TALK)
+def blocks_talk(spark, sf_dir):
+    """Occurrence pairing on conversations: turns are blocks."""
+    rows = corpora.conversation_units(spark, sf_dir).withColumn("byte_hash", hashing.text_key(F.col("line")))
+    pairs = rows.select("diff_id", F.col("func_addr").alias("left_addr"), F.col("func_addr").alias("right_addr")).distinct()
+    found = blocks.occurrence_pairs(blocks.paired(pairs, rows, "L"), blocks.paired(pairs, rows, "R"), "byte_hash", "identical")
+    return found.select(F.col("left_func").alias("func_addr"), "left_addr", "right_addr")
+
+
+# -- results ----------------------------------------------------------------------------------------
+
+
+def _quick(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Result of the exact-fingerprint pass alone: the smallest whole diff."""
+    corpus = corpora.document_corpus(spark, sf_dir)
+    hashes = features.unit_hashes(corpus).withColumnRenamed("func_addr", "addr")
+    sizes = corpus.blocks.groupBy(*corpora.UNIT).agg(F.count("*").alias("nodes")).withColumnRenamed("func_addr", "addr")
+    units = saved(corpus.units.join(hashes, ["diff_id", "side", "addr"]).join(sizes, ["diff_id", "side", "addr"]).withColumn("edges", F.col("nodes") - 1), "units")
+    matches = saved(matching.match_unique(units, matching.PASSES[0]), "matches")
+    rows = units.select("diff_id", "side", F.col("addr").alias("func_addr"), "nodes")
+    same = matches.join(rows.where("side = 'L'"), [matches.diff_id == rows.diff_id, matches.left_addr == rows.func_addr]).select(matches["*"], F.col("nodes").alias("bb_identical"))
+    zero = F.lit(0).cast("long")
+    named = lambda s, own: units.where(F.col("side") == s).select("diff_id", F.col("addr").alias(f"{own}_addr"), F.col("name").alias(f"{own}_name"))
+    scored = same.join(named("L", "left"), ["diff_id", "left_addr"]).join(named("R", "right"), ["diff_id", "right_addr"])
+    scored = scored.withColumns({"status": F.lit("identical"), "similarity": F.lit(1.0), "bb_changed": zero, "bb_added": zero, "bb_removed": zero})
+    return assembly.assembled(scored, units), units
+
+
+QUICK = (
+    twins.over(twins.UNITS, twins.BLOCKS, twins.HASHES)
+    + f""", f AS (SELECT u.diff_id, u.side, u.addr, u.name, nodes, byte_hash FROM u JOIN uh ON u.diff_id = uh.diff_id AND u.side = uh.side AND u.addr = uh.func_addr),
+m AS MATERIALIZED ({twins.unique_pairs("bytehash", "f")}),
+res AS (SELECT m.diff_id, left_addr, right_addr, l.name AS left_name, r.name AS right_name, 'identical' AS status, 1.0::DOUBLE AS similarity, m.confidence, m.algorithm, l.nodes AS bb_identical, 0::BIGINT AS bb_changed, 0::BIGINT AS bb_added, 0::BIGINT AS bb_removed
+  FROM m JOIN f l ON l.side = 'L' AND l.diff_id = m.diff_id AND l.addr = left_addr JOIN f r ON r.side = 'R' AND r.diff_id = m.diff_id AND r.addr = right_addr
+  UNION ALL SELECT diff_id, addr, NULL, name, NULL, 'removed', 0.0, 0.0, 'unmatched', 0, 0, 0, nodes FROM f WHERE side = 'L' AND NOT EXISTS (SELECT 1 FROM m WHERE m.diff_id = f.diff_id AND m.left_addr = f.addr)
+  UNION ALL SELECT diff_id, NULL, addr, NULL, name, 'added', 0.0, 0.0, 'unmatched', 0, 0, nodes, 0 FROM f WHERE side = 'R' AND NOT EXISTS (SELECT 1 FROM m WHERE m.diff_id = f.diff_id AND m.right_addr = f.addr))
+"""
+)
+
+
+@query(QUICK + " SELECT diff_id, count(*) FILTER (status = 'identical') AS n_identical, count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'added') AS n_added, count(*) FILTER (status = 'removed') AS n_removed FROM res GROUP BY diff_id")
+def diff_bytehash_summary(spark, sf_dir):
+    return assembly.summary(_quick(spark, sf_dir)[0])
+
+
+@query(QUICK + " SELECT * FROM res")
+def diff_bytehash_rows(spark, sf_dir):
+    return _quick(spark, sf_dir)[0]
+
+
+@query()
+def diff_functions(spark, sf_dir):
+    return _full(spark, sf_dir).result
+
+
+@query()
+def diff_summary(spark, sf_dir):
+    return _full(spark, sf_dir).summary
+
+
+SHOWN = ", en AS (SELECT diff_id, coalesce(nullif(left_name, ''), right_name, '') AS name, CASE WHEN status IN ('added', 'removed') THEN status ELSE 'matched' END AS old, status, coalesce(left_addr, 0) AS left_addr, coalesce(right_addr, 0) AS right_addr, similarity, confidence, algorithm, bb_identical, bb_changed, bb_added, bb_removed FROM res)"
+HEX = "CASE WHEN {0} = 0 THEN '{1}' ELSE '0x' || lower(to_hex({0})) END"
+
+
+@query(QUICK + SHOWN + " SELECT diff_id, name, old AS status, left_addr, right_addr, CASE WHEN old IN ('added', 'removed') THEN old WHEN similarity >= 0.999 THEN 'identical' ELSE 'changed' END AS shown FROM en")
+def display_status(spark, sf_dir):
+    """Rows stored with the old three statuses, and what they are shown as."""
+    rows = assembly.entries(_quick(spark, sf_dir)[0], old_status=True)
+    return rows.select("diff_id", "name", "status", "left_addr", "right_addr", text.display_status(F.col("status"), F.col("similarity")).alias("shown"))
+
+
+@query(QUICK + SHOWN + " SELECT diff_id, name, status FROM en WHERE status <> 'identical'")
+def filter_changes(spark, sf_dir):
+    return presentation.filtered(assembly.entries(_quick(spark, sf_dir)[0]), "differences").select("diff_id", "name", "status")
+
+
+PLACED = ", pl AS (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY status, name, left_addr, right_addr) AS pos FROM en)"
+STEP = "min(CASE WHEN status <> 'identical' THEN pos END) OVER (PARTITION BY diff_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+BACK = "max(CASE WHEN status <> 'identical' THEN pos END) OVER (PARTITION BY diff_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(QUICK + SHOWN + PLACED + f" SELECT diff_id, CAST(pos AS INTEGER) AS pos, name, status, CAST({STEP} AS INTEGER) AS next_change, CAST({BACK} AS INTEGER) AS previous_change FROM pl")
+def next_change(spark, sf_dir):
+    placed = presentation.positions(assembly.entries(_quick(spark, sf_dir)[0]), "status", "name", "left_addr", "right_addr")
+    return presentation.steps(placed).select("diff_id", "pos", "name", "status", "next_change", "previous_change")
+
+
+@query(
+    QUICK + SHOWN + f" SELECT diff_id, status, name, CASE WHEN status IN ('added', 'removed') THEN '—' ELSE printf('%.2f', similarity) END AS similarity, CASE WHEN status IN ('added', 'removed') THEN '—' ELSE printf('%.2f', confidence) END AS confidence, algorithm, {HEX.format('left_addr', '—')} AS left_addr, {HEX.format('right_addr', '—')} AS right_addr, concat_ws('/', bb_identical, bb_changed, bb_added, bb_removed) AS blocks FROM en"
+)
+def sorted_grid(spark, sf_dir):
+    return presentation.grid(assembly.entries(_quick(spark, sf_dir)[0])).orderBy("status", "name")
+
+
+@query("SELECT 'part' AS corpus, p_name AS name, p_partkey AS addr FROM part WHERE p_name ILIKE '%AR%' UNION ALL SELECT 'supplier', s_name, s_suppkey FROM supplier WHERE s_name ILIKE '%AR%'")
+def name_search(spark, sf_dir):
+    part = corpora.table(spark, sf_dir, "part").select(F.lit("part").alias("corpus"), F.col("p_name").alias("name"), F.col("p_partkey").alias("addr"))
+    supplier = corpora.table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("corpus"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("addr"))
+    return presentation.list_units([part, supplier], "AR")
+
+
+NAMES = r"""WITH n AS (SELECT c_custkey AS id, c_name || CASE c_custkey % 5 WHEN 0 THEN '.so' WHEN 1 THEN '.EXE.bndb' WHEN 2 THEN '.so.txt' WHEN 3 THEN '' ELSE '.bin.o.dll' END AS name, '/opt/lib/' || c_name AS path FROM customer)
+SELECT id, regexp_replace(name, '(?i)(\.(bndb|dylib|so|exe|dll|o|bin))+$', '') AS normalized, coalesce(nullif(CASE WHEN id % 2 = 0 THEN name ELSE '' END, ''), nullif(string_split(path, '/')[-1], ''), '(none)') AS shown,
+  regexp_replace(name, '(?i)(\.(bndb|dylib|so|exe|dll|o|bin))+$', '') || '-vs-' || regexp_replace(path, '(?i)(\.(bndb|dylib|so|exe|dll|o|bin))+$', '') AS diff_name FROM n"""
+
+
+@query(NAMES)
+def norm_names(spark, sf_dir):
+    c = corpora.table(spark, sf_dir, "customer")
+    end = F.element_at(F.array(*map(F.lit, (".so", ".EXE.bndb", ".so.txt", "", ".bin.o.dll"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = c.select(F.col("c_custkey").alias("id"), F.concat("c_name", end).alias("name"), F.concat(F.lit("/opt/lib/"), "c_name").alias("path"))
+    shown = text.display_name(F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(""), F.col("path"))
+    return rows.select("id", text.normalized_name(F.col("name")).alias("normalized"), shown.alias("shown"), text.diff_name(F.col("name"), F.col("path")).alias("diff_name"))
+
+
+@query("SELECT s_name AS name, path, analysed FROM (SELECT *, s_suppkey AS position, '/c/' || s_suppkey AS path, s_suppkey % 3 = 0 AS analysed, s_suppkey % 7 AS g FROM supplier) WHERE g = 3 ORDER BY analysed DESC, position LIMIT 1")
+def resolve_corpus(spark, sf_dir):
+    """The best candidate for a name: analysed before raw, then the first."""
+    s = corpora.table(spark, sf_dir, "supplier")
+    rows = s.select(F.col("s_suppkey").alias("position"), F.concat(F.lit("g"), (F.col("s_suppkey") % 7).cast("string"), F.lit(".so")).alias("name"), "s_name", F.concat(F.lit("/c/"), F.col("s_suppkey").cast("string")).alias("path"), (F.col("s_suppkey") % 3 == 0).alias("analysed"))
+    return presentation.resolve_by_name(rows, "g3.dll").select(F.col("s_name").alias("name"), "path", "analysed")
+
+
+@query(
+    """WITH bl AS (SELECT o_orderkey AS func_addr, o_orderkey * 10 AS b, o_orderkey * 10 + 7 AS e FROM orders WHERE o_orderkey <= 2000), w AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS a FROM lineitem WHERE l_orderkey <= 2000)
+SELECT a AS at, func_addr FROM (SELECT a, func_addr, row_number() OVER (PARTITION BY a ORDER BY func_addr = a DESC, func_addr) AS n FROM w JOIN bl ON (a >= b AND a < e) OR func_addr = a) WHERE n = 1"""
+)
+def unit_at_address(spark, sf_dir):
+    o = corpora.table(spark, sf_dir, "orders").where("o_orderkey <= 2000")
+    one = [F.lit("x").alias("diff_id"), F.lit("L").alias("side")]
+    rows = o.select(*one, F.col("o_orderkey").alias("func_addr"), (F.col("o_orderkey") * 10).alias("begin"), (F.col("o_orderkey") * 10 + 7).alias("end"))
+    wanted = corpora.table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").select(*one, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")).distinct()
+    return presentation.unit_at(rows, wanted).select("at", "func_addr")
+
+
+# -- store and export -------------------------------------------------------------------------------
+
+
+@query(QUICK + SHOWN + " SELECT diff_id, name, status, left_addr, right_addr, similarity, confidence, algorithm, bb_identical, bb_changed, bb_added, bb_removed FROM en WHERE diff_id = 'en'")
+def store_roundtrip(spark, sf_dir):
+    """Saves one diff, loads it by name and unfolds its rows."""
+    from quillon.plans.storage import shared_folder
+    import uuid
+
+    rows = _quick(spark, sf_dir)[0].where("diff_id = 'en'")
+    s = store.DiffStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    s.save("first", saved(store.documents(rows, None, "a", "b", "2024-01-01T00:00:00"), "document"))
+    back = s.load("first").select(F.explode("functions").alias("f")).select("f.*").drop("blocks")
+    return back.select(F.lit("en").alias("diff_id"), "*")
+
+
+@query(QUICK + SHOWN + f""" SELECT diff_id, name, status, {HEX.format('left_addr', '')} AS "leftAddr", {HEX.format('right_addr', '')} AS "rightAddr", bb_added FROM en""")
+def export_json_rows(spark, sf_dir):
+    """Exported JSON rows, read back."""
+    rows = export.json_rows(assembly.entries(_quick(spark, sf_dir)[0]))
+    read = F.from_json("json", "name string, status string, leftAddr string, rightAddr string, bb struct<added: bigint>")
+    return rows.select("diff_id", read.alias("j")).select("diff_id", "j.name", "j.status", "j.leftAddr", "j.rightAddr", F.col("j.bb.added").alias("bb_added"))
+
+
+@query(QUICK + SHOWN + """ SELECT diff_id, name, '<tr class="' || status || '"><td>' || status || '</td><td>' || name || '</td>' AS head FROM en""")
+def export_html_rows(spark, sf_dir):
+    rows = export.html_rows(assembly.entries(_quick(spark, sf_dir)[0]))
+    return rows.select("diff_id", "name", F.regexp_extract("html", "^(<tr.*?</td><td>.*?</td>)", 1).alias("head"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS similarity, 1.0::DOUBLE AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'identical' ELSE 'changed' END AS shown FROM orders WHERE o_orderkey <= 3000""")
+def v1_compat(spark, sf_dir):
+    """Documents of the first version and with wrong types: defaults instead of errors."""
+    o = corpora.table(spark, sf_dir, "orders").where("o_orderkey <= 3000")
+    f = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("name"), F.lit("matched").alias("status"), F.when(F.col("o_orderkey") % 3 == 1, "0.5").when(F.col("o_orderkey") % 3 == 2, "0.5").otherwise("high").alias("similarity")))
+    docs = o.select(F.col("o_orderkey").cast("string").alias("name"), F.concat(F.lit('{"functions": ['), f, F.lit("]}")).alias("document"))
+    rows = store.functions_of(docs)
+    return rows.select("name", "similarity", "confidence", text.display_status(F.col("status"), F.col("similarity")).alias("shown"))
+
+
+@query("SELECT l_orderkey, sum(a) AS total, round(max(abs(a / greatest(a, b, 1)::DOUBLE)), 6) AS top FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) AS b FROM lineitem) GROUP BY l_orderkey".replace("sum(a)", "CAST(sum(a) AS BIGINT)").replace("abs(a / greatest(a, b, 1)::DOUBLE)", "1.0::DOUBLE - abs(a - b)::DOUBLE / greatest(a, b, 1)::DOUBLE"))
+def score_agreement(spark, sf_dir):
+    """Relative agreement over many rows."""
+    rows = corpora.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("a"), F.col("l_linenumber").cast("long").alias("b"))
+    return rows.groupBy("l_orderkey").agg(F.sum("a").alias("total"), F.round(F.max(scores.relative_agreement(F.col("a"), F.col("b"))), 6).alias("top"))
+
+
+@query(
+    """SELECT p_partkey, CAST(list_reduce([CAST(2611923443488327891 AS UHUGEINT), CAST(p_partkey AS UHUGEINT), CAST(p_size AS UHUGEINT)],
+    lambda h, v: xor(h, (v + CAST(11400714819323198485 AS UHUGEINT) + (h * 64) % CAST(18446744073709551616 AS UHUGEINT) + h // 4) % CAST(18446744073709551616 AS UHUGEINT))) AS VARCHAR) AS h FROM part"""
+)
+def hash_combine(spark, sf_dir):
+    """The bit-exact combination of two numbers."""
+    part = corpora.table(spark, sf_dir, "part")
+    return part.select("p_partkey", hashing.unsigned(hashing.combined(F.array(F.col("p_partkey").cast("long"), F.col("p_size").cast("long")))).alias("h"))
