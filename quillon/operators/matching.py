@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.storage import saved, small
+from quillon.plans.storage import saved
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,7 @@ def taken(matches: DataFrame) -> DataFrame:
 
 
 def open_units(units: DataFrame, matches: DataFrame) -> DataFrame:
+    """Units without a match. The matches are saved tables, so Spark knows their size and broadcasts them only while they are small."""
     return units.join(taken(matches), ["diff_id", "side", "addr"], "left_anti")
 
 
@@ -79,6 +80,6 @@ def cascade(units: DataFrame, passes: tuple[MatchPass, ...] = PASSES, progress:
     for i, p in enumerate(passes):
         if progress and progress(p.name, i, len(passes)) is False:
             raise Cancelled(p.name)
-        found = saved(match_unique(open_units(units, small(matches)) if i else units, p), "pass")
+        found = saved(match_unique(open_units(units, matches) if i else units, p), "pass")
         matches = found if not i else matches.unionByName(found)
     return matches

@@ -61,11 +61,14 @@ def feat_fnv1a(spark, sf_dir):
     return part.select("p_partkey", hashing.unsigned(hashing.fnv1a_text(F.col("p_name"))).alias("fnv"))
 
 
-@query()
+@query(
+    r"""SELECT p_partkey, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(1, octet_length(encode(s)) + 1), lambda i: CAST(('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::INT AS UHUGEINT))),
+    lambda h, b: (xor(h, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT)) AS VARCHAR) AS fnv FROM (SELECT p_partkey, p_brand || p_type AS s FROM part) WHERE s IS NOT NULL"""
+)
 def feat_fnv_chained(spark, sf_dir):
-    """Bit-exact FNV-1a of whole units: the chained hash over their blocks."""
-    units = corpora.document_corpus(spark, sf_dir)
-    return features.unit_fnv(units).select("diff_id", "side", "func_addr", hashing.unsigned(F.col("fnv")).alias("fnv"))
+    """Chaining: the hash of one text as the seed of the next is the hash of both."""
+    part = corpora.table(spark, sf_dir, "part").where("p_brand is not null and p_type is not null")
+    return part.select("p_partkey", hashing.unsigned(hashing.fnv1a_text(F.col("p_type"), hashing.fnv1a_text(F.col("p_brand")))).alias("fnv"))
 
 
 @query(twins.over(twins.UNITS, twins.PRIMES) + " SELECT diff_id, side, func_addr, CAST(spp AS VARCHAR) AS spp, CAST(sp.pseudo_primes AS VARCHAR) AS pseudo_primes, pseudo_hash FROM sp JOIN ph USING (diff_id, side, func_addr)")
@@ -128,7 +131,7 @@ def feat_callgraph(spark, sf_dir):
     + " SELECT diff_id, side, addr, name, nodes, edges, calls, instr_count, byte_hash, norm_hash, CAST(spp AS VARCHAR) AS spp, md_q FROM f WHERE side = 'L' AND addr = 8"
 )
 def extract_one(spark, sf_dir):
-    """Features of a single unit: the filter reaches every scan. Prime products are omitted from the comparison of dictionaries: the unit has its own."""
+    """The row of a single unit out of the whole table; prime products need the dictionary of both sides."""
     whole = features_of(spark, sf_dir)
     return whole.where("side = 'L' and addr = 8").select("diff_id", "side", "addr", "name", "nodes", "edges", "calls", "instr_count", "byte_hash", "norm_hash", F.col("spp").cast("string").alias("spp"), "md_q")
 
