@@ -8,11 +8,14 @@ nodes are candidates of each other; in a larger one, where many nodes agree, the
 a node's candidates are its neighbours in the order, which are those with the longest common prefix,
 and the region's first node. So the number of candidates stays in proportion to the nodes.
 
-Candidate links are confirmed on the full sets in two rounds. First every node is compared with the
+Candidate links are confirmed on the full sets in three rounds. First every node is compared with the
 least node that its candidates lead to and with its most frequent candidate; then all candidates
-that are not yet in one component are compared. Components are found by distributed stars. Hot
-groups are never gathered: regions are split by the range sort, equal texts are combined on the map
-side, and all other steps work on pairs.
+that are not yet in one component are compared. What large regions still hold apart is settled
+without candidates: their outsiders, the nodes that are not in the region's main component, are
+compared with all nodes of the region, blocks of the one against blocks of the other. Where that
+would be too much for a region, it is split at a greater depth first. Components are found by
+distributed stars. Hot groups are never gathered: regions are split by the range sort, equal texts
+are combined on the map side, and blocks of a region are dealt to different tasks.
 
 A pair at similarity 0.8 agrees in a tree's first BASE minima with chance 0.51, so that it is in no
 common region of any tree with chance 4e-8. (Range boundaries part a few neighbours in one tree.)
@@ -39,6 +42,8 @@ from .components import BROADCAST_ROWS, components, side
 SIGNATURE, TREES, BASE, DEPTH = 128, 24, 3, 7
 #: Regions up to this size have all pairs as candidates; in larger ones the neighbours up to REACH.
 SMALL_REGION, REACH = 12, 3
+#: Nodes in a block of the third round, and comparisons in a region beyond which it is split at depth 5, and 25 times as many at depth 7.
+BLOCK, MUCH = 256, 4_000_000
 #: Bytes of a shingle's hash in the sets that are compared.
 SET_BYTES = 5
 
@@ -134,20 +139,32 @@ def neighbours(key: np.ndarray, nid: np.ndarray) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, nid = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """kind 0: a candidate pair a, b and its votes; kind 1: a node a of the large region b, and its further minima c."""
+    key, rest, nid = (np.zeros(0, np.int64) for _ in range(3))
 
-    def out(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs, votes = np.unique(pairs, axis=0, return_counts=True)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(votes.astype(np.int64))], ["a", "b", "votes"])
+    def table(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (a, b, c))], ["kind", "a", "b", "c"])
 
+    def out(key: np.ndarray, rest: np.ndarray, nid: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
+        pairs, votes = np.unique(neighbours(key, nid), axis=0, return_counts=True)
+        if len(pairs):
+            yield table(0, pairs[:, 0], pairs[:, 1], votes.astype(np.int64))
+        _, at, sizes = np.unique(key, return_inverse=True, return_counts=True)
+        large = sizes > SMALL_REGION
+        if edge and len(sizes):  # a region at the partition's edge may go on in the next one
+            large[[0, -1]] = True
+        own = np.flatnonzero(large[at])
+        if len(own):
+            yield table(1, nid[own], key[own], rest[own])
+
+    first = True
     for batch in batches:
-        key = np.concatenate([key, batch.column("key").to_numpy()])
-        nid = np.concatenate([nid, batch.column("nid").to_numpy()])
+        key, rest, nid = (np.concatenate([x, batch.column(n).to_numpy()]) for x, n in ((key, "key"), (rest, "rest"), (nid, "nid")))
         end = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last region may go on in the next batch
-        yield from out(neighbours(key[:end], nid[:end]))
-        key, nid = key[end:], nid[end:]
-    yield from out(neighbours(key, nid))
+        yield from out(key[:end], rest[:end], nid[:end], first)
+        first = first and not end
+        key, rest, nid = key[end:], rest[end:], nid[end:]
+    yield from out(key, rest, nid, True)
 
 
 def _sets(size: int):
@@ -195,6 +212,70 @@ def _confirmed(percent: int):
     return run
 
 
+def _packed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+
+def _across(percent: int):
+    """Links between the nodes of two blocks that are in different components: one for each node and component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                left, right = row["outside"], row["inside"]
+                x, xi = _packed([unpacked(r["set"]) for r in left])
+                y, yi = _packed([unpacked(r["set"]) for r in right])
+                known, at = np.unique(x, return_inverse=True)
+                where = np.searchsorted(known, y)
+                where[where == len(known)] = 0
+                both = known[where] == y
+                # dense incidence is small: known holds the outsiders' shingles only; it is walked in pieces
+                common = np.zeros((len(left), len(right)), np.float32)
+                for s in range(0, len(known), 4096):
+                    a = np.zeros((len(left), min(4096, len(known) - s)), np.float32)
+                    b = np.zeros((len(right), a.shape[1]), np.float32)
+                    own = (at >= s) & (at < s + 4096)
+                    a[xi[own], at[own] - s] = 1
+                    own = both & (where >= s) & (where < s + 4096)
+                    b[yi[own], where[own] - s] = 1
+                    common += a @ b.T
+                total = np.bincount(xi, minlength=len(left))[:, None] + np.bincount(yi, minlength=len(right))
+                roots = [np.array([r["root"] for r in side_], np.int64) for side_ in (left, right)]
+                hit = (100 * common >= percent * (total - common)) & (roots[0][:, None] != roots[1])
+                i, j = np.nonzero(hit)
+                if len(i):
+                    _, first = np.unique(np.stack([i, roots[1][j]]), axis=1, return_index=True)
+                    found += [(left[i[k]]["nid"], right[j[k]]["nid"]) for k in first]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def outsiders(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b of the nodes that are not in their large region's main component. members: nid, key, rest."""
+    own = written(members.join(side(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid")), "members")
+
+    def sizes(df: DataFrame, key: str) -> DataFrame:
+        per = df.groupBy(key, "root").count().groupBy(key).agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("main"))
+        return per.select(key, "size", F.col("main.root").alias("main"), (F.col("size") - F.col("main.count")).alias("outside")).where("outside > 0")
+
+    work = F.col("outside") * F.col("size")
+    depth = F.when(work <= MUCH, 0).when(work <= 25 * MUCH, 32).otherwise(64)  # bits of the further minima
+    regions = side(written(sizes(own, "key").select("key", depth.alias("bits")), "regions"))
+    finer = F.when(F.col("bits") == 0, 0).when(F.col("bits") == 32, F.shiftrightunsigned("rest", 32)).otherwise(F.col("rest"))
+    split = written(own.join(regions, "key").select("nid", "root", F.xxhash64("key", "bits", finer).alias("region")), "split")
+    main = side(written(sizes(split, "region"), "mains"))
+    here = split.join(main, "region").select("region", "nid", "root", (F.col("root") != F.col("main")).alias("out"), "size", "outside")
+    node = F.struct("nid", "root", "set")
+    deal = lambda n: F.pmod(F.xxhash64("nid"), F.ceil(F.col(n) / BLOCK))
+    full = here.join(sets, "nid")
+    inside = full.withColumn("block", deal("size")).groupBy("region", "block").agg(F.collect_list(node).alias("inside"))
+    outside = full.where("out").withColumn("o", deal("outside")).groupBy("region", "o").agg(F.collect_list(node).alias("outside"), F.first("size").alias("size"))
+    outside = outside.select("region", "outside", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / BLOCK) - 1)).alias("block"))
+    return written(map_arrow(outside.join(inside, ["region", "block"]).select("outside", "inside"), _across(percent), "a bigint, b bigint"), "outsiders")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Those pairs (a, b) whose full sets are alike."""
     with_b = pairs.select("a", "b").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("set_b")), "b")
@@ -211,8 +292,8 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
     spark = docs.sparkSession
     forest = map_arrow(nodes.select("nid", "sig"), _trees, "key bigint, rest bigint, nid bigint")
     ranged = forest.repartitionByRange(2 * n_partitions(spark), "key", "rest", "nid").sortWithinPartitions("key", "rest", "nid")
-    found = map_arrow(ranged, _candidates, "a bigint, b bigint, votes bigint").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
-    found = written(found, "candidates")
+    sorted_ = written(map_arrow(ranged, _candidates, "kind int, a bigint, b bigint, c bigint"), "forest")
+    found = written(sorted_.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("votes")), "candidates")
     both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
     best = written(both.groupBy("a").agg(F.min("b").alias("least"), F.max_by("b", F.struct("votes", -F.col("b"))).alias("likely")).withColumn("least", F.least("a", "least")), "best")
     hop = best.select(F.col("a").alias("likely_of"), F.col("least").alias("further"))
@@ -228,7 +309,9 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
     by = lambda c: side(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")))
     open_ = found.join(by("a"), "a", "left").join(by("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     tested = first.select("a", "b")
-    return sure.union(confirmed(written(open_.join(tested, ["a", "b"], "left_anti"), "open"), sets, percent, "links"))
+    sure = sure.union(confirmed(written(open_.join(tested, ["a", "b"], "left_anti"), "open"), sets, percent, "links"))
+    members = sorted_.where("kind = 1").select(F.col("a").alias("nid"), F.col("b").alias("key"), F.col("c").alias("rest"))
+    return sure.union(outsiders(members, written(components(sure), "roots"), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
