@@ -8,18 +8,20 @@ ties together, sorted, and to take the least id of each run of ties.
    bytes (with those that its last suffix reaches) are also a block of an earlier text ties as a
    whole; its suffixes are settled and are sorted no further.
 2. Cover sample: of the other suffixes, those at text offsets that are in a difference cover modulo
-   PERIOD are ranked by their first REST = WIDTH - PERIOD + 1 bytes. For any two suffixes i and j
-   there is an offset d below PERIOD with i + d and j + d both in the sample; so if they tie over
-   WIDTH bytes, the samples at i + d and j + d have the same rank. A suffix whose next PERIOD offsets
-   hold no sample with a rank that another text has too cannot tie and is dropped.
+   a period are ranked by their first WIDTH - period + 1 bytes. For any two suffixes i and j there
+   is an offset d below the period with i + d and j + d both in the sample; so if they tie over WIDTH
+   bytes, the samples at i + d and j + d have the same rank. A suffix whose next offsets hold no
+   sample with a rank that another text has too cannot tie and is dropped. This is done twice, with
+   a sparse cover first and a denser one, of longer ranks, for what that leaves.
 3. The rest are sorted one suffix bucket at a time. A bucket is a range of fingerprints of the first
-   WIDTH bytes, so that frequent prefixes do not make it large; 96 bits decide about ties (64 of a
-   rolling fingerprint, 32 of the bytes read anew).
+   WIDTH bytes, so that frequent prefixes do not make it large; these are compared by 72 bits and the
+   bucket's own (40 of a rolling fingerprint, 32 of the bytes read anew).
 
 Texts are dealt into groups by a hash; within a group ties are settled without a shuffle, and only
 the least text of each run goes on, so a string that is in a third of all texts sends one record per
 group at most (and one per repeat in that text). Memory is bounded by a group's bytes and a bucket's
-records; both shrink with more partitions. Records travel packed, a row per group and bucket.
+records; both shrink with more partitions. Records
+travel packed and compressed, a row per group and bucket, and texts compressed as well.
 
 Defined results: null and short texts keep all their bytes; rows with the same id do not remove each
 other's strings; a null id counts as larger than any; repeated rows give repeated results; bytes are
@@ -29,17 +31,20 @@ UTF-8, and strings may begin inside a character; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions
 
-WIDTH, PERIOD = 50, 31
-REST = WIDTH - PERIOD + 1
+WIDTH = 50
+#: Periods and sizes of the covers: with k residues a perfect cover has period k (k - 1) + 1.
+LEVELS = ((31, 6), (13, 4))
 #: One suffix in so many, on average, begins a block.
 BLOCK = 128
 #: Groups and buckets per shuffle partition.
@@ -73,8 +78,13 @@ def perfect_cover(period: int, size: int) -> list[int] | None:
     return grow([0], set())
 
 
-COVER = np.zeros(PERIOD, bool)
-COVER[perfect_cover(PERIOD, 6) or difference_cover(PERIOD)] = True
+def cover_mask(period: int, size: int) -> np.ndarray:
+    mask = np.zeros(period, bool)
+    mask[perfect_cover(period, size) or difference_cover(period)] = True
+    return mask
+
+
+COVERS = [cover_mask(*level) for level in LEVELS]
 
 _rng = np.random.default_rng(5)
 BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + _rng.integers(0, 2, 256, dtype=np.uint64)
@@ -100,7 +110,8 @@ class Group:
         ids = table.column("id").to_pylist()
         marks = table.column("mark").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i], marks[i]))
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+        unpack = zstandard.ZstdDecompressor().decompress
+        raw = [unpack(t) if t else b"" for t in table.column("raw").to_pylist()]
         self.order = order
         self.doc_ids = table.column("doc_id").to_pylist()
         self.raw = [raw[i] for i in order]
@@ -131,8 +142,8 @@ class Group:
             h[2 * size] = _join(prev[:-size], prev[size:], k)
             size *= 2
             k += 1
-            if size > 8:
-                h.pop(size // 2 if size // 2 not in (4, 16) else -1, None)
+            if size > 8 and size // 2 not in (8, 16):
+                h.pop(size // 2, None)
         return h
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,21 +185,37 @@ def _least(ids: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(buckets: np.ndarray, columns: list[np.ndarray], pk: int, n_buckets: int, done: np.ndarray) -> pa.Table:
-    """A row per bucket: its records column by column; `done` (places settled here) goes with bucket pk mod n_buckets."""
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers byte plane by byte plane: high planes of small numbers are zeros and compress away."""
+    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(wide[:, :width].T).tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return wide.view("<u8").ravel(), at + n * width
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values[:0].dtype.type(0))
+
+
+def _dealt(buckets: np.ndarray, columns: list[tuple[np.ndarray, int, bool]], pk: int, n_buckets: int, done: np.ndarray) -> pa.Table:
+    """A row per bucket: its records column by column (values, bytes, whether as steps); `done` (places settled here) goes with bucket pk mod n_buckets."""
     order = np.argsort(buckets, kind="stable")
     bounds = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
-    columns = [c[order] for c in columns]
+    columns = [(c[order], width, steps) for c, width, steps in columns]
     rows = {"bucket": [], "pk": [], "n": [], "data": [], "done": []}
-    home = pk % n_buckets
+    home, pack = pk % n_buckets, zstandard.ZstdCompressor(level=1).compress
     for b in range(n_buckets):
         s, e = bounds[b], bounds[b + 1]
         if e > s or (b == home and len(done)):
             rows["bucket"].append(b)
             rows["pk"].append(pk)
             rows["n"].append(int(e - s))
-            rows["data"].append(b"".join(c[s:e].tobytes() for c in columns))
-            rows["done"].append(done.tobytes() if b == home else b"")
+            rows["data"].append(pack(b"".join(_planes(_steps(c[s:e]) if steps else c[s:e], width) for c, width, steps in columns)))
+            rows["done"].append(pack(_planes(_steps(done), 4)) if b == home and len(done) else b"")
     return pa.Table.from_pydict(rows, DEALT)
 
 
@@ -197,19 +224,25 @@ DEALT_SQL = "bucket int, pk bigint, n bigint, data binary, done binary"
 #: What a bucket returns to a group. kind: settled blocks, shared ranks or settled suffixes.
 BACK = pa.schema([("pk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 BACK_SQL = "pk bigint, kind int, bucket int, data binary"
-TIED_BLOCKS, SHARED, TIED = 0, 1, 2
-TIE = [("a", "<u8"), ("b", "<u4"), ("id", "<i8"), ("at", "<u4")]
+TIED_BLOCKS, TIED, SHARED = 0, 1, 2  # SHARED + level
+LOW = U((1 << 40) - 1)
 
 
-def _split(raw: bytes, n: int) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, kind in TIE:
-        size = n * np.dtype(kind).itemsize
-        out[name] = np.frombuffer(raw[at : at + size], kind)
-        at += size
+def _unpack(raw: bytes, n: int, *columns: tuple[int, bool]) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    for width, steps in columns:
+        values, at = _from_planes(raw, at, n, width)
+        out.append(np.cumsum(values, dtype=np.uint64) if steps else values)
     return out
 
 
+def _done(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    return np.cumsum(_from_planes(raw, 0, len(raw) // 4, 4)[0], dtype=np.uint64) & U(0xFFFFFFFF)
+
+
 def _scaled(high: np.ndarray, n_buckets: int) -> np.ndarray:
     """Bucket of a fingerprint by its highest 24 bits."""
     return ((high >> U(40)) * U(n_buckets) >> U(24)).astype(np.int64)
@@ -221,7 +254,8 @@ def _tie_records(g: Group, a: np.ndarray, b: np.ndarray, text: np.ndarray, at: n
     least = _least(ids, order, begin)
     done = ids > least
     go = np.flatnonzero(~done)
-    return _dealt(_scaled(a[go], n_buckets), [a[go], b[go].astype("<u4"), ids[go], at[go].astype("<u4")], pk, n_buckets, at[done].astype("<u4"))
+    columns = [(a[go] & LOW, 5, False), (b[go].astype(np.uint64), 4, False), (ids[go].astype(np.uint64), 8, True), (at[go].astype(np.uint64), 4, False)]
+    return _dealt(_scaled(a[go], n_buckets), columns, pk, n_buckets, at[done].astype(np.uint64))
 
 
 def _block_ties(n_buckets: int):
@@ -238,16 +272,18 @@ def _block_ties(n_buckets: int):
 def _bucket_sorted(kind: int):
     def run(table: pa.Table) -> pa.Table:
         pks, ns, raws, dones = (table.column(c).to_pylist() for c in ("pk", "n", "data", "done"))
-        parts = [_split(r, n) for r, n in zip(raws, ns, strict=True)]
-        a, b, ids, at = (np.concatenate([p[c] for p in parts]) for c in ("a", "b", "id", "at"))
+        parts = [_unpack(r, n, (5, False), (4, False), (8, True), (4, False)) for r, n in zip(raws, ns, strict=True)]
+        a, b, ids, at = (np.concatenate([p[c] for p in parts]) for c in range(4))
+        ids = ids.astype(np.int64)
         order, begin = _runs(a, b)
         tied = ids > _least(ids, order, begin)
         rows = {"pk": [], "kind": [], "bucket": [], "data": []}
         s = 0
         for pk, n, done in zip(pks, ns, dones, strict=True):
-            raw = at[s : s + n][tied[s : s + n]].tobytes() + done
+            found = np.sort(np.concatenate([at[s : s + n][tied[s : s + n]], _done(done)]))
             s += n
-            if raw:
+            if len(found):
+                raw = zstandard.ZstdCompressor(level=1).compress(_planes(_steps(found), 4))
                 for name, value in (("pk", pk), ("kind", kind), ("bucket", 0), ("data", raw)):
                     rows[name].append(value)
         return pa.Table.from_pydict(rows, BACK)
@@ -256,8 +292,8 @@ def _bucket_sorted(kind: int):
 
 
 def _places(back: pa.Table, kind: int) -> np.ndarray:
-    raw = [d for k, d in zip(back.column("kind").to_pylist(), back.column("data").to_pylist(), strict=True) if k == kind]
-    return np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+    found = [_done(d) for k, d in zip(back.column("kind").to_pylist(), back.column("data").to_pylist(), strict=True) if k == kind]
+    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 def _spread(begin: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
@@ -276,25 +312,46 @@ def _open(g: Group, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return g.valid() & ~settled, settled
 
 
-def _sample(g: Group, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the cover sample that an open suffix reaches, and their fingerprints."""
+def _sample(g: Group, alive: np.ndarray, level: int, h: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a cover sample that an open suffix reaches, and their fingerprints."""
+    period = LEVELS[level][0]
+    rest = WIDTH - period + 1
     reach = np.concatenate(([0], np.cumsum(alive)))
     offset = np.arange(g.n) - np.repeat(g.starts[:-1], g.lengths)
     left = np.repeat(g.lengths, g.lengths) - offset
-    at = np.flatnonzero(COVER[offset % PERIOD] & (left >= REST))
-    at = at[reach[at + 1] > reach[np.maximum(at - PERIOD + 1, 0)]]
-    h = g.rolled(16)
-    return at, _finish(_join(h[16][at], h[4][at + 16], 12))
+    at = np.flatnonzero(COVERS[level][offset % period] & (left >= rest))
+    at = at[reach[at + 1] > reach[np.maximum(at - period + 1, 0)]]
+    size = 32 if rest >= 32 else 16
+    return at, _finish(_join(h[size][at], h[size][at + rest - size], 12))
 
 
-LOW = U((1 << 40) - 1)
+def _near(g: Group, alive: np.ndarray, level: int, back: pa.Table, n_buckets: int, h: dict[int, np.ndarray]) -> np.ndarray:
+    """The open suffixes that reach a sample with a shared rank."""
+    at, rank = _sample(g, alive, level, h)
+    known = [_done5(d) | U(b) << U(40) for k, b, d in zip(*(back.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True) if k == SHARED + level]
+    if not known:
+        return np.zeros(g.n, bool)
+    known = np.sort(np.concatenate(known))
+    mine = (rank & LOW) | _scaled(rank, n_buckets).astype(np.uint64) << U(40)
+    where = np.searchsorted(known, mine)
+    where[where == len(known)] = 0
+    at = at[known[where] == mine]
+    return alive & _spread(np.maximum(at - LEVELS[level][0] + 1, 0), at + 1, g.n)
+
+
+def _done5(raw: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    return np.cumsum(_from_planes(raw, 0, len(raw) // 5, 5)[0], dtype=np.uint64)
 
 
-def _ranks(n_buckets: int):
+def _ranks(n_buckets: int, level: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         g, pk = Group(table), key[0].as_py()
         alive, _ = _open(g, back)
-        at, rank = _sample(g, alive)
+        h = g.rolled(32 if level else 16)
+        for k in range(level):
+            alive = _near(g, alive, k, back, n_buckets, h)
+        at, rank = _sample(g, alive, level, h)
         text = g.text_of(at)
         order = np.argsort(rank, kind="stable")
         rank, text = rank[order], text[order]
@@ -305,57 +362,50 @@ def _ranks(n_buckets: int):
         begin = np.flatnonzero(new)
         shared = np.logical_or.reduceat(other, begin) if len(begin) else other
         rank = rank[begin]
-        packed = (rank & LOW).view(np.uint8).reshape(-1, 8)[:, :5] if len(rank) else np.zeros((0, 5), np.uint8)
-        return _dealt(_scaled(rank, n_buckets), [np.ascontiguousarray(packed), shared.astype(np.uint8)], pk, n_buckets, np.zeros(0, "<u4"))
+        bucket = _scaled(rank, n_buckets)
+        order = np.lexsort((rank & LOW, bucket))
+        return _dealt(bucket[order], [((rank & LOW)[order], 5, True), (shared[order].astype(np.uint64), 1, False)], pk, n_buckets, np.zeros(0, np.uint64))
 
     return run
 
 
-def _wide(packed: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(packed), 8), np.uint8)
-    out[:, :5] = packed
-    return out.view(np.uint64).ravel()
-
-
-def _rank_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    bucket = key[0].as_py()
-    pks, ns, raws = (table.column(c).to_pylist() for c in ("pk", "n", "data"))
-    ranks = [_wide(np.frombuffer(r[: 5 * n], np.uint8).reshape(-1, 5)) for r, n in zip(raws, ns, strict=True)]
-    flags = [np.frombuffer(r[5 * n :], np.uint8) for r, n in zip(raws, ns, strict=True)]
-    every = np.concatenate(ranks)
-    order = np.argsort(every, kind="stable")
-    s = every[order]
-    twin = np.zeros(len(s), bool)
-    twin[1:] = s[1:] == s[:-1]
-    twin[:-1] |= twin[1:]
-    shared = np.empty(len(s), bool)
-    shared[order] = twin
-    shared |= np.concatenate(flags) > 0
-    rows = {"pk": [], "kind": [], "bucket": [], "data": []}
-    at = 0
-    for pk, n, rank in zip(pks, ns, ranks, strict=True):
-        hit = rank[shared[at : at + n]]
-        at += n
-        if len(hit):
-            for name, value in (("pk", pk), ("kind", SHARED), ("bucket", bucket), ("data", np.ascontiguousarray(hit.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())):
-                rows[name].append(value)
-    return pa.Table.from_pydict(rows, BACK)
+def _rank_bucket(level: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        pks, ns, raws = (table.column(c).to_pylist() for c in ("pk", "n", "data"))
+        parts = [_unpack(r, n, (5, True), (1, False)) for r, n in zip(raws, ns, strict=True)]
+        every = np.concatenate([p[0] for p in parts])
+        order = np.argsort(every, kind="stable")
+        s = every[order]
+        twin = np.zeros(len(s), bool)
+        twin[1:] = s[1:] == s[:-1]
+        twin[:-1] |= twin[1:]
+        shared = np.empty(len(s), bool)
+        shared[order] = twin
+        shared |= np.concatenate([p[1] for p in parts]) > 0
+        rows = {"pk": [], "kind": [], "bucket": [], "data": []}
+        at = 0
+        for pk, n, (rank, _) in zip(pks, ns, parts, strict=True):
+            hit = rank[shared[at : at + n]]
+            at += n
+            if len(hit):
+                raw = zstandard.ZstdCompressor(level=1).compress(_planes(_steps(hit), 5))
+                for name, value in (("pk", pk), ("kind", SHARED + level), ("bucket", bucket), ("data", raw)):
+                    rows[name].append(value)
+        return pa.Table.from_pydict(rows, BACK)
+
+    return run
 
 
 def _suffix_ties(n_buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         g, pk = Group(table), key[0].as_py()
         alive, _ = _open(g, back)
-        at, rank = _sample(g, alive)
-        known = [_wide(np.frombuffer(d, np.uint8).reshape(-1, 5)) | U(b) << U(40) for k, b, d in zip(*(back.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True) if k == SHARED]
-        known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
-        mine = (rank & LOW) | _scaled(rank, n_buckets).astype(np.uint64) << U(40)
-        where = np.searchsorted(known, mine)
-        where[where == len(known)] = 0
-        at = at[known[where] == mine] if len(known) else at[:0]
-        near = _spread(np.maximum(at - PERIOD + 1, 0), at + 1, g.n)
-        go = np.flatnonzero(alive & near)
-        h = g.rolled(32)[32]
+        rolled = g.rolled(32)
+        for k in range(len(LEVELS)):
+            alive = _near(g, alive, k, back, n_buckets, rolled)
+        go = np.flatnonzero(alive)
+        h = rolled[32]
         a = _finish(_join(h[go], h[go + WIDTH - 32], 13))
         words = np.lib.stride_tricks.as_strided(g.data, (len(g.data) - 8, 8), (1, 1))
         b = np.zeros(len(go), np.uint64)
@@ -393,13 +443,21 @@ def _cut(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Tabl
     return pa.Table.from_pydict(rows, RESULT)
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        raw = [pack(t.encode("utf-8", "surrogatepass")) if t else None for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "mark")), pa.array(raw, pa.binary()), batch.column("pk")], ["doc_id", "id", "mark", "raw", "pk"])
+
+
 def repeated_bytes(docs: DataFrame, *, keep_spans: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans: begin, end, begin, ... in bytes) of every row of docs."""
     n = n_partitions(docs.sparkSession)
     groups, buckets = GROUPS * n, BUCKETS * n
     number = F.col("doc_id").cast("long")
     src = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(LAST)).alias("id"), F.xxhash64("text").alias("mark"), "text")
-    src = src.withColumn("pk", F.pmod(F.xxhash64("id", "mark"), F.lit(groups))).repartition(n, "pk")
+    src = src.withColumn("pk", F.pmod(F.xxhash64("id", "mark"), F.lit(groups)))
+    src = src.mapInArrow(_compressed, "doc_id bigint, id bigint, mark bigint, raw binary, pk bigint").repartition(n, "pk")
 
     def deal(fn, back: DataFrame | None) -> DataFrame:
         if back is None:
@@ -410,8 +468,10 @@ def repeated_bytes(docs: DataFrame, *, keep_spans: bool = True) -> DataFrame:
         return dealt.repartition(n, "bucket").groupBy("bucket").applyInArrow(fn, BACK_SQL)
 
     blocks = sort(deal(_block_ties(buckets), None), _bucket_sorted(TIED_BLOCKS)).repartition(n, "pk")
-    ranks = sort(deal(_ranks(buckets), blocks), _rank_bucket)
-    ties = sort(deal(_suffix_ties(buckets), blocks.union(ranks)), _bucket_sorted(TIED))
+    known = blocks
+    for level in range(len(LEVELS)):
+        known = known.union(sort(deal(_ranks(buckets, level), known), _rank_bucket(level)).repartition(n, "pk"))
+    ties = sort(deal(_suffix_ties(buckets), known), _bucket_sorted(TIED))
     out = src.groupBy("pk").cogroup(blocks.union(ties).groupBy("pk")).applyInArrow(_cut, RESULT_SQL)
     return out if keep_spans else out.drop("spans")
 

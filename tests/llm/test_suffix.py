@@ -25,8 +25,9 @@ def brute(rows, width=50):
 
 
 def test_cover_has_all_differences():
-    c = np.flatnonzero(suffix.COVER)
-    assert {(a - b) % suffix.PERIOD for a in c for b in c} == set(range(suffix.PERIOD)) and len(c) == 6
+    for (period, size), mask in zip(suffix.LEVELS, suffix.COVERS, strict=True):
+        c = np.flatnonzero(mask)
+        assert {(a - b) % period for a in c for b in c} == set(range(period)) and len(c) == size
     for period in (7, 10, 40):
         c = suffix.difference_cover(period)
         assert {(a - b) % period for a in c for b in c} == set(range(period))
