@@ -47,8 +47,8 @@ WIDTH = 50
 LEVELS = ((31, 6), (13, 4))
 #: One suffix in so many, on average, begins a block.
 BLOCK = 128
-#: Groups and buckets per shuffle partition.
-GROUPS, BUCKETS = 8, 2
+#: Groups per shuffle partition, and shuffle partitions per bucket: packed rows are groups times buckets at most.
+GROUPS, BUCKET_SHARE = 4, 3
 LAST = (1 << 63) - 1
 U = np.uint64
 
@@ -453,7 +453,7 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_bytes(docs: DataFrame, *, keep_spans: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans: begin, end, begin, ... in bytes) of every row of docs."""
     n = n_partitions(docs.sparkSession)
-    groups, buckets = GROUPS * n, BUCKETS * n
+    groups, buckets = GROUPS * n, max(1, n // BUCKET_SHARE)
     number = F.col("doc_id").cast("long")
     src = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(LAST)).alias("id"), F.xxhash64("text").alias("mark"), "text")
     src = src.withColumn("pk", F.pmod(F.xxhash64("id", "mark"), F.lit(groups)))
