@@ -43,7 +43,9 @@ SIGNATURE, TREES, BASE, DEPTH = 128, 24, 3, 7
 #: Regions up to this size have all pairs as candidates; in larger ones the neighbours up to REACH.
 SMALL_REGION, REACH = 12, 3
 #: Nodes in a block of the third round, and comparisons in a region beyond which it is split at depth 5, and 25 times as many at depth 7.
-BLOCK, MUCH = 256, 4_000_000
+BLOCK, MUCH = 128, 4_000_000
+#: Pairs of blocks in an Arrow batch; one such pair is unpacked at a time.
+BATCH = 16
 #: Bytes of a shingle's hash in the sets that are compared.
 SET_BYTES = 5
 
@@ -222,7 +224,8 @@ def _across(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
                 left, right = row["outside"], row["inside"]
                 x, xi = _packed([unpacked(r["set"]) for r in left])
                 y, yi = _packed([unpacked(r["set"]) for r in right])
@@ -273,7 +276,14 @@ def outsiders(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     inside = full.withColumn("block", deal("size")).groupBy("region", "block").agg(F.collect_list(node).alias("inside"))
     outside = full.where("out").withColumn("o", deal("outside")).groupBy("region", "o").agg(F.collect_list(node).alias("outside"), F.first("size").alias("size"))
     outside = outside.select("region", "outside", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / BLOCK) - 1)).alias("block"))
-    return written(map_arrow(outside.join(inside, ["region", "block"]).select("outside", "inside"), _across(percent), "a bigint, b bigint"), "outsiders")
+    met = outside.join(inside, ["region", "block"]).select("outside", "inside")
+    conf, name = members.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, str(BATCH))
+    try:
+        return written(map_arrow(met, _across(percent), "a bigint, b bigint"), "outsiders")
+    finally:
+        conf.set(name, usual)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
