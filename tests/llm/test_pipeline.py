@@ -9,7 +9,7 @@ from quillon.llm.common import tokenizer_path
 
 def test_stages_against_brute_force(spark, tmp_path, rows):
     token = "password = Zk3nQ8vXw2LrT7yB5mJ1"
-    more = [(2000 + i, f"{r[1]} {token}", r[2], r[3], None) for i, r in enumerate(rows[:3])]
+    more = [(2000 + i, f"{' '.join(reversed(r[1].split()))} {token}", r[2], r[3], None) for i, r in enumerate(rows[:3])]
     docs = [*rows, *more]
     bench = [(1, " ".join(rows[9][1].split()[:30]))]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
