@@ -64,13 +64,21 @@ def resolve_by_path(candidates: DataFrame, path: str) -> DataFrame:
 def unit_at(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     """The unit at each wanted address (diff_id, side, at): one that begins there, else the first that has a block around it.
 
-    blocks: diff_id, side, func_addr, begin, end.
+    blocks: diff_id, side, func_addr, begin, end. A block is entered under the one or two buckets of addresses that it
+    touches, in buckets of the least power of two that is not below its length; an address looks into its bucket of every
+    power in use, of which there are 63 at most. So both look-ups are joins on equal keys.
     """
-    w = wanted.alias("w")
-    b = blocks.alias("b")
-    same = (F.col("w.diff_id") == F.col("b.diff_id")) & (F.col("w.side") == F.col("b.side"))
-    inside = (F.col("w.at") >= F.col("b.begin")) & (F.col("w.at") < F.col("b.end"))
-    hit = w.join(b, same & (inside | (F.col("w.at") == F.col("b.func_addr")))).select("w.*", "b.func_addr")
+    key = ["diff_id", "side"]
+    bucket = lambda at: F.call_function("shiftright", at, F.col("bits"))
+    last = F.col("end") - 1
+    # A length beyond the largest number gets buckets of 2^63.
+    bits = F.coalesce(F.least(F.length(F.bin(F.try_subtract(last, F.col("begin")))), F.lit(63)), F.lit(63))
+    spans = blocks.where("begin < end").select(*key, "func_addr", "begin", "end", bits.alias("bits"))
+    entered = spans.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("begin")), bucket(last)))))
+    asked = wanted.crossJoin(F.broadcast(spans.select("bits").distinct()))
+    around = asked.withColumn("bucket", bucket(F.col("at"))).join(entered, [*key, "bits", "bucket"]).where("at >= begin and at < end")
+    begins = wanted.join(blocks.select(*key, "func_addr", F.col("func_addr").alias("at")).distinct(), [*key, "at"])
+    hit = around.select(*wanted.columns, "func_addr").unionByName(begins.select(*wanted.columns, "func_addr"))
     order = [F.desc(F.col("func_addr") == F.col("at")), unsigned_order(F.col("func_addr"))]
     return hit.withColumn("n", F.row_number().over(Window.partitionBy("diff_id", "side", "at").orderBy(*order))).where("n = 1").drop("n")
 

@@ -408,10 +408,10 @@ def resolve_corpus(spark, sf_dir):
 SELECT a AS at, func_addr FROM (SELECT a, func_addr, row_number() OVER (PARTITION BY a ORDER BY func_addr = a DESC, func_addr) AS n FROM w JOIN bl ON (a >= b AND a < e) OR func_addr = a) WHERE n = 1"""
 )
 def unit_at_address(spark, sf_dir):
-    o = corpora.table(spark, sf_dir, "orders").where("o_orderkey <= 2000")
+    o = corpora.table(spark, sf_dir, "orders")
     one = [F.lit("x").alias("diff_id"), F.lit("L").alias("side")]
     rows = o.select(*one, F.col("o_orderkey").alias("func_addr"), (F.col("o_orderkey") * 10).alias("begin"), (F.col("o_orderkey") * 10 + 7).alias("end"))
-    wanted = corpora.table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").select(*one, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")).distinct()
+    wanted = corpora.table(spark, sf_dir, "lineitem").select(*one, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")).distinct()
     return presentation.unit_at(rows, wanted).select("at", "func_addr")
 
 

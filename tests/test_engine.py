@@ -191,3 +191,31 @@ def test_new_snapshots_are_followed(spark, tmp_path):
         snapshots.follow(spark, source, target, check).awaitTermination()
     rows = spark.read.parquet(target)
     assert rows.count() == 2 and rows.select("norm_hash").distinct().count() == 1
+
+
+def test_unit_at_whole_tables_and_any_ranges(spark, tmp_path):
+    import random
+
+    from quillon.plans import catalog
+
+    def by_hand(blocks, at):
+        exact = [f for f, _, _ in blocks if f == at]
+        around = [f for f, b, e in blocks if b <= at < e]
+        return min(exact or around, key=lambda f: f % 2**64, default=None)
+
+    keys = [1, 7, 1999, 2000, 2001, 5000, 20005, 70000]
+    lines = [(k, n) for k in keys for n in (1, 3, 7)]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    blocks = [(k, k * 10, k * 10 + 7) for k in keys]
+    want = {(a, f) for k, n in lines if (f := by_hand(blocks, a := k * 10 + n)) is not None}
+    assert {tuple(r) for r in catalog.QUERIES["unit_at_address"](spark, str(tmp_path)).collect()} == want and max(want)[0] > 700000
+
+    rng = random.Random(4)
+    top = 2**63 - 1
+    blocks = [(rng.randint(-300, 300), b := rng.randint(-300, 300), b + rng.choice((-1, 0, 1, 2, 7, 8, 9, 200))) for _ in range(60)] + [(500, -top, top), (600, 700, top)]
+    at = [*range(-320, 320), -top - 1, -top, top - 1, top, 699, 700]
+    rows = spark.createDataFrame([("d", s, *b) for s in "LR" for b in (blocks if s == "L" else blocks[:9])], "diff_id string, side string, func_addr long, begin long, end long")
+    got = presentation.unit_at(rows, spark.createDataFrame([("d", s, a) for s in "LR" for a in at], "diff_id string, side string, at long"))
+    want = {(s, a, f) for s in "LR" for a in at if (f := by_hand(blocks if s == "L" else blocks[:9], a)) is not None}
+    assert {(r.side, r.at, r.func_addr) for r in got.collect()} == want
