@@ -219,3 +219,12 @@ def test_unit_at_whole_tables_and_any_ranges(spark, tmp_path):
     got = presentation.unit_at(rows, spark.createDataFrame([("d", s, a) for s in "LR" for a in at], "diff_id string, side string, at long"))
     want = {(s, a, f) for s in "LR" for a in at if (f := by_hand(blocks if s == "L" else blocks[:9], a)) is not None}
     assert {(r.side, r.at, r.func_addr) for r in got.collect()} == want
+
+
+def test_v1_documents_of_all_orders(spark, tmp_path):
+    from quillon.plans import catalog
+
+    keys = [3, 4, 2999, 3000, 3001, 3002, 900000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    want = {(str(k), 1.0 if k % 3 == 0 else 0.5, 1.0, "identical" if k % 3 == 0 else "changed") for k in keys}
+    assert {tuple(r) for r in catalog.QUERIES["v1_compat"](spark, str(tmp_path)).collect()} == want
