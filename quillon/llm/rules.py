@@ -2,21 +2,23 @@
 
 Every text becomes a vector of transformed statistics (DIMENSIONS). For each (language, source) the
 minimum covariance determinant is sought by deterministic starts and concentration steps: take the
-distances under the present centre and scatter, keep the share H of rows that are nearest, and
-estimate anew from those; the start that ends with the smallest determinant wins. A text whose
+distances under the present centre and scatter, keep the (n + P + 1) / 2 of n rows that are nearest,
+and estimate anew from those; the start that ends with the smallest determinant wins. A text whose
 Mahalanobis distance under that estimate is too large is rejected. Fixed base rules reject first.
 
-All rows take part in every step. Distances and coordinates are tallied in fixed bins, so a quantile
+Equal vectors of a group count once in its estimate: copies of a text, however many, weigh no more
+than one, so they cannot draw the estimate to themselves. All distinct vectors take part in every
+step. Distances and coordinates are tallied in fixed bins, so a quantile
 is a cumulative sum over one row per bin; moments are sums of whole numbers (coordinates are
 quantized), so they come out alike however rows are spread over tasks. A hot source is combined on
 the map side and never gathered. Only per-group estimates move, and they are broadcast only if there
 are at most BROADCAST_GROUPS groups; beyond, a shuffled join with AQE's skew handling takes its place.
 
-Groups with fewer than MIN_GROUP texts are pooled by language, and what is still too small over all
-languages; a pool below MIN_GROUP rejects nothing beyond the base rules.
+Groups with fewer than MIN_GROUP distinct vectors are pooled by language, and what is still too small
+over all languages; a pool below MIN_GROUP rejects nothing beyond the base rules.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and
-sources are groups of their own; repeated rows count as often as they are there; empty tables give
+sources are groups of their own; repeated rows are judged alike, each of them; empty tables give
 empty results; extra columns, of any name, are left alone.
 """
 
@@ -41,8 +43,8 @@ P = len(DIMENSIONS)
 #: Steps of a coordinate's unit in the quantized vectors, and the least standard deviation of each coordinate, so that a statistic that is 0 nearly everywhere still has a scale.
 STEPS = 512
 FLOOR = (0.06, 0.05, 0.30, 0.30, 0.06, 0.06, 0.06)
-#: Share of rows in the concentration steps, number of steps, least group, and the largest squared distance that is kept (in units in which the median text of a group has the chi-square median).
-H, C_STEPS, MIN_GROUP, CUTOFF = 0.75, 5, 60, 60.0
+#: Number of concentration steps, least group, and the largest squared distance that is kept (in units in which the median text of a group has the chi-square median).
+C_STEPS, MIN_GROUP, CUTOFF = 5, 60, 60.0
 CHI2_MEDIAN = 6.346  # for 7 dimensions
 #: A statistic of few words is noisy: squared distances are divided by 1 + NOISE / words.
 NOISE = 30.0
@@ -117,7 +119,7 @@ def _attached(rows: DataFrame, groups: DataFrame, on: list[str], n_groups: int)
 
 def grouped(rows: DataFrame) -> tuple[DataFrame, int]:
     """The pool (lang, source -> g) of every group, and the number of groups."""
-    sizes = rows.groupBy("lang", "source").count()
+    sizes = rows.groupBy("lang", "source").count()  # of distinct vectors
     own = F.col("count") >= MIN_GROUP
     by_lang = F.sum(F.when(~own, F.col("count")).otherwise(0)).over(Window.partitionBy("lang"))
     pool = (
@@ -194,12 +196,12 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 2.0**-20) * BINS).cast("int")
 
 
-def _thresholds(rows: DataFrame, share: float) -> DataFrame:
-    """Per group and start, the bin up to which at least the share of the rows lie."""
+def _thresholds(rows: DataFrame, more: int) -> DataFrame:
+    """Per group and start, the bin up to which at least half of the rows and `more` halves lie."""
     bins = rows.groupBy("g", "start", "bin").agg(F.count("*").alias("c"))
     w = Window.partitionBy("g", "start")
     ranked = bins.withColumns({"upto": F.sum("c").over(w.orderBy("bin")), "all": F.sum("c").over(w)})
-    return ranked.where(F.col("upto") >= F.col("all") * share).groupBy("g", "start").agg(F.min("bin").alias("most"))
+    return ranked.where(2 * F.col("upto") >= F.least(F.col("all") + more, 2 * F.col("all"))).groupBy("g", "start").agg(F.min("bin").alias("most"))
 
 
 def estimates(rows: DataFrame, n_groups: int) -> DataFrame:
@@ -209,21 +211,23 @@ def estimates(rows: DataFrame, n_groups: int) -> DataFrame:
     sums = [F.sum(f"q{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"q{i}") * F.col(f"q{j}")).alias(f"s{i}_{j}") for i, j in ij]
     for _ in range(C_STEPS):
         far = _attached(rows, params, ["g"], n_groups).withColumn("bin", _bin(distance2()))
-        most = written(_thresholds(far, H), "most")
+        most = written(_thresholds(far, P + 1), "most")
         near = _attached(far, most, ["g", "start"], n_groups).where(F.col("bin") <= F.col("most"))
         moments = near.groupBy("g", "start").agg(F.max("n").alias("n"), F.count("*").alias("m"), *sums)
         params = written(map_arrow(moments, _estimated, PARAMS), "step")
     best = params.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "centre", "inverse")).alias("b")).select("g", "b.start", "b.n", "b.centre", "b.inverse")
     best = written(best, "best")
-    scale = _thresholds(_attached(rows, best, ["g"], n_groups).withColumn("bin", _bin(distance2())), 0.5).select("g", F.pow(F.lit(2.0), (F.col("most") + 1) / F.lit(float(BINS))).alias("median2"))
+    scale = _thresholds(_attached(rows, best, ["g"], n_groups).withColumn("bin", _bin(distance2())), 0).select("g", F.pow(F.lit(2.0), (F.col("most") + 1) / F.lit(float(BINS))).alias("median2"))
     # The floor keeps a group whose texts are all alike from getting a scale of nearly nothing.
     return written(best.join(scale, "g").withColumn("scale", F.greatest(F.col("median2") / CHI2_MEDIAN, F.lit(0.25))).select("g", "n", "centre", "inverse", "scale"), "estimates")
 
 
 def fitted(rows: DataFrame) -> tuple[DataFrame, int]:
     """(lang, source) with its pool's estimate, and the number of those rows. rows: the measured table."""
-    pool, n = grouped(rows)
-    est = estimates(_attached(rows.select("lang", "source", *(f"q{i}" for i in range(P))), pool, ["lang", "source"], n), n)
+    vector = [f"q{i}" for i in range(P)]
+    once = written(rows.select("lang", "source", *vector).distinct(), "vectors")
+    pool, n = grouped(once)
+    est = estimates(written(_attached(once, pool, ["lang", "source"], n).select("g", *vector).distinct(), "pooled"), n)
     return written(pool.join(est, "g", "left"), "fitted"), n
 
 

@@ -56,3 +56,24 @@ def test_filter_keeps_columns(spark, odd, none):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == kept and 105 <= len(kept) < 120
     assert rules.quality(none).count() == 0 and rules.keep_good(none).count() == 0
     assert rules.keep_good(odd).count() == 0 and rules.quality(odd).count() == 4
+
+
+def test_a_third_of_copies_goes(spark):
+    """Copies and near copies of one junk text, a third of a group, are rejected, and the clean texts stay."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    words = [word().upper() + "!!" for _ in range(100)]
+    rows = []
+    for i in range(600):
+        t = " ".join(word() for _ in range(rng.randint(60, 150))) + "."
+        junk = i % 3 == 0
+        if junk and i % 2:
+            t = " ".join([*words[:-3], *(word().upper() + "!!" for _ in range(3))])
+        elif junk:
+            t = " ".join(words)
+        rows.append((i, t, "en", "copies" if i < 300 else "both"))
+    rows = [(i, " ".join(words) if i % 3 == 0 and s == "copies" else t, g, s) for i, t, g, s in rows]
+    got = {r.doc_id: r for r in rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i, r in got.items() if r.kept == (i % 3 == 0)] == []
