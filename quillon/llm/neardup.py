@@ -12,8 +12,8 @@ Candidate links are confirmed on the full sets in three rounds. First every node
 least node that its candidates lead to and with its most frequent candidate; then all candidates
 that are not yet in one component are compared. What large regions still hold apart is settled
 without candidates: their outsiders, the nodes that are not in the region's main component, are
-compared with all nodes of the region, blocks of the one against blocks of the other. Where that
-would be too much for a region, it is split at a greater depth first. Components are found by
+compared with all nodes of the region, blocks of the one against blocks of the other, however large
+the region is. Components are found by
 distributed stars. Hot groups are never gathered: regions are split by the range sort, equal texts
 are combined on the map side, and blocks of a region are dealt to different tasks.
 
@@ -42,7 +42,7 @@ from .components import BROADCAST_ROWS, components, side
 SIGNATURE, TREES, BASE, DEPTH = 128, 24, 3, 7
 #: Regions up to this size have all pairs as candidates; in larger ones the neighbours up to REACH.
 SMALL_REGION, REACH = 12, 3
-#: Nodes in a block of the third round, and comparisons in a region beyond which it is split at depth 5, and 25 times as many at depth 7.
+#: Nodes in a block of the third round, and the most comparisons in one of its Arrow batches of more than one pair of blocks.
 BLOCK, MUCH = 128, 4_000_000
 #: Pairs of blocks in an Arrow batch; one such pair is unpacked at a time.
 BATCH = 16
@@ -141,13 +141,13 @@ def neighbours(key: np.ndarray, nid: np.ndarray) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a candidate pair a, b and its votes; kind 1: a node a of the large region b, and its further minima c."""
-    key, rest, nid = (np.zeros(0, np.int64) for _ in range(3))
+    """kind 0: a candidate pair a, b and its votes; kind 1: a node a of the large region b (c is 0)."""
+    key, nid = (np.zeros(0, np.int64) for _ in range(2))
 
     def table(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (a, b, c))], ["kind", "a", "b", "c"])
 
-    def out(key: np.ndarray, rest: np.ndarray, nid: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
+    def out(key: np.ndarray, nid: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
         pairs, votes = np.unique(neighbours(key, nid), axis=0, return_counts=True)
         if len(pairs):
             yield table(0, pairs[:, 0], pairs[:, 1], votes.astype(np.int64))
@@ -157,16 +157,16 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             large[[0, -1]] = True
         own = np.flatnonzero(large[at])
         if len(own):
-            yield table(1, nid[own], key[own], rest[own])
+            yield table(1, nid[own], key[own], np.zeros(len(own), np.int64))
 
     first = True
     for batch in batches:
-        key, rest, nid = (np.concatenate([x, batch.column(n).to_numpy()]) for x, n in ((key, "key"), (rest, "rest"), (nid, "nid")))
+        key, nid = (np.concatenate([x, batch.column(n).to_numpy()]) for x, n in ((key, "key"), (nid, "nid")))
         end = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last region may go on in the next batch
-        yield from out(key[:end], rest[:end], nid[:end], first)
+        yield from out(key[:end], nid[:end], first)
         first = first and not end
-        key, rest, nid = key[end:], rest[end:], nid[end:]
-    yield from out(key, rest, nid, True)
+        key, nid = key[end:], nid[end:]
+    yield from out(key, nid, True)
 
 
 def _sets(size: int):
@@ -256,20 +256,11 @@ def _across(percent: int):
 
 
 def outsiders(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b of the nodes that are not in their large region's main component. members: nid, key, rest."""
-    own = written(members.join(side(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid")), "members")
-
-    def sizes(df: DataFrame, key: str) -> DataFrame:
-        per = df.groupBy(key, "root").count().groupBy(key).agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("main"))
-        return per.select(key, "size", F.col("main.root").alias("main"), (F.col("size") - F.col("main.count")).alias("outside")).where("outside > 0")
-
-    work = F.col("outside") * F.col("size")
-    depth = F.when(work <= MUCH, 0).when(work <= 25 * MUCH, 32).otherwise(64)  # bits of the further minima
-    regions = side(written(sizes(own, "key").select("key", depth.alias("bits")), "regions"))
-    finer = F.when(F.col("bits") == 0, 0).when(F.col("bits") == 32, F.shiftrightunsigned("rest", 32)).otherwise(F.col("rest"))
-    split = written(own.join(regions, "key").select("nid", "root", F.xxhash64("key", "bits", finer).alias("region")), "split")
-    main = side(written(sizes(split, "region"), "mains"))
-    here = split.join(main, "region").select("region", "nid", "root", (F.col("root") != F.col("main")).alias("out"), "size", "outside")
+    """Links a, b of the nodes that are not in their large region's main component, of comparisons with all of the region. members: nid, key."""
+    own = written(members.select("nid", F.col("key").alias("region")).join(side(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid")), "members")
+    per = own.groupBy("region", "root").count().groupBy("region").agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("main"))
+    main = per.select("region", "size", F.col("main.root").alias("main"), (F.col("size") - F.col("main.count")).alias("outside")).where("outside > 0")
+    here = own.join(side(written(main, "mains")), "region").select("region", "nid", "root", (F.col("root") != F.col("main")).alias("out"), "size", "outside")
     node = F.struct("nid", "root", "set")
     deal = lambda n: F.pmod(F.xxhash64("nid"), F.ceil(F.col(n) / BLOCK))
     full = here.join(sets, "nid")
@@ -279,7 +270,7 @@ def outsiders(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     met = outside.join(inside, ["region", "block"]).select("outside", "inside")
     conf, name = members.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = conf.get(name)
-    conf.set(name, str(BATCH))
+    conf.set(name, str(max(1, min(BATCH, MUCH // BLOCK**2))))
     try:
         return written(map_arrow(met, _across(percent), "a bigint, b bigint"), "outsiders")
     finally:
@@ -320,7 +311,7 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
     open_ = found.join(by("a"), "a", "left").join(by("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     tested = first.select("a", "b")
     sure = sure.union(confirmed(written(open_.join(tested, ["a", "b"], "left_anti"), "open"), sets, percent, "links"))
-    members = sorted_.where("kind = 1").select(F.col("a").alias("nid"), F.col("b").alias("key"), F.col("c").alias("rest"))
+    members = sorted_.where("kind = 1").select(F.col("a").alias("nid"), F.col("b").alias("key"))
     return sure.union(outsiders(members, written(components(sure), "roots"), sets, percent))
 
 

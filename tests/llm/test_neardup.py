@@ -92,3 +92,14 @@ def test_odd_rows(odd, none, spark):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 6]
     same = spark.createDataFrame([(i, "a b c d e f") for i in range(50)], "doc_id long, text string")
     assert [r.doc_id for r in neardup.keep_first(same).collect()] == [0]
+
+
+def test_outsiders_meet_all_of_a_region_however_large(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MUCH", 10)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    packed = lambda k: b"".join((k * 100 + i).to_bytes(neardup.SET_BYTES, "little") for i in range(20))
+    rows = [(i, 1, i << 32 | i, packed(7 if i == 49 else i)) for i in range(50)]  # node 49 is as node 7; no two agree in further minima
+    df = spark.createDataFrame(rows, "nid long, key long, rest long, set binary")
+    roots = spark.createDataFrame([(i, 0) for i in range(49)], "node long, root long")
+    got = neardup.outsiders(df.select("nid", "key", "rest"), roots, df.select("nid", "set"), 80)
+    assert [tuple(r) for r in got.collect()] == [(49, 7)]
