@@ -2,10 +2,14 @@
 
 Two first-order models over classes of characters are trained from labelled samples, one of random
 strings (keys, hex, base64), one of ordinary identifiers (words in camel, snake and kebab case, with
-numbers and paths). A candidate is a run of at least MIN_RUN key characters with a letter and a
-digit; it is a secret if its mean log-likelihood ratio per step is above a threshold.
+numbers and paths). A candidate is a run of at least MIN_RUN key characters, which is the shortest
+random string of the samples; it is a secret if its mean log-likelihood ratio per step is above a
+threshold. Where a whole run is not, its best part between separators that is long enough may be, and
+so on to the left and right of that, so that an identifier or path around a key does not hide it.
+Runs of fewer than LEAST_KINDS different characters (rules, fillers) are not random: a random
+hexadecimal string of MIN_RUN has so few with chance 4e-7.
 
-The fixed patterns always count; the models add spans that overlap none of theirs.
+The fixed patterns always count; they cut the runs, and the models add spans in what lies between.
 
 Defined results: a null or empty text has no spans; a null id is kept; offsets are code points, ends
 exclusive; extra columns are ignored; repeated rows give repeated results; texts are scanned whole.
@@ -33,9 +37,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters or more; a run is one
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: One of these is in every lower-cased text with an assign match.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
-MIN_RUN = 20
+MIN_RUN, LEAST_KINDS = 16, 5
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
+PART = re.compile(r"[A-Za-z0-9+]+")
 THRESHOLD = 0.35
 #: Most labelled strings of each label that train() uses.
 TRAIN_ROWS = 20_000
@@ -132,14 +136,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _gaps(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the base spans (sorted) leave of start to end."""
+    for s, _, e in base:
+        if s < end and start < e:
+            if s > start:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def _random(run: str, models: MarkovPair, threshold: float) -> bool:
+    return len(run) >= MIN_RUN and len(set(run)) >= LEAST_KINDS and models.score(run) > threshold
+
+
+def best_part(run: str, models: MarkovPair, threshold: float) -> tuple[int, int] | None:
+    """Start and end of the part between separators, MIN_RUN long or more, whose steps exceed the threshold by most in all."""
+    codes = models.codes(run)
+    over = np.concatenate(([0.0], np.cumsum(models.ratio[np.concatenate(([len(ALPHABET)], codes[:-1])), codes] - threshold)))
+    parts = [m.span() for m in PART.finditer(run)]
+    best, found, least, k = 0.0, None, None, 0
+    for _, end in parts:
+        while k < len(parts) and parts[k][0] <= end - MIN_RUN:
+            least = parts[k][0] if least is None or over[parts[k][0]] < over[least] else least
+            k += 1
+        if least is not None and over[end] - over[least] > best:
+            best, found = over[end] - over[least], (least, end)
+    return found
+
+
+def random_spans(run: str, models: MarkovPair, threshold: float) -> list[tuple[int, int]]:
+    """The run if it is random as a whole, else its random parts."""
+    if _random(run, models, threshold):
+        return [(0, len(run))]
+    out, rest = [], [(0, len(run))]
+    while rest:
+        start, end = rest.pop()
+        if end - start >= MIN_RUN and (part := best_part(run[start:end], models, threshold)):
+            s, e = start + part[0], start + part[1]
+            if _random(run[s:e], models, threshold):
+                out.append((s, e))
+            rest += [(start, s), (e, end)]
+    return out
+
+
 def all_spans(text: str, models: MarkovPair, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The fixed patterns' spans, and those together with the models' spans."""
     base = base_spans(text)
     added = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if MIXED.match(run) and not any(s < m.end() and m.start() < e for s, _, e in base) and models.score(run) > threshold:
-            added.append((m.start(), 3, m.end()))
+        own = [b for b in base if b[0] < m.end() and m.start() < b[2]] if base else base
+        for s, e in _gaps(m.start(), m.end(), own):
+            added += [(s + i, 3, s + j) for i, j in random_spans(text[s:e], models, threshold)]
     return base, sorted(base + added)
 
 

@@ -46,3 +46,17 @@ def test_rows(docs, spark, odd, none):
     assert secrets.scan(none).count() == 0 and secrets.scan(odd).count() == 4
     kept = secrets.redact(odd)
     assert kept.columns == odd.columns and kept.count() == 4 and kept.where("text is null").count() == 1
+
+
+def test_accuracy_of_spans_in_texts():
+    """Through all_spans: every trained length, letters only, and keys behind an identifier or path."""
+    m = secrets.default_models()
+    found = lambda t: bool(secrets.all_spans(f"see {t} here", m)[1])
+    samples = secrets.labelled_samples(1500, seed=12345)
+    keys, names = ([t for t, label in samples if label is want] for want in (True, False))
+    for some in (keys, [t for t in keys if len(t) < 20], [n + "=/"[i % 2] + t for i, (n, t) in enumerate(zip(names, keys))]):
+        assert sum(map(found, some)) / len(some) > 0.99
+    assert not any(map(found, names))
+    assert found("kQzWvXjRpGtYbNhD") and not found("x" * 300) and not found("=-" * 100)
+    t = "password=hunter2hunter2/Zk3nQ8vXw2LrT7yB5mJ1 " + "0123456789abcdef" * 2 + "ZQ8vXw2LrT7yB5mJ1kPz"
+    assert [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.all_spans(t, m)[1]] == [("assign", t[:44]), ("hex", t[45:77]), ("random", t[77:])]
