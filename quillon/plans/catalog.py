@@ -270,6 +270,12 @@ def instr_diff(spark, sf_dir):
     return blocks.line_changes(same.unionByName(alike), blocks.shown_lines(corpus))
 
 
+@query()
+def instr_diff_full(spark, sf_dir):
+    """The line comparison of all block matches of the whole engine; instr_diff is its part that SQL can express."""
+    return blocks.line_changes(_full(spark, sf_dir).block_matches, blocks.shown_lines(corpora.document_corpus(spark, sf_dir)))
+
+
 @query()
 def highlight(spark, sf_dir):
     return blocks.highlights(_full(spark, sf_dir).block_matches)

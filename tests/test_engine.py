@@ -228,3 +228,21 @@ def test_v1_documents_of_all_orders(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
     want = {(str(k), 1.0 if k % 3 == 0 else 0.5, 1.0, "identical" if k % 3 == 0 else "changed") for k in keys}
     assert {tuple(r) for r in catalog.QUERIES["v1_compat"](spark, str(tmp_path)).collect()} == want
+
+
+def test_line_changes_of_the_whole_engine(spark, diff, monkeypatch):
+    from quillon.plans import catalog
+
+    monkeypatch.setattr(catalog, "_full", lambda spark, sf_dir: diff)
+    monkeypatch.setattr(catalog.corpora, "document_corpus", lambda spark, sf_dir: corpus(spark, V1, V2))
+    words = [{(100 + i * 10) * 100 + k: line.split() for i, lines in enumerate(v.values()) for k, line in enumerate(lines)} for v in (V1, V2)]
+    want = set()
+    for m in diff.block_matches.where("left_addr is not null and right_addr is not null").collect():
+        a, b = words[0][m.left_addr], words[1][m.right_addr]
+        for n in range(max(len(a), len(b))):
+            x, y = (w[n] if n < len(w) else None for w in (a, b))
+            if x != y:
+                want.add((m.left_addr, m.right_addr, n, x, y))
+    got = catalog.QUERIES["instr_diff_full"](spark, "").collect()
+    assert {(r.left_addr, r.right_addr, r.line_no, r.left_line, r.right_line) for r in got} == want and len(got) == len(want)
+    assert ("div", "sub") in {(r.left_line, r.right_line) for r in got}
