@@ -4,19 +4,24 @@ A symbol list starts as single characters. All adjacent pairs whose joined text
 an agenda, highest score first and leftmost first among equals; taking one merges the pair and puts
 the two new neighbours on the agenda. Characters without a piece fall back to their UTF-8 bytes.
 
-No piece spans a boundary between a character and a following space mark, and some characters are
-in no longer piece at all. A text is therefore cut there, and each distinct segment is encoded once
-per worker and remembered (the memory is bounded and emptied when full). Every segment that enters
-the memory is checked against the sentencepiece library, one library call per Arrow batch.
+No piece spans a boundary between a character and a following space mark, some characters are in no
+longer piece at all, and no piece has certain marks behind a letter. A text is therefore cut there,
+and each distinct segment is encoded once per worker and remembered (the memory is bounded). Decoding spells a segment
+from its ids, once as well, and puts the spelt segments together. Ids and spelling of every segment
+that enters the memory are checked against the sentencepiece library, one call of each kind per
+Arrow batch.
 
 Defined results: a null or empty text has no pieces, only the end id, and decodes to an empty
-text. A null id is kept. Extra columns are ignored. Repeated rows give repeated results.
+text; space marks in a text are spaces. A null id is kept. Extra columns are ignored, whatever their
+names. Repeated rows give repeated results; an empty table gives an empty one. Texts have no length
+limit; a text without any place to cut is one segment, which is not remembered.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from operator import add
@@ -29,7 +34,9 @@ from .common import id_text, map_arrow, texts, tokenizer_path
 
 SPACE = "▁"
 #: Remembered segments per worker, and the longest that is remembered.
-MEMORY, LONGEST = 1_000_000, 48
+MEMORY, LONGEST = 600_000, 48
+#: Latin letters; a segment of them ends before a mark that no longer piece has behind one.
+LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 #: Types of a piece in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTES = 1, 2, 3, 4, 5, 6
@@ -65,9 +72,13 @@ class PieceModel:
             raise ValueError("pieces with a space mark after another character are not supported")
         #: "\n" can be cut at if it is in no longer piece.
         self.cuts = "" if any("\n" in p for p in longer) else "\n"
-        self.segment = re.compile(f"{SPACE}*[^{SPACE}{self.cuts}]+|{SPACE}+" + "|\n" * bool(self.cuts))
-        #: The decimal ids of remembered segments, and the text of those few whose ids do not spell the segment itself.
+        follow = {b for p in longer for a, b in zip(p, p[1:], strict=False) if LETTER.match(a)}
+        tails = "".join(re.escape(c) for c in string.punctuation if c not in follow)
+        self.segment = re.compile((f" *{LETTER.pattern}++(?=[{tails}])|" if tails else "") + f" *[^ {self.cuts}]+| +" + "|\n" * bool(self.cuts))
+        self.plain = [p.piece.replace(SPACE, " ") if p.type == NORMAL else None for p in spec.pieces]
+        #: The decimal ids of remembered segments, those of the generation before, and what ids spell where that is not the segment itself.
         self.memory: dict[str, str] = {}
+        self.former: dict[str, str] = {}
         self.odd: dict[str, str] = {}
 
     # -- one segment -------------------------------------------------------------------------
@@ -109,6 +120,9 @@ class PieceModel:
 
     def spell(self, ids: list[int]) -> str:
         """Text of ids with space marks turned into spaces; runs of byte pieces are read as UTF-8."""
+        found = [self.plain[i] for i in ids]
+        if None not in found:
+            return "".join(found)
         out, run = [], bytearray()
         for i in ids:
             if self.kind[i] == BYTES:
@@ -127,12 +141,16 @@ class PieceModel:
 
     # -- whole texts -------------------------------------------------------------------------
     def segments(self, text: str) -> list[str]:
+        """Segments of the text, with spaces for space marks."""
         if not text:
             return []
-        return self.segment.findall(self.prefix + text.replace(" ", SPACE))
+        return self.segment.findall((" " if self.prefix else "") + text.replace(SPACE, " "))
+
+    def ids_of(self, segment: str) -> list[int]:
+        return self.merge(segment.replace(" ", SPACE))
 
     def encode(self, text: str, end: bool = False) -> list[int]:
-        return [i for s in self.segments(text) for i in self.merge(s)] + [self.end] * end
+        return [i for s in self.segments(text) for i in self.ids_of(s)] + [self.end] * end
 
     def decode(self, ids: list[int]) -> str:
         text = self.spell(ids)
@@ -140,24 +158,47 @@ class PieceModel:
         return text[1:] if self.prefix and first is not None and self.text_of[first].startswith(SPACE) else text
 
     def learn(self, found: set[str]) -> dict[str, str]:
-        """Encodes the segments, checks them against the library, and remembers the short ones."""
+        """Encodes and spells the segments, checks both against the library, and remembers the short ones."""
         order = list(found)
-        ids = [self.merge(s) for s in order]
+        ids = [*map(self.ids_of, order)]
+        spelt = [*map(self.spell, ids)]
         # The library puts the space mark before each text: it gets segments with a mark without it, and those that have none are checked behind a cut.
-        marked = [(s[len(self.prefix) :], i) for s, i in zip(order, ids, strict=True) if s.startswith(self.prefix) and s != self.prefix]
-        bare = [(s, i) for s, i in zip(order, ids, strict=True) if not s.startswith(self.prefix) and s != "\n" and self.cuts]
+        head = " " if self.prefix else ""
+        marked = [k for k, s in enumerate(order) if s.startswith(head) and s != head]
+        bare = [k for k, s in enumerate(order) if not s.startswith(head) and s != "\n" and self.cuts]
         lead = self.library.encode("\n") if bare else []
-        theirs = self.library.encode([s for s, _ in marked] + ["\n" + s for s, _ in bare], num_threads=1)
-        mine = [i for _, i in marked] + [lead + i for _, i in bare]
-        if mine != theirs:
-            raise AssertionError(f"the agenda and the library differ on {next((s for (s, _), a, b in zip(marked + bare, mine, theirs, strict=True) if a != b), '')!r}")
+        cases = [order[k][len(head) :] for k in marked] + ["\n" + order[k] for k in bare]
+        mine = [ids[k] for k in marked] + [lead + ids[k] for k in bare]
+        texts_ = [spelt[k] for k in marked] + [head + "\n" + spelt[k] for k in bare]
+        if mine != (theirs := self.library.encode(cases, num_threads=1)):
+            raise AssertionError(f"the agenda and the library differ on {next((c for c, a, b in zip(cases, mine, theirs, strict=True) if a != b), '')!r}")
+        if mine and "".join(texts_)[len(head) :] != self.library.decode([i for one in mine for i in one]):
+            raise AssertionError(f"decoding differs from the library's for {next((t for a, t in zip(mine, texts_, strict=True) if self.library.decode(a) != t[len(head) :]), '')!r}")
         entries = {s: " ".join(map(str, i)) for s, i in zip(order, ids, strict=True)}
-        if len(self.memory) + len(entries) > MEMORY:
-            self.memory, self.odd = {}, {}  # anew, so that a batch under way keeps those it has
-        self.memory.update((s, e) for s, e in entries.items() if len(s) <= LONGEST)
-        self.odd.update((s, t) for s, i in zip(order, ids, strict=True) if (t := self.spell(i)) != s.replace(SPACE, " "))
+        self.odd.update((s, t) for s, t in zip(order, spelt, strict=True) if t != s)
+        self.remember({s: e for s, e in entries.items() if len(s) <= LONGEST})
         return entries
 
+    def remember(self, entries: dict[str, str]) -> None:
+        """Adds the entries; a full memory becomes the former one, so that what is met again soon is kept."""
+        if 2 * (len(self.memory) + len(entries)) > MEMORY:
+            self.former, self.memory = self.memory, {}
+            self.odd = {s: t for s, t in self.odd.items() if s in self.former or s in entries}
+        self.memory.update(entries)
+
+    def known(self, cut: list[list[str]]) -> tuple[list[list[str]], dict[str, str]]:
+        """The entries of the texts' segments, and what odd ones spell."""
+        found = [[*map(self.memory.get, segs)] for segs in cut]
+        new = {s for segs, rows in zip(cut, found, strict=True) if None in rows for s, r in zip(segs, rows, strict=True) if r is None}
+        odd = self.odd
+        if new:
+            again = {s: e for s in new if (e := self.former.get(s)) is not None}
+            fresh = again | (self.learn(new.difference(again)) if len(again) < len(new) else {})
+            odd = odd | self.odd
+            self.remember(again)
+            found = [[fresh[s] if r is None else r for s, r in zip(segs, rows, strict=True)] if None in rows else rows for segs, rows in zip(cut, found, strict=True)]
+        return found, odd
+
 
 _models: dict[str, PieceModel] = {}
 
@@ -168,49 +209,47 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def _batches(path: str, keep_text: bool):
+def _batches(path: str, keep_ids: bool, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         mark = 1 if m.prefix else 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 cut = [m.segments(t) for t in texts(part)]
-                found = [[*map(m.memory.get, segs)] for segs in cut]
-                new = {s for segs, rows in zip(cut, found, strict=True) if None in rows for s, r in zip(segs, rows, strict=True) if r is None}
-                odd = m.odd
-                if new:
-                    fresh = m.learn(new)
-                    odd = odd | m.odd
-                    found = [[r or fresh[s] for s, r in zip(segs, rows, strict=True)] if None in rows else rows for segs, rows in zip(cut, found, strict=True)]
+                found, odd = m.known(cut)
                 n, shas, dec, ids, spelt = [], [], [], [], []
                 for segs, rows in zip(cut, found, strict=True):
                     line = " ".join([*rows, str(m.end)])
-                    text = "".join([odd.get(s) or s for s in segs] if odd else segs).replace(SPACE, " ")
-                    text = text[mark:] if rows and segs[0].startswith(SPACE) else text
+                    text = "".join([odd.get(s, s) for s in segs] if odd else segs)
+                    text = text[mark:] if rows and segs[0].startswith(" ") else text
                     n.append(line.count(" ") + 1)
                     shas.append(hashlib.sha256(line.encode()).hexdigest())
                     dec.append(hashlib.sha256(text.encode()).hexdigest())
-                    if keep_text:
+                    if keep_ids:
                         ids.append(np.fromstring(line, np.int32, sep=" "))
+                    if keep_text:
                         spelt.append(text)
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(dec, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_text:
+                if keep_ids:
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    cols += [pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.zeros(0, np.int32)), pa.array(spelt, pa.string())]
-                    names += ["ids", "decoded"]
+                    cols.append(pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                    names.append("ids")
+                if keep_text:
+                    cols.append(pa.array(spelt, pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def encode_decode(docs: DataFrame, model_file: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, model_file: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Ids with the end id, the decoded text, and digests of both, a row for each input row.
 
-    keep=False leaves out the id lists and texts themselves.
+    keep_ids=False and keep_text=False leave out the id lists and the texts themselves.
     """
     path = model_file or tokenizer_path("piece_bpe_32k.model")
     src = id_text(docs, id_col, text_col)
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
-    return map_arrow(src, _batches(path, keep), schema)
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+    return map_arrow(src, _batches(path, keep_ids, keep_text), schema)

@@ -26,7 +26,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode(table(spark, sf_dir, DOC), keep=False)
+    return pieces.encode_decode(table(spark, sf_dir, DOC), keep_ids=False, keep_text=False)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

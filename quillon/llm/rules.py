@@ -92,14 +92,17 @@ def statistics(text: str) -> tuple[int, ...]:
 
 
 def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The statistics of a column text, or of the field text of a column all, which is then kept."""
     names = [f.split(" ")[0] for f in f"{STATS}, {VECTOR}".split(", ")]
     for batch in batches:
-        for at in range(0, max(batch.num_rows, 1), 2048):
-            part = batch.slice(at, 2048)
-            rows = [statistics(t or "") for t in part.column("text").to_pylist()]
+        for at in range(0, max(batch.num_rows, 1), 1024):
+            part = batch.slice(at, 1024)
+            whole = "all" in part.schema.names
+            found = part.column("all").flatten()[part.schema.field("all").type.get_field_index("text")] if whole else part.column("text")
+            rows = [statistics(t or "") for t in found.to_pylist()]
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5 + P)]
-            keep = [n for n in part.schema.names if n != "text" or "all" in part.schema.names]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep if n != "text"), *cols], [*(n for n in keep if n != "text"), *names])
+            keep = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *cols], [*keep, *names])
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -246,14 +249,10 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of docs that pass, with their own columns. Texts are measured twice instead of being shuffled."""
-    fit, n = fitted(written(measured(docs), "statistics"))
-    whole = docs.select("doc_id", F.col("lang"), F.col("source"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
-    whole = whole.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("lang", "source")})
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, source string, all {docs.select(whole_struct(docs)).schema[0].dataType.simpleString()}, {STATS}, {VECTOR}"
-    rows = map_arrow(whole, _with_statistics, schema)
+    """The rows of docs that pass, with their own columns. Texts are measured once and written beside their statistics."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
+    rows = map_arrow(whole, _with_statistics, f"all {whole.schema[0].dataType.simpleString()}, {STATS}, {VECTOR}")
+    group = lambda c: F.coalesce(F.col(f"all.{c}").cast("string"), F.lit("\0")).alias(c)
+    rows = written(rows.select("all", group("lang"), group("source"), *(c.name for c in rows.schema[1:])), "statistics")
+    fit, n = fitted(rows)
     return judged(rows, fit, n, cutoff).where("kept").select("all.*")
-
-
-def whole_struct(docs: DataFrame) -> Column:
-    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all")

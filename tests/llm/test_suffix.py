@@ -2,6 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+import zstandard
 
 from quillon.llm import suffix
 
@@ -25,14 +28,57 @@ def brute(rows, width=50):
 
 
 def test_cover_has_all_differences():
-    for (period, size), mask in zip(suffix.LEVELS, suffix.COVERS, strict=True):
-        c = np.flatnonzero(mask)
-        assert {(a - b) % period for a in c for b in c} == set(range(period)) and len(c) == size
+    c = np.flatnonzero(suffix.CHOSEN)
+    assert {(a - b) % suffix.PERIOD for a in c for b in c} == set(range(suffix.PERIOD)) and len(c) == suffix.COVER
     for period in (7, 10, 40):
         c = suffix.difference_cover(period)
         assert {(a - b) % period for a in c for b in c} == set(range(period))
 
 
+def test_bucket_is_in_suffix_order():
+    """Blocks of a bucket against a plain sort of the strings, with long ties and few letters."""
+    rng = random.Random(1)
+    units = [bytes(rng.choices(b"ab\x00\xff", k=rng.randint(5, 70))) for _ in range(30)]
+    raw = b"".join(rng.choices(units, k=1500)) + bytes(64)
+    places = np.array(sorted(rng.sample(range(len(raw) - 114), 6000)))
+    found = [(int(p), bool(f)) for own, new in suffix.sorted_blocks(np.frombuffer(raw, np.uint8), places, 700) for p, f in zip(own, new, strict=True)]
+    keys = [raw[p : p + 50] for p, _ in found]
+    assert keys == sorted(keys) and sorted(p for p, _ in found) == places.tolist()
+    assert [f for _, f in found] == [True] + [a != b for a, b in zip(keys, keys[1:], strict=False)]
+
+
+def test_places_beyond_four_gigabytes():
+    begin, size = np.array([5, 1 << 33, (1 << 40) + 7]), np.array([1, 1 << 34, 3])
+    got = suffix._unpacked(suffix._packed((begin, *suffix.PLACES[0]), (size, *suffix.PLACES[1])), *suffix.PLACES)
+    assert [x.tolist() for x in got] == [begin.tolist(), size.tolist()]
+
+
+def test_frequent_anchors(monkeypatch):
+    """Group and bucket functions by themselves, with every shared anchor dealt suffix by suffix."""
+    monkeypatch.setattr(suffix, "HOT", 1)
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcd", k=120))
+    texts = [(i, "".join(rng.choices("xyz", k=40)) + passage[: rng.randint(60, 120)] + "".join(rng.choices("uvw", k=40))) for i in range(40)]
+    n, groups = 3, [[], []]
+    for i, t in texts:
+        groups[i % 2].append({"doc_id": i, "id": i, "mark": 0, "raw": zstandard.compress(t.encode())})
+    tables = [pa.Table.from_pylist(g) for g in groups]
+    key = lambda pk: (pa.scalar(pk),)
+
+    def sort(dealt, fn):
+        batches = [b for t in dealt for b in t.to_batches()]
+        return pa.Table.from_batches(list(suffix._per_bucket(fn)(iter(batches))), suffix.BACK)
+
+    own = lambda back, pk: back.filter(pa.compute.equal(back["pk"], pk))
+    blocks = sort([suffix._block_ties(n)(key(k), t) for k, t in enumerate(tables)], suffix._block_bucket)
+    anchors = sort([suffix._anchors(n)(key(k), t, own(blocks, k)) for k, t in enumerate(tables)], suffix._anchor_bucket)
+    known = pa.concat_tables([blocks, anchors])
+    ties = sort([suffix._suffix_ties(n)(key(k), t, own(known, k)) for k, t in enumerate(tables)], suffix._suffix_bucket)
+    every = pa.concat_tables([blocks, ties])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, t in enumerate(tables) for r in suffix._cut(key(k), t, own(every, k)).to_pylist()}
+    assert got == brute(texts)
+
+
 def test_against_brute_force(docs, rows):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeated_bytes(docs).collect()}
     assert got == brute([(r[0], r[1]) for r in rows])
