@@ -39,7 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids with the end id, and digests of the ids and of the decoded text."""
-    return pieces.encode_decode(docs).drop("decoded")
+    return pieces.encode_decode(docs, keep_text=False)
 
 
 STAGES: list[tuple[str, Stage]] = [
