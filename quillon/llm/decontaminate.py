@@ -13,7 +13,9 @@ first, so that they do not multiply matches. Hit positions are gathered per docu
 
 Defined results: null or empty texts have no words and no hits; null item ids and items without
 words are ignored; items with the same id count once; documents with the same id and text are rows
-of their own with the same result; either table may be empty; extra columns are ignored.
+of their own with the same result; either table may be empty; extra columns are ignored, and kept
+with their names by keep_clean; texts have no length limit (a text's words and grams are arrays in
+one row).
 """
 
 from __future__ import annotations
@@ -131,10 +133,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with their own columns."""
+    """The rows of docs that are not contaminated, with their own columns, whatever their names."""
     bad = written(report(docs, benchmark).where("contaminated").select("row_id", "row_hash").distinct(), "contaminated")
-    keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.col("bad_id"), F.xxhash64("doc_id", "text") == F.col("bad_hash")]
-    return docs.join(_side(bad.select(F.col("row_id").alias("bad_id"), F.col("row_hash").alias("bad_hash"))), keys, "left_anti")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row_id"), F.xxhash64("doc_id", "text").alias("row_hash"))
+    return whole.join(_side(bad), ["row_id", "row_hash"], "left_anti").select("own.*")
 
 
 #: The same result by brute force over every window, for DuckDB.

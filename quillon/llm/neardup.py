@@ -42,12 +42,8 @@ from .components import BROADCAST_ROWS, components, side
 SIGNATURE, TREES, BASE, DEPTH = 128, 24, 3, 7
 #: Regions up to this size have all pairs as candidates; in larger ones the neighbours up to REACH.
 SMALL_REGION, REACH = 12, 3
-#: Nodes in a block of the third round, and the most comparisons in one of its Arrow batches of more than one pair of blocks.
-BLOCK, MUCH = 128, 4_000_000
-#: Pairs of blocks in an Arrow batch; one such pair is unpacked at a time.
-BATCH = 16
-#: Bytes of a shingle's hash in the sets that are compared.
-SET_BYTES = 5
+#: Nodes in a block of the third round; a pair of blocks is unpacked at a time.
+BLOCK = 128
 
 _rng = np.random.default_rng(20240607)
 FACTORS = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,16 +170,14 @@ def _sets(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 sets = [shingles(t or "", size) for t in batch.column("text").slice(at, 512).to_pylist()]
-                short = [np.unique(s & np.uint64((1 << 8 * SET_BYTES) - 1)).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(short, pa.binary())], ["digest", "set"])
+                raw = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["digest", "set"])
 
     return run
 
 
 def unpacked(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
-    wide[:, :SET_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BYTES)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(packed, np.uint64)
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -268,13 +262,7 @@ def outsiders(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     outside = full.where("out").withColumn("o", deal("outside")).groupBy("region", "o").agg(F.collect_list(node).alias("outside"), F.first("size").alias("size"))
     outside = outside.select("region", "outside", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / BLOCK) - 1)).alias("block"))
     met = outside.join(inside, ["region", "block"]).select("outside", "inside")
-    conf, name = members.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(name)
-    conf.set(name, str(max(1, min(BATCH, MUCH // BLOCK**2))))
-    try:
-        return written(map_arrow(met, _across(percent), "a bigint, b bigint"), "outsiders")
-    finally:
-        conf.set(name, usual)
+    return written(map_arrow(met, _across(percent), "a bigint, b bigint"), "outsiders")  # Arrow batches are bounded by bytes as well as by rows
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:

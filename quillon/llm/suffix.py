@@ -53,7 +53,7 @@ PERIOD, COVER = 13, 4
 #: One suffix in so many, on average, begins a block of whole ties.
 BLOCK = 128
 #: Groups per shuffle partition; there is one bucket per shuffle partition.
-GROUPS = 3
+GROUPS = 2
 #: Occurrences from which an anchor's suffixes are dealt one by one.
 HOT = 4096
 #: Suffixes of a bucket that are sorted at a time, about; places that are fingerprinted at a time.
@@ -111,15 +111,15 @@ def _finish(x: np.ndarray) -> np.ndarray:
 # -- suffix order ------------------------------------------------------------------------------------
 
 
-def _words(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+def _words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on, as whole numbers in the order of the bytes."""
     rows = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))
-    return np.ascontiguousarray(rows[places]).view(">u8").ravel().astype(np.uint64)
+    return np.ascontiguousarray(rows).view(">u8").ravel().astype(np.uint64)
 
 
-def _keys(data: np.ndarray, places: np.ndarray, width: int) -> list[np.ndarray]:
+def _keys(words: np.ndarray, places: np.ndarray, width: int) -> list[np.ndarray]:
     """The first `width` bytes (8 or more) of each place as words; the last may overlap the one before."""
-    return [_words(data, places + at) for at in [*range(0, width - 8, 8), width - 8]]
+    return [words[places + at] for at in [*range(0, width - 8, 8), width - 8]]
 
 
 def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,17 +133,17 @@ def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def cover_ranks(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+def cover_ranks(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """By place, the rank of the cover samples that the suffixes reach, by their first WIDTH - PERIOD + 1 bytes."""
-    reached = _spread(places, places + PERIOD, len(data))
-    sample = np.flatnonzero(reached & CHOSEN[np.arange(len(data)) % PERIOD])
-    order, new = _runs(_keys(data, sample, WIDTH - PERIOD + 1))
-    ranks = np.full(len(data), -1, np.int32)
+    reached = _spread(places, places + PERIOD, len(words))
+    sample = np.flatnonzero(reached & np.resize(CHOSEN, len(words)))
+    order, new = _runs(_keys(words, sample, WIDTH - PERIOD + 1))
+    ranks = np.full(len(words), -1, np.int32)
     ranks[sample[order]] = np.cumsum(new)
     return ranks
 
 
-def _resolved(data: np.ndarray, places: np.ndarray, new: np.ndarray, ranks: np.ndarray) -> None:
+def _resolved(words: np.ndarray, places: np.ndarray, new: np.ndarray, ranks: np.ndarray) -> None:
     """Sorts, in place, runs that tie over PERIOD bytes: three-way partitions of all open runs at once.
 
     Two suffixes are compared by their cover ranks at a common offset d, which tell bytes d to
@@ -161,7 +161,7 @@ def _resolved(data: np.ndarray, places: np.ndarray, new: np.ndarray, ranks: np.n
         side = np.sign(ranks[own + d] - ranks[pivot + d]).astype(np.int64)
         for at_end in (WIDTH - PERIOD + 1, WIDTH - 8):
             tie = np.flatnonzero(side == 0)
-            x, y = _words(data, own[tie] + at_end), _words(data, pivot[tie] + at_end)
+            x, y = words[own[tie] + at_end], words[pivot[tie] + at_end]
             side[tie] = (x > y).astype(np.int64) - (x < y)
         key = np.repeat(np.arange(len(first)) * 3, sizes) + side + 1
         order = np.argsort(key, kind="stable")
@@ -177,17 +177,18 @@ def sorted_blocks(data: np.ndarray, places: np.ndarray, block: int = SORT_BLOCK)
     """The suffixes at the places (WIDTH bytes each, and 8 more in data) in order, block by block: places, and whether a run of ties begins."""
     if not len(places):
         return
-    ranks = cover_ranks(data, places)
-    head = _words(data, places)
+    words = _words(data)
+    ranks = cover_ranks(words, places)
+    head = words[places]
     picked = np.sort(head[:: max(1, len(head) // 4096)])
     splitters = np.unique(picked[:: max(1, len(picked) * block // len(head))])[1:]
     deal = np.searchsorted(splitters, head, "right")
     order = np.argsort(deal, kind="stable")
     for part in np.split(order, np.cumsum(np.bincount(deal, minlength=len(splitters) + 1))[:-1]):
         own = places[part]
-        by, new = _runs([head[part], *_keys(data, own, PERIOD)[1:]])
+        by, new = _runs([head[part], *_keys(words, own, PERIOD)[1:]])
         own = own[by]
-        _resolved(data, own, new, ranks)
+        _resolved(words, own, new, ranks)
         yield own, new
 
 
@@ -248,8 +249,8 @@ class Group:
         return {k: v[: n + (upto - k)] for k, v in h.items()}
 
     def anchored(self, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The open suffixes, the fingerprint of each one's WIDTH bytes, and the place of its anchor (places are as in data)."""
-        out: tuple[list, list, list] = ([], [], [])
+        """The open suffixes, the distinct places of their anchors, and each suffix's anchor among those."""
+        suffixes, anchors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, self.n, CHUNK):
             hi = min(lo + CHUNK, self.n)
             own = np.flatnonzero(here[lo:hi])
@@ -265,16 +266,18 @@ class Group:
                 step = min(size, REACH - size)
                 least = np.minimum(least[:-step], least[step:])
                 size += step
-            out[0].append(own + lo)
-            out[1].append(_join(h[own], h[own + WIDTH - 32], 3))
-            out[2].append((least[own] & U((1 << 20) - 1)).astype(np.int64) + lo)
-        return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.uint64, np.int64), strict=True))
-
-    def gram_prints(self, places: np.ndarray) -> np.ndarray:
-        """Fingerprints of the GRAM bytes at the places."""
+            suffixes.append(own + lo)
+            anchors.append((least[own] & U((1 << 20) - 1)).astype(np.int64) + lo)
+        at = np.concatenate(anchors)
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] != at[:-1]  # anchors never go back from one suffix to the next
+        return np.concatenate(suffixes), at[new], np.cumsum(new) - 1
+
+    def prints(self, places: np.ndarray, width: int) -> np.ndarray:
+        """Fingerprints of that many bytes at the places."""
         rows = np.lib.stride_tricks.as_strided(self.data, (len(self.data) - 7, 8), (1, 1))
         out = np.zeros(len(places), np.uint64)
-        for k, at in enumerate([*range(0, GRAM - 8, 8), GRAM - 8]):
+        for k, at in enumerate([*range(0, width - 8, 8), width - 8]):
             out = _join(out, np.ascontiguousarray(rows[places + at]).view(np.uint64).ravel(), 4 + k)
         return _finish(out)
 
@@ -441,18 +444,11 @@ def _block_bucket(bucket: int, rows: list[dict]) -> Iterator[tuple]:
     yield from _answers(rows, TIED_BLOCKS, [p[3][t].astype(np.int64) for p, t in zip(parts, cuts, strict=True)], [p[4][t].astype(np.int64) for p, t in zip(parts, cuts, strict=True)])
 
 
-def _cells(g: Group, at: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct anchors' fingerprints in order, and each anchor place's index among them (places without repeats)."""
-    places = np.unique(at)
-    prints, index = np.unique(g.gram_prints(places), return_inverse=True)
-    return prints, places, index
-
-
 def _anchors(n_buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         g = Group(table)
-        _, _, at = g.anchored(g.open(back))
-        prints, places, index = _cells(g, at, n_buckets)
+        _, places, _ = g.anchored(g.open(back))
+        prints, index = np.unique(g.prints(places, GRAM), return_inverse=True)
         text = g.text_of(places)
         low, high = np.full(len(prints), len(g.ids)), np.full(len(prints), -1)
         np.minimum.at(low, index, text)
@@ -486,17 +482,16 @@ def _anchor_bucket(bucket: int, rows: list[dict]) -> Iterator[tuple]:
 def _suffix_ties(n_buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         g = Group(table)
-        here, prints, at = g.anchored(g.open(back))
-        grams, places, index = _cells(g, at, n_buckets)
+        here, places, at = g.anchored(g.open(back))
+        grams, index = np.unique(g.prints(places, GRAM), return_inverse=True)
         standing = np.zeros(len(grams), np.uint8)
         bounds = np.searchsorted(_bucket(grams, n_buckets), np.arange(n_buckets + 1))
         for kind, b, raw in zip(*(back.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True):
             if kind == ANCHORS:
                 standing[bounds[b] : bounds[b + 1]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-        anchor = index[np.searchsorted(places, at)]
-        keep = standing[anchor] != ALONE
-        here, prints, at, anchor = here[keep], prints[keep], at[keep], anchor[keep]
-        ids = g.ids[g.text_of(here)]
+        keep = (standing[index] != ALONE)[at]
+        here, at = here[keep], at[keep]
+        anchor, prints, ids = index[at], g.prints(here, WIDTH), g.ids[g.text_of(here)]
         order, new = _runs([prints])
         s = here[order]
         new[1:] |= ~g.equal(s[1:], s[:-1])

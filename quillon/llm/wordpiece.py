@@ -6,7 +6,8 @@ longest-match-first cut, without building a piece and without going back in the
 
 A word is a run of anything but ASCII white space. A word that the vocabulary cannot cut counts as
 one unknown token. Defined results: a null or empty text has 0 words and 0 tokens; a null id is
-kept; extra columns are ignored; repeated rows give repeated results; there is no length limit.
+kept; extra columns, of any name, are ignored; repeated rows give repeated results; an empty table
+gives an empty result; neither texts nor words have a length limit (only short words are remembered).
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame
 
 from .common import WORD, id_text, map_arrow, texts, tokenizer_path
 
-MARK = "##"
 #: Remembered words per worker, and the longest that is remembered.
 MEMORY, LONGEST = 400_000, 48
 
@@ -28,18 +28,15 @@ MEMORY, LONGEST = 400_000, 48
 class LongestMatch:
     """Trie of the pieces with failure links and popped-piece counts.
 
-    Pieces that go on inside a word begin with ``##``.
+    `first` are the pieces that begin a word, `further` those that go on inside one.
     """
 
     START, INNER = 0, 1
 
-    def __init__(self, vocabulary: Iterable[str]):
+    def __init__(self, first: Iterable[str], further: Iterable[str]):
         self.next: list[dict[str, int]] = [{}, {}]
         final = [False, False]
-        for piece in vocabulary:
-            at, chars = (self.INNER, piece[len(MARK) :]) if piece.startswith(MARK) else (self.START, piece)
-            if not chars:
-                continue
+        for at, chars in [*((self.START, p) for p in first if p), *((self.INNER, p) for p in further if p)]:
             for c in chars:
                 to = self.next[at].get(c)
                 if to is None:
@@ -84,13 +81,14 @@ class LongestMatch:
         return n
 
 
-def vocabulary(model_file: str) -> list[str]:
+def vocabulary(model_file: str) -> tuple[set[str], set[str]]:
     """A word-piece vocabulary from a public piece model: pieces with a space mark begin a word, others go on inside one."""
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=model_file)
     plain = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    return [p[1:] if p.startswith("▁") else MARK + p for p in plain if p.strip("▁")]
+    plain = [p for p in plain if p.strip("▁")]
+    return {p[1:] for p in plain if p.startswith("▁")}, {p for p in plain if not p.startswith("▁")}
 
 
 _automata: dict[str, LongestMatch] = {}
@@ -99,7 +97,7 @@ _automata: dict[str, LongestMatch] = {}
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _automata:
-            _automata[path] = LongestMatch(vocabulary(path))
+            _automata[path] = LongestMatch(*vocabulary(path))
         count, words = _automata[path].count, re.compile(WORD).findall
         memory: dict[str, int] = {}
         for batch in batches:
@@ -108,9 +106,10 @@ def _counts(path: str):
                 found = words(text)
                 if len(memory) > MEMORY:
                     memory.clear()
+                long = {}
                 for w in set(found).difference(memory):
-                    memory[w] = count(w)
-                per = [*map(memory.__getitem__, found)]
+                    (memory if len(w) <= LONGEST else long)[w] = count(w)
+                per = [memory[w] if w in memory else long[w] for w in found] if long else [*map(memory.__getitem__, found)]
                 lost = per.count(-1)
                 n_words.append(len(per))
                 n_tokens.append(sum(per) + 2 * lost)

@@ -51,3 +51,13 @@ def test_filter_keeps_columns(spark, docs):
     text = docs.where("doc_id = 4").first().text
     kept = decontaminate.keep_clean(docs, spark.createDataFrame([(1, " ".join(text.split()[:40]))], ITEM))
     assert kept.columns == docs.columns and 4 not in {r.doc_id for r in kept.collect()} and kept.count() >= docs.count() - 4
+
+
+def test_filter_with_clashing_names_and_no_rows(spark):
+    names = ["bad_id", "bad_hash", "row_id", "row_hash", "own", "words", "n_hit"]
+    rows = [(1, "a b c", *names), (1, "a b c", *names), (None, "x y", *names), (2, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "a b c")], ITEM)
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0 for r in kept.collect())) == [0, 2]
+    assert decontaminate.keep_clean(docs.limit(0), items).count() == 0

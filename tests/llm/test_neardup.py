@@ -63,8 +63,7 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_large_regions_are_split_where_they_are_much_work(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "MUCH", 500)
+def test_large_regions_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(6)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
@@ -95,9 +94,8 @@ def test_odd_rows(odd, none, spark):
 
 
 def test_outsiders_meet_all_of_a_region_however_large(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "MUCH", 10)
     monkeypatch.setattr(neardup, "BLOCK", 16)
-    packed = lambda k: b"".join((k * 100 + i).to_bytes(neardup.SET_BYTES, "little") for i in range(20))
+    packed = lambda k: b"".join((k * 100 + i).to_bytes(8, "little") for i in range(20))
     rows = [(i, 1, i << 32 | i, packed(7 if i == 49 else i)) for i in range(50)]  # node 49 is as node 7; no two agree in further minima
     df = spark.createDataFrame(rows, "nid long, key long, rest long, set binary")
     roots = spark.createDataFrame([(i, 0) for i in range(49)], "node long, root long")

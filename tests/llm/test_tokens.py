@@ -55,14 +55,14 @@ def test_small_memory_gives_the_same(monkeypatch, library):
     texts = ["some words and more words here", "words and some\nmore", "here here here", None]
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts})
     for _ in range(2):
-        (out,) = pieces._batches(MODEL, True)(iter([batch]))
+        (out,) = pieces._batches(MODEL, True, True)(iter([batch]))
         assert out.column("ids").to_pylist() == [library.encode(t or "", add_eos=True) for t in texts]
 
 
-def greedy(word, vocabulary):
+def greedy(word, starts, inner):
     at, n = 0, 0
     while at < len(word):
-        end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocabulary), None)
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in (inner if at else starts)), None)
         if end is None:
             return -1
         at, n = end, n + 1
@@ -70,17 +70,26 @@ def greedy(word, vocabulary):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.sets(st.text("abc", min_size=1, max_size=5), max_size=12), st.sets(st.text("abc", min_size=1, max_size=5), max_size=12), st.lists(st.text("abcd", min_size=1, max_size=14), max_size=8))
+@given(st.sets(st.text("ab#", min_size=1, max_size=5), max_size=12), st.sets(st.text("ab#", min_size=1, max_size=5), max_size=12), st.lists(st.text("ab#d", min_size=1, max_size=14), max_size=8))
 def test_automaton_equals_greedy_cut(starts, inner, words):
-    vocabulary = starts | {"##" + x for x in inner}
-    a = wordpiece.LongestMatch(vocabulary)
-    assert [a.count(w) for w in words] == [greedy(w, vocabulary) for w in words]
+    a = wordpiece.LongestMatch(starts, inner)
+    assert [a.count(w) for w in words] == [greedy(w, starts, inner) for w in words]
+
+
+def test_pieces_of_number_signs_count_once():
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=MODEL)
+    every = {library.id_to_piece(i) for i in range(library.get_piece_size())}
+    a = wordpiece.LongestMatch(*wordpiece.vocabulary(MODEL))
+    for w in ("##", "###", "####"):
+        assert "\u2581" + w in every and a.count(w) == 1
 
 
 def test_word_piece_rows(docs, rows, none, odd):
-    text, vocabulary = {r[0]: r[1] or "" for r in rows}, set(wordpiece.vocabulary(MODEL))
+    text, (starts, inner) = {r[0]: r[1] or "" for r in rows}, wordpiece.vocabulary(MODEL)
     for r in wordpiece.token_counts(docs, MODEL).collect():
-        per = [greedy(w, vocabulary) for w in re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id])]
+        per = [greedy(w, starts, inner) for w in re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id])]
         assert (r.n_words, r.n_tokens, r.n_unknown) == (len(per), sum(1 if x < 0 else x for x in per), per.count(-1))
     assert wordpiece.token_counts(none, MODEL).count() == 0 and wordpiece.token_counts(odd, MODEL).count() == 4
 
@@ -110,3 +119,21 @@ def test_odd_token_files(spark, none, odd):
     assert tokenbin.read(tokenbin.write(none, uri, 1, WORDS), uri, WORDS).count() == 0
     got = tokenbin.round_trip(odd, 1, WORDS).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 5, 5, 6] and got[-1].ids == [1]
+
+
+def test_other_tokenizers_get_whole_texts():
+    enc = tokenbin.WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["hello  world", "", " a\nb"]
+    assert not enc.by_words and [np.frombuffer(x, enc.type).tolist() for x in enc.encode(texts)] == [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_of_a_megabyte():
+    """One word, many words, and no place to cut."""
+    enc = tokenbin.WordEncoder(WORDS)
+    m = pieces.PieceModel(MODEL)
+    a = wordpiece.LongestMatch(*wordpiece.vocabulary(MODEL))
+    for t in ("\u00e9t\u00e9 " * 250_000, "x" * 200_000, "word, " * 200_000):
+        assert np.frombuffer(enc.encode([t])[0], enc.type).tolist() == enc.library.encode(t, add_special_tokens=False).ids
+        assert sum(a.count(w) > 0 for w in t.split()) == len(t.split())
+        rows, _ = m.known([m.segments(t)])
+        assert [int(i) for r in rows[0] for i in r.split(" ")] == m.library.encode(t)
