@@ -7,23 +7,27 @@ stands for the path, so no page is paired with itself). The lines of the two are
 common subsequence, and the shared ones are deleted. A neighbour that shares nearly all lines is a
 copy rather than a sibling, and deletes nothing.
 
-Explicit markup settles what it can before that: text in navigation, headers, footers, asides,
-forms, scripts, styles and in elements whose class, id or role names such a part is never main text,
-and lines of an ``article`` (or, without one, of ``main``) are the page's own even where a sibling
-has the same line. Differencing decides about all other lines.
+Explicit markup says where main text can be: text in navigation, headers, footers, asides, forms,
+scripts, styles and in elements whose class, id or role is the name of such a part (all words of the
+name count, so "share-box" is one and "social-science" is not) is never main text; of the rest, the
+lines of an ``article`` are, or without one those of ``main``, or without either all. Differencing
+decides about these: each one that the sibling has too is deleted. Only where two pages share
+VERSIONS or more of those lines are they versions of one article, which both keep.
 
 Hosts are never gathered in one task: the order by (host, path) is a range sort, neighbours meet by
 their global row numbers. Only 64-bit line digests travel; page sources are joined with the lines to
 delete only where there are such lines, by broadcast if those are few (counted first), else shuffled.
 
 Defined results: a null or empty page gives an empty text; pages without a URL have no neighbours;
-repeated rows give repeated results; tables may be empty; extra columns are ignored.
+repeated rows give repeated results; tables may be empty; extra columns, of any name, are ignored;
+pages have no length limit and are read in linear time, unclosed tags and quotes included.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 
@@ -37,7 +41,8 @@ from .common import map_arrow, n_partitions, written
 #: Elements whose text is never main text (fixed values).
 OUT = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea dialog head title menu".split())
 #: Elements whose content is raw text up to their end tag.
-RAW = "script|style|textarea|title|iframe|noscript|xmp|template"
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style textarea title iframe noscript xmp template".split()}
+TAG_STOP = re.compile("[>\"']")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words of a class or id, and roles, that name a part of the frame (fixed values).
@@ -47,18 +52,88 @@ FRAME = frozenset(
     "share sharing social related recommended recommendations comment comments respond reply replies disqus pagination pager search skip paywall".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+#: Words that may stand beside one of FRAME in the name of a part (fixed values).
+BESIDE = frozenset(
+    "area article articles bar block body bottom box btn button buttons card center col column container content count entry fixed form global group head heading header holder icon icons "
+    "inline inner item items js layer left link links list main message mobile more page panel policy post posts primary right row secondary section site slot small sticky "
+    "text thread title toggle top unit user wrap wrapper".split()
+)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPLIT = re.compile(r"[^a-z]+")
 URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 #: At this share of common lines a neighbour is a copy of the page.
 COPY = 0.9
+#: At this share of common main-text lines two pages are versions of one article.
+VERSIONS = 0.5
 #: Most rows of drop lists that are broadcast.
 BROADCAST_ROWS = 20_000
 
 ARTICLE, MAIN, PLAIN, FRAMED = 3, 2, 1, 0
 
 
+def _names_frame(token: str) -> bool:
+    """Whether a class or id is the name of a part of the frame."""
+    words = [w for w in SPLIT.split(token) if w]
+    return not FRAME.isdisjoint(words) and all(w in FRAME or w in BESIDE for w in words)
+
+
+def tokens(source: str) -> Iterator[tuple[str, bool, str]]:
+    """Text ("", False, text) and tags (name, whether closing, attributes) in order, in linear time.
+
+    A quote that is never closed is an ordinary character. From the first tag on whose end is nowhere
+    outside of quotes, tags end at the next ">"; without one the rest is text.
+    """
+    at, n, quotes, closed = 0, len(source), True, {'"': True, "'": True}
+    text = 0
+    while (lt := source.find("<", at)) >= 0:
+        at = lt + 1
+        nxt = source[at : at + 1]
+        if source.startswith("!--", at):
+            end = source.find("-->", at + 3)
+            piece, after = None, n if end < 0 else end + 3
+        elif source.startswith("![CDATA[", at) and (end := source.find("]]>", at)) >= 0:
+            piece, after = ("", False, html_lib.escape(source[at + 8 : end], quote=False)), end + 3
+        elif nxt in ("!", "?"):
+            end = source.find(">", at)
+            if end < 0:
+                break
+            piece, after = None, end + 1
+        elif m := NAME.match(source, at + (nxt == "/")):
+            end = m.end()
+            while quotes:
+                stop = TAG_STOP.search(source, end)
+                if not stop:
+                    quotes = False
+                elif stop[0] == ">":
+                    end = stop.start()
+                    break
+                else:
+                    q = stop[0]
+                    to = source.find(q, stop.end()) if closed[q] else -1
+                    closed[q] = to >= 0
+                    end = stop.end() if to < 0 else to + 1
+            else:
+                end = source.find(">", m.end())
+                if end < 0:
+                    break
+            name, closing, raw = m[0].lower(), nxt == "/", source[m.end() : end]
+            after = end + 1
+            piece = (name, closing, raw)
+            if name in RAW and not closing:
+                shut = RAW[name].search(source, after)
+                piece, after = None, shut.end() if shut else n
+        else:
+            continue
+        if lt > text:
+            yield "", False, source[text:lt]
+        if piece:
+            yield piece
+        at = text = after
+    if text < n:
+        yield "", False, source[text:]
+
+
 def _framed(name: str, raw: str, depth: int) -> bool:
     """Whether the element starts a part of the frame; depth: 1 or more inside an article or main."""
     if name in OUT or (name == "header" and not depth):
@@ -68,7 +143,7 @@ def _framed(name: str, raw: str, depth: int) -> bool:
     for key, value in ATTRIBUTE.findall(raw):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            if not FRAME.isdisjoint(SPLIT.split(value)):
+            if any(_names_frame(token) for token in value.split()):
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -79,8 +154,9 @@ def blocks(source: str) -> list[tuple[str, int]]:
     """The page's text lines in order, each with its standing: ARTICLE, MAIN, PLAIN or FRAMED."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int, int]] = []  # name, standing inside, depth of articles
+    open_: Counter[str] = Counter()
     held: list[str] = []
-    standing, depth, at = PLAIN, 0, 0
+    standing, depth = PLAIN, 0
 
     def flush() -> None:
         line = " ".join(html_lib.unescape("".join(held)).split())
@@ -88,48 +164,49 @@ def blocks(source: str) -> list[tuple[str, int]]:
         if line:
             out.append((line, standing))
 
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            held.append(source[at : m.start()])
-        at = m.end()
-        if m[4] is None:
-            if m[2]:
-                held.append(html_lib.escape(m[2], quote=False))
-            continue
-        name, closing = m[4].lower(), bool(m[3])
-        if name in INLINE:
+    def pop() -> tuple[int, int]:
+        name, *rest = stack.pop()
+        open_[name] -= 1
+        return rest
+
+    def push(name: str) -> None:
+        stack.append((name, standing, depth))
+        open_[name] += 1
+
+    for name, closing, raw in tokens(source):
+        if not name:
+            held.append(raw)
+        elif name in INLINE:
             if name == "br":
                 held.append(" ")
-            elif not closing and m[5] and standing != FRAMED and _framed(name, m[5], depth):
+            elif not closing and raw and standing != FRAMED and _framed(name, raw, depth):
                 flush()
-                stack.append((name, standing, depth))
+                push(name)
                 standing = FRAMED
             elif closing and stack and stack[-1][0] == name:
                 flush()
-                _, standing, depth = stack.pop()
-            continue
-        flush()
-        if name in VOID:
-            continue
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    _, standing, depth = stack[k]
-                    del stack[k:]
-                    break
-            continue
-        if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
-            _, standing, depth = stack.pop()  # its end tag may be left out
-        if m[5].rstrip().endswith("/") and name not in ("p", "div"):
-            continue
-        stack.append((name, standing, depth))
-        if standing != FRAMED and _framed(name, m[5], depth):
-            standing = FRAMED
-        elif name in ("article", "main") and standing != FRAMED:
-            depth += 1
-            standing = ARTICLE if name == "article" else max(standing, MAIN)
-    if at < len(source):
-        held.append(source[at:])
+                standing, depth = pop()
+        else:
+            flush()
+            if name in VOID:
+                continue
+            if closing:
+                while open_[name]:  # what is left open inside ends with it
+                    found = stack[-1][0] == name
+                    standing, depth = pop()
+                    if found:
+                        break
+                continue
+            if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
+                standing, depth = pop()  # its end tag may be left out
+            if raw.rstrip().endswith("/") and name not in ("p", "div"):
+                continue
+            push(name)
+            if standing != FRAMED and _framed(name, raw, depth):
+                standing = FRAMED
+            elif name in ("article", "main") and standing != FRAMED:
+                depth += 1
+                standing = ARTICLE if name == "article" else max(standing, MAIN)
     flush()
     return out
 
@@ -231,9 +308,10 @@ def prefix(a: str, b: str | None) -> int:
 def deleted(lines: Sequence[int], loose: Sequence[int], other: Sequence[int]) -> list[int]:
     """Those of the loose positions whose lines a sibling shares."""
     shared = common(lines, other)
-    if len(shared) >= COPY * max(len(lines), len(other)):
+    own = set(shared) & set(loose)
+    if len(shared) >= COPY * max(len(lines), len(other)) or len(own) >= VERSIONS * len(loose):
         return []
-    return sorted(set(shared) & set(loose))
+    return sorted(own)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +323,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts.append(host)
             paths.append(path)
             hashes.append([digest(x) for x, _ in lines])
-            loose.append([i for i, (_, s) in enumerate(lines) if s == PLAIN] if own_standing(lines) == PLAIN else [])
+            own = own_standing(lines)
+            loose.append([i for i, (_, s) in enumerate(lines) if s == own != FRAMED])
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int32()))], ["key", "host", "path", "lines", "loose"])
 
 

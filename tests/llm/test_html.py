@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +60,54 @@ def test_copies_of_a_page_stay(spark):
     got = html.main_text(spark.createDataFrame([(1, "http://h.example/a", body), (2, "http://h.example/b", body)], PAGE)).collect()
     assert all(r.text.count("\n") == 7 for r in got)
     assert html.main_text(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_names_of_frame_parts_and_other_classes():
+    page = """<article><h1>T</h1><p class="social-science">Society</p><div class="search-for-meaning"><p>Meaning</p></div><p id="ad-hoc-notes">Notes</p>
+    <div class="ad-slot-3">Buy</div><div class="post comments">Nice</div><div class="cookie-notice">Cookies</div></article>"""
+    assert [x for x, s in html.blocks(page) if s == html.ARTICLE] == ["T", "Society", "Meaning", "Notes"]
+
+
+def test_shared_lines_inside_articles_go(spark):
+    """Pairing, alignment and deletion against a plain computation over all pages of a host."""
+    rng = random.Random(5)
+    line = lambda: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(6))
+    notes = [line() for _ in range(4)]
+    pages, lines = [], {}
+    for i in rng.sample(range(1000), 40):
+        lines[f"/s{i % 3}/{i}"] = [*rng.sample(notes, 1), *(line() for _ in range(rng.randint(3, 6))), *rng.sample(notes, 1)]
+        pages.append((i, f"http://h.example/s{i % 3}/{i}", "<nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in lines[f"/s{i % 3}/{i}"]) + "</article>"))
+    order = sorted(lines)
+    expected = {}
+    for k, path in enumerate(order):
+        near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order)]
+        best = max(near, key=lambda q: (html.prefix(path, q), q < path))
+        own, other = ["Menu", *lines[path]], ["Menu", *lines[best]]
+        table = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+        for i, x in enumerate(own):
+            for j, y in enumerate(other):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        expected[path] = (table[-1][-1], set(other), len(own))
+    gone = 0
+    for r in html.main_text(spark.createDataFrame(pages, PAGE)).collect():
+        path = r.url[len("http://h.example") :]
+        kept, own = r.text.split("\n"), lines[path]
+        n, other, _ = expected[path]
+        dropped = [x for x in own if x not in kept]
+        assert len(own) - len(kept) == n - 1 and set(dropped) <= other & set(notes)  # "Menu" is always shared
+        gone += len(dropped)
+    assert gone > 5
+
+
+def test_unclosed_tags_are_read_in_linear_time():
+    began = time.process_time()
+    for page in ('<b "' * 1_250_000, "<script" * 500_000, "<![CDATA[" * 300_000, "<div>" * 100_000 + "</x>" * 100_000, "<b '\">x" * 200_000):
+        html.blocks(page)
+    assert time.process_time() - began < 60
+    assert [x for x, _ in html.blocks('<p title="a>b">one</p><p title="x>two')] == ["one", "two"]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, "http://h.example/a", "<p>x</p>", "k", "d", "t", "h")]
+    got = html.main_text(spark.createDataFrame(rows, PAGE + ", key string, drop string, text string, host string")).collect()
+    assert [tuple(r) for r in got] == [(1, "http://h.example/a", "x", 1)]
