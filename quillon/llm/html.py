@@ -10,9 +10,10 @@ copy rather than a sibling, and deletes nothing.
 Explicit markup says where main text can be: text in navigation, headers, footers, asides, forms,
 scripts, styles and in elements whose class, id or role is the name of such a part (all words of the
 name count, so "share-box" is one and "social-science" is not) is never main text; of the rest, the
-lines of an ``article`` are, or without one those of ``main``, or without either all. Differencing
-decides about these: each one that the sibling has too is deleted. Only where two pages share
-VERSIONS or more of those lines are they versions of one article, which both keep.
+lines of an ``article`` are, all of them: a passage that two articles share belongs to both. Without
+an ``article`` differencing decides about the lines of ``main``, or without that about all: each one
+that the sibling has too is deleted. Only where two pages share VERSIONS or more of those lines are
+they versions of one text, which both keep.
 
 Hosts are never gathered in one task: the order by (host, path) is a range sort, neighbours meet by
 their global row numbers. Only 64-bit line digests travel; page sources are joined with the lines to
@@ -64,7 +65,7 @@ SPLIT = re.compile(r"[^a-z]+")
 URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 #: At this share of common lines a neighbour is a copy of the page.
 COPY = 0.9
-#: At this share of common main-text lines two pages are versions of one article.
+#: At this share of common main-text lines two pages are versions of one text.
 VERSIONS = 0.5
 #: Most rows of drop lists that are broadcast.
 BROADCAST_ROWS = 20_000
@@ -324,7 +325,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             paths.append(path)
             hashes.append([digest(x) for x, _ in lines])
             own = own_standing(lines)
-            loose.append([i for i, (_, s) in enumerate(lines) if s == own != FRAMED])
+            loose.append([i for i, (_, s) in enumerate(lines) if s == own and own in (PLAIN, MAIN)])
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int32()))], ["key", "host", "path", "lines", "loose"])
 
 

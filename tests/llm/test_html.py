@@ -68,7 +68,7 @@ def test_names_of_frame_parts_and_other_classes():
     assert [x for x, s in html.blocks(page) if s == html.ARTICLE] == ["T", "Society", "Meaning", "Notes"]
 
 
-def test_shared_lines_inside_articles_go(spark):
+def test_shared_lines_inside_main_go(spark):
     """Pairing, alignment and deletion against a plain computation over all pages of a host."""
     rng = random.Random(5)
     line = lambda: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(6))
@@ -76,7 +76,7 @@ def test_shared_lines_inside_articles_go(spark):
     pages, lines = [], {}
     for i in rng.sample(range(1000), 40):
         lines[f"/s{i % 3}/{i}"] = [*rng.sample(notes, 1), *(line() for _ in range(rng.randint(3, 6))), *rng.sample(notes, 1)]
-        pages.append((i, f"http://h.example/s{i % 3}/{i}", "<nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in lines[f"/s{i % 3}/{i}"]) + "</article>"))
+        pages.append((i, f"http://h.example/s{i % 3}/{i}", "<nav>Menu</nav><main>" + "".join(f"<p>{x}</p>" for x in lines[f"/s{i % 3}/{i}"]) + "</main>"))
     order = sorted(lines)
     expected = {}
     for k, path in enumerate(order):
@@ -111,3 +111,12 @@ def test_extra_columns_with_clashing_names(spark):
     rows = [(1, "http://h.example/a", "<p>x</p>", "k", "d", "t", "h")]
     got = html.main_text(spark.createDataFrame(rows, PAGE + ", key string, drop string, text string, host string")).collect()
     assert [tuple(r) for r in got] == [(1, "http://h.example/a", "x", 1)]
+
+
+def test_a_passage_that_articles_share_stays_in_both(spark):
+    rng = random.Random(8)
+    line = lambda: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(6))
+    shared = line()
+    pages = [(i, f"http://h.example/{i}", f"<p>Site</p><article><p>{line()}</p><p>{shared}</p><p>{line()}</p></article>") for i in range(4)]
+    for r in html.main_text(spark.createDataFrame(pages, PAGE)).collect():
+        assert r.text.split("\n")[1] == shared and r.text.count("\n") == 2
