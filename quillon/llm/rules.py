@@ -1,9 +1,12 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Every text becomes a vector of transformed statistics (DIMENSIONS). For each (language, source) the
-minimum covariance determinant is sought by deterministic starts and concentration steps: take the
+minimum covariance determinant is sought by deterministic starts (quartile ranges, a round scatter,
+and the scatters of squashed coordinates and of spatial signs) and concentration steps: take the
 distances under the present centre and scatter, keep the (n + P + 1) / 2 of n rows that are nearest,
-and estimate anew from those; the start that ends with the smallest determinant wins. A text whose
+and estimate anew from those. After FIRST_STEPS steps the start with the smallest determinant goes on
+alone, until no group's estimate changes any more. Determinants are those of the scatter plus a small
+diagonal (FLOOR), so that a statistic that is constant in half of a group has a scale. A text whose
 Mahalanobis distance under that estimate is too large is rejected. Fixed base rules reject first.
 
 Equal vectors of a group count once in its estimate: copies of a text, however many, weigh no more
@@ -19,7 +22,7 @@ over all languages; a pool below MIN_GROUP rejects nothing beyond the base rules
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and
 sources are groups of their own; repeated rows are judged alike, each of them; empty tables give
-empty results; extra columns, of any name, are left alone.
+empty results; extra columns, of any name, are left alone; texts have no length limit.
 """
 
 from __future__ import annotations
@@ -43,8 +46,10 @@ P = len(DIMENSIONS)
 #: Steps of a coordinate's unit in the quantized vectors, and the least standard deviation of each coordinate, so that a statistic that is 0 nearly everywhere still has a scale.
 STEPS = 512
 FLOOR = (0.06, 0.05, 0.30, 0.30, 0.06, 0.06, 0.06)
-#: Number of concentration steps, least group, and the largest squared distance that is kept (in units in which the median text of a group has the chi-square median).
-C_STEPS, MIN_GROUP, CUTOFF = 5, 60, 60.0
+#: Concentration steps of all starts, and the most of the one that goes on (bins can make it swing between two estimates).
+FIRST_STEPS, MOST_STEPS = 2, 20
+#: Least group, and the largest squared distance that is kept (in units in which the median text of a group has the chi-square median). Text statistics have longer tails than a normal distribution: 60 is far beyond its 0.999 quantile of 24.3, so that clean texts stay.
+MIN_GROUP, CUTOFF = 60, 60.0
 CHI2_MEDIAN = 6.346  # for 7 dimensions
 #: A statistic of few words is noisy: squared distances are divided by 1 + NOISE / words.
 NOISE = 30.0
@@ -151,14 +156,51 @@ def _solved(n: float, mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], l
     return mean.tolist(), np.linalg.inv(cov)[np.triu_indices(P)].tolist(), float(np.linalg.slogdet(cov)[1])
 
 
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+UPPER = np.triu_indices(P)
+#: Steps of a unit in squashed coordinates and signs.
+FINE = 1024
+
+
+def _moments(names: list[str], values: list[Column]) -> list[Column]:
+    """Sums of whole-number values and of their products, under the names with _i and _i_j."""
+    return [F.sum(v).alias(n) for n, v in zip(names, values, strict=True)] + [F.sum(values[i] * values[j]).alias(f"{names[i]}_{names[j]}") for i, j in PAIRS]
+
+
+def _scatter(row: dict, name: str, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter from the sums of `m` rows."""
+    mean = np.array([row[f"{name}{i}"] for i in range(P)], float) / row["m"] / unit
+    second = np.zeros((P, P))
+    second[UPPER] = [row[f"{name}{i}_{name}{j}"] / row["m"] / unit**2 for i, j in PAIRS]
+    second += np.triu(second, 1).T
+    return mean, second - np.outer(mean, mean)
+
+
+def _squashed(rows: DataFrame, quantiles: DataFrame, n_groups: int) -> DataFrame:
+    """Per group, the sums of tanh (t) and of spatial signs (u) of coordinates that are centred and scaled by quartiles."""
+    met = _attached(rows, quantiles, ["g"], n_groups)
+    z = [(F.col(f"q{i}") - F.col("quantiles")[i][1]) / F.greatest((F.col("quantiles")[i][2] - F.col("quantiles")[i][0]) / 1.349, F.lit(FLOOR[i] * STEPS)) for i in range(P)]
+    met = met.select("g", *(x.alias(f"z{i}") for i, x in enumerate(z)))
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0)))
+    met = met.withColumn("length", F.when(length > 0, length).otherwise(1.0))
+    fine = lambda x: F.round(x * FINE).cast("long")
+    met = met.select("g", *(fine(F.tanh(f"z{i}")).alias(f"t{i}") for i in range(P)), *(fine(F.col(f"z{i}") / F.col("length")).alias(f"u{i}") for i in range(P)))
+    sums = [c for k in "tu" for c in _moments([f"{k}{i}" for i in range(P)], [F.col(f"{k}{i}") for i in range(P)])]
+    return quantiles.join(met.groupBy("g").agg(F.count("*").alias("m"), *sums), "g")
+
+
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Start 0: medians and quartile ranges. Start 1: the same centre and a wide round scatter, which ranks rows by plain distance."""
+    """All from the medians. 0: quartile ranges. 1: a wide round scatter, which ranks rows by plain distance. 2, 3: correlations of squashed coordinates, and of spatial signs."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             q = np.array(r["quantiles"], float) / STEPS
             spread = (q[:, 2] - q[:, 0]) / 1.349
-            for start, cov in enumerate((np.diag(spread**2), np.eye(P) * max(float((spread**2).mean()), 0.01))):
+            scale = np.maximum(spread, FLOOR)
+            tanh = _scatter(r, "t", FINE)[1]
+            size = np.sqrt(np.maximum(np.diag(tanh), 1e-9))
+            mean, signs = _scatter(r, "u", FINE)
+            for start, cov in enumerate((np.diag(spread**2), np.eye(P) * max(float((spread**2).mean()), 0.01), tanh / np.outer(size, size) * np.outer(scale, scale), P * (signs + np.outer(mean, mean)) * np.outer(scale, scale))):
                 centre, inverse, logdet = _solved(r["n"], q[:, 1], cov)
                 out.append({"g": r["g"], "start": start, "n": r["n"], "centre": centre, "inverse": inverse, "logdet": logdet})
         yield pa.RecordBatch.from_pylist(out, PARAM_TYPE)
@@ -168,15 +210,10 @@ PARAM_TYPE = pa.schema([("g", pa.string()), ("start", pa.int32()), ("n", pa.int6
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    upper = np.triu_indices(P)
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            mean = np.array([r[f"s{i}"] for i in range(P)], float) / r["m"] / STEPS
-            cov = np.zeros((P, P))
-            cov[upper] = [r[f"s{i}_{j}"] / r["m"] / STEPS**2 for i, j in zip(*upper, strict=True)]
-            cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            centre, inverse, logdet = _solved(r["n"], mean, cov)
+            centre, inverse, logdet = _solved(r["n"], *_scatter(r, "q", STEPS))
             out.append({"g": r["g"], "start": r["start"], "n": r["n"], "centre": centre, "inverse": inverse, "logdet": logdet})
         yield pa.RecordBatch.from_pylist(out, PARAM_TYPE)
 
@@ -209,17 +246,24 @@ def _thresholds(rows: DataFrame, more: int) -> DataFrame:
 
 def estimates(rows: DataFrame, n_groups: int) -> DataFrame:
     """One row per group: centre, inverse scatter (upper triangle) and scale, by minimum covariance determinant. rows: g and the vector."""
-    params = written(map_arrow(_quantiles(rows, (0.25, 0.5, 0.75)), _starts, PARAMS), "start")
-    ij = [(i, j) for i in range(P) for j in range(i, P)]
-    sums = [F.sum(f"q{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"q{i}") * F.col(f"q{j}")).alias(f"s{i}_{j}") for i, j in ij]
-    for _ in range(C_STEPS):
+    quantiles = written(_quantiles(rows, (0.25, 0.5, 0.75)), "quantiles")
+    params = written(map_arrow(_squashed(rows, quantiles, n_groups), _starts, PARAMS), "start")
+    sums = _moments([f"q{i}" for i in range(P)], [F.col(f"q{i}") for i in range(P)])
+
+    def step(params: DataFrame) -> DataFrame:
         far = _attached(rows, params, ["g"], n_groups).withColumn("bin", _bin(distance2()))
         most = written(_thresholds(far, P + 1), "most")
         near = _attached(far, most, ["g", "start"], n_groups).where(F.col("bin") <= F.col("most"))
-        moments = near.groupBy("g", "start").agg(F.max("n").alias("n"), F.count("*").alias("m"), *sums)
-        params = written(map_arrow(moments, _estimated, PARAMS), "step")
-    best = params.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "centre", "inverse")).alias("b")).select("g", "b.start", "b.n", "b.centre", "b.inverse")
+        return written(map_arrow(near.groupBy("g", "start").agg(F.max("n").alias("n"), F.count("*").alias("m"), *sums), _estimated, PARAMS), "step")
+
+    for _ in range(FIRST_STEPS):
+        params = step(params)
+    best = params.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "centre", "inverse")).alias("b")).select("g", "b.start", "b.n", "b.centre", "b.inverse", "b.logdet")
     best = written(best, "best")
+    for _ in range(MOST_STEPS - FIRST_STEPS):
+        last, best = best, step(best)
+        if not best.join(last.select("g", F.col("centre").alias("c"), F.col("logdet").alias("l")), "g").where("centre <> c or logdet <> l").limit(1).count():
+            break
     scale = _thresholds(_attached(rows, best, ["g"], n_groups).withColumn("bin", _bin(distance2())), 0).select("g", F.pow(F.lit(2.0), (F.col("most") + 1) / F.lit(float(BINS))).alias("median2"))
     # The floor keeps a group whose texts are all alike from getting a scale of nearly nothing.
     return written(best.join(scale, "g").withColumn("scale", F.greatest(F.col("median2") / CHI2_MEDIAN, F.lit(0.25))).select("g", "n", "centre", "inverse", "scale"), "estimates")

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.llm import rules
@@ -77,3 +78,49 @@ def test_a_third_of_copies_goes(spark):
     rows = [(i, " ".join(words) if i % 3 == 0 and s == "copies" else t, g, s) for i, t, g, s in rows]
     got = {r.doc_id: r for r in rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert [i for i, r in got.items() if r.kept == (i % 3 == 0)] == []
+
+
+def plain(vectors):
+    """Minimum covariance determinant of one group's distinct vectors in numpy: centre, inverse scatter and scale."""
+    P, v = rules.P, np.array(sorted(set(vectors)), float)
+    n, x = len(v), v / rules.STEPS
+    solved = lambda cov: (np.linalg.inv(cov + np.diag(np.square(rules.FLOOR))), np.linalg.slogdet(cov + np.diag(np.square(rules.FLOOR)))[1])
+    bins = lambda c, inv: np.floor(np.log2(np.maximum(np.einsum("ij,jk,ik->i", x - c, inv, x - c), 0) + 2.0**-20) * rules.BINS)
+
+    def step(c, inv):
+        b = bins(c, inv)
+        ranked = np.sort(b)
+        half = x[b <= ranked[-(-min(n + P + 1, 2 * n) // 2) - 1]]
+        return half.mean(0), *solved(np.cov(half.T, bias=True))
+
+    q = np.sort(x, axis=0)[[int(np.ceil(n * s)) - 1 for s in (0.25, 0.5, 0.75)]]
+    spread = (q[2] - q[0]) / 1.349
+    scale = np.maximum(spread, rules.FLOOR)
+    z = (x - q[1]) / scale
+    signs = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    tanh = np.cov(np.tanh(z).T, bias=True)
+    size = np.sqrt(np.maximum(np.diag(tanh), 1e-9))
+    starts = [np.diag(spread**2), np.eye(P) * max((spread**2).mean(), 0.01), tanh / np.outer(size, size) * np.outer(scale, scale), P * (signs.T @ signs / n) * np.outer(scale, scale)]
+    ends = []
+    for cov in starts:
+        now = (q[1], *solved(cov))
+        for _ in range(rules.FIRST_STEPS):
+            now = step(*now[:2])
+        ends.append(now)
+    now = min(ends, key=lambda e: e[2])
+    for _ in range(rules.MOST_STEPS - rules.FIRST_STEPS):
+        last, now = now, step(*now[:2])
+        if np.allclose(last[0], now[0], atol=1e-12) and abs(last[2] - now[2]) < 1e-12:
+            break
+    middle = np.sort(bins(*now[:2]))[-(-n // 2) - 1]
+    return now[0], now[1], max(2 ** ((middle + 1) / rules.BINS) / rules.CHI2_MEDIAN, 0.25)
+
+
+def test_verdicts_against_a_plain_estimate(spark):
+    df = corpus(spark, 300).withColumn("lang", F.lit("en")).withColumn("source", F.lit("one"))
+    found = {r.doc_id: rules.statistics(r.text) for r in df.collect()}
+    centre, inverse, scale = plain([v[5:] for v in found.values()])
+    for r in rules.quality(df).collect():
+        d = np.array(found[r.doc_id][5:]) / rules.STEPS - centre
+        expected = d @ inverse @ d / scale / (1 + rules.NOISE / max(r.n_words, 1))
+        assert abs(r.distance2 - expected) <= 1e-6 * max(1, expected) and r.kept == (not r.base_failed and expected <= rules.CUTOFF)
