@@ -50,7 +50,7 @@ def prime_dictionary(mnemonics: DataFrame) -> DataFrame:
     ranked = distinct.withColumn("rank", F.row_number().over(Window.orderBy("mnemonic")))  # one row per mnemonic of the alphabet
     found = primes(max(distinct.count(), 1))
     table = spark.createDataFrame([(i + 1, int(p)) for i, p in enumerate(found)], "rank int, prime long")
-    return small(saved(ranked.join(F.broadcast(table), "rank").select("mnemonic", "prime"), "primes"))
+    return small(saved(ranked.join(small(table), "rank").select("mnemonic", "prime"), "primes"))
 
 
 def degrees(corpus: Corpus) -> DataFrame:
@@ -88,6 +88,11 @@ def unit_hashes(corpus: Corpus) -> DataFrame:
     return parts.groupBy(*UNIT).agg(text_key(whole).alias("byte_hash"), text_key(norm).alias("norm_hash"))
 
 
+def byte_hashes(corpus: Corpus) -> DataFrame:
+    """byte_hash alone, for which no token is read."""
+    return corpus.blocks.groupBy(*UNIT).agg(text_key(F.array_join(in_order("block_addr", value=F.hex("bytes")), "")).alias("byte_hash"))
+
+
 def unit_fnv(corpus: Corpus) -> DataFrame:
     """FNV-1a of every unit's bytes; a hash of joined bytes is the chained hash of the parts."""
     whole = F.unhex(F.array_join(in_order("block_addr", value=F.hex("bytes")), ""))
@@ -125,16 +130,26 @@ def reference_sets(corpus: Corpus) -> DataFrame:
     return corpus.refs.groupBy(*UNIT).agg(F.array_sort(F.collect_set(value)).alias("constants"), F.array_sort(F.collect_set(text)).alias("string_hashes"))
 
 
-def shapes(corpus: Corpus) -> DataFrame:
-    """nodes, edges (with unknown targets), calls (sites), instr_count and cyclomatic of every unit."""
+SHAPE = ("nodes", "edges", "calls", "instr_count")
+
+
+def shapes(corpus: Corpus, only: frozenset[str] | None = None) -> DataFrame:
+    """nodes, edges (with unknown targets), calls (sites), instr_count and cyclomatic of every unit, or only those asked for."""
+    wanted = frozenset((*SHAPE, "cyclomatic")) if only is None else only
     per = lambda df, name: df.groupBy(*UNIT).agg(F.count("*").alias(name))
-    calls = corpus.calls.groupBy("diff_id", "side", F.col("caller").alias("func_addr")).agg(F.countDistinct("site").alias("calls"))
-    lines = corpus.tokens.groupBy(*UNIT).agg(F.countDistinct("block_addr", "line_no").alias("instr_count"))
-    units = corpus.units.select("diff_id", "side", F.col("addr").alias("func_addr"))
-    out = units
-    for df in (per(corpus.blocks, "nodes"), per(corpus.edges, "edges"), calls, lines):
-        out = out.join(df, UNIT, "left")
-    out = out.na.fill(0, ["nodes", "edges", "calls", "instr_count"])
+    made = {
+        "nodes": lambda: per(corpus.blocks, "nodes"),
+        "edges": lambda: per(corpus.edges, "edges"),
+        "calls": lambda: corpus.calls.groupBy("diff_id", "side", F.col("caller").alias("func_addr")).agg(F.countDistinct("site").alias("calls")),
+        "instr_count": lambda: corpus.tokens.groupBy(*UNIT).agg(F.countDistinct("block_addr", "line_no").alias("instr_count")),
+    }
+    out = corpus.units.select("diff_id", "side", F.col("addr").alias("func_addr"))
+    used = [c for c in SHAPE if c in wanted or (c in ("nodes", "edges") and "cyclomatic" in wanted)]
+    for c in used:
+        out = out.join(made[c](), UNIT, "left")
+    out = out.na.fill(0, used)
+    if "cyclomatic" not in wanted:
+        return out
     return out.withColumn("cyclomatic", F.when(F.col("edges") >= F.col("nodes"), F.col("edges") - F.col("nodes") + 2).otherwise(2).cast("long"))
 
 
@@ -143,25 +158,30 @@ def callees(calls: DataFrame) -> DataFrame:
     return calls.where("callee is not null").select("diff_id", "side", "caller", "callee").distinct()
 
 
-def unit_features(corpus: Corpus, mnemonic: Callable[[Column], Column] = first_letters) -> DataFrame:
-    """A row per unit with all that matching uses. Units without blocks share one hash of nothing."""
-    empty = F.array().cast("array<bigint>")
-    out = shapes(corpus).join(unit_hashes(corpus), UNIT, "left").join(unit_products(corpus, mnemonic), UNIT, "left").join(md_index(corpus), UNIT, "left")
-    if corpus.refs is not None:
-        out = out.join(reference_sets(corpus), UNIT, "left")
-    else:
-        out = out.withColumns({"constants": empty, "string_hashes": empty})
-    nothing = text_key(F.lit(""))
-    out = out.withColumns(
-        {
-            "byte_hash": F.coalesce("byte_hash", nothing),
-            "norm_hash": F.coalesce("norm_hash", nothing),
-            "spp": F.coalesce("spp", F.lit("1").cast("decimal(38,0)")),
-            "md_index": F.coalesce("md_index", F.lit(0.0)),
-            "constants": F.coalesce("constants", empty),
-            "string_hashes": F.coalesce("string_hashes", empty),
-        }
-    ).withColumn("md_q", quantize(F.col("md_index")))
+def unit_features(corpus: Corpus, mnemonic: Callable[[Column], Column] = first_letters, only: frozenset[str] | None = None) -> DataFrame:
+    """A row per unit with all that matching uses, or with the features named in `only`: what is not asked for is not
+    computed (a left join is not pruned by itself). Units without blocks share one hash of nothing."""
+    asked = lambda *names: only is None or not only.isdisjoint(names)
+    out, nothing, empty = shapes(corpus, only), text_key(F.lit("")), F.array().cast("array<bigint>")
+    defaults: dict[str, Column] = {}
+    if asked("norm_hash"):
+        out = out.join(unit_hashes(corpus), UNIT, "left")
+        defaults |= {"byte_hash": nothing, "norm_hash": nothing}
+    elif asked("byte_hash"):
+        out = out.join(byte_hashes(corpus), UNIT, "left")
+        defaults |= {"byte_hash": nothing}
+    if asked("spp", "pseudo_primes", "pseudo_hash"):
+        out = out.join(unit_products(corpus, mnemonic), UNIT, "left")
+        defaults |= {"spp": F.lit("1").cast("decimal(38,0)")}
+    if asked("md_index", "md_q"):
+        out = out.join(md_index(corpus), UNIT, "left")
+        defaults |= {"md_index": F.lit(0.0)}
+    if asked("constants", "string_hashes"):
+        out = out.join(reference_sets(corpus), UNIT, "left") if corpus.refs is not None else out.withColumns({"constants": empty, "string_hashes": empty})
+        defaults |= {"constants": empty, "string_hashes": empty}
+    out = out.withColumns({c: F.coalesce(c, d) for c, d in defaults.items()})
+    if "md_index" in defaults:
+        out = out.withColumn("md_q", quantize(F.col("md_index")))
     return corpus.units.join(out.withColumnRenamed("func_addr", "addr"), ["diff_id", "side", "addr"])
 
 

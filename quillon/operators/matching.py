@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +21,10 @@ class MatchPass:
     keys: tuple[str | Column, ...]
     eligible: str = "true"
 
+    def columns(self) -> frozenset[str]:
+        """The features that the pass uses."""
+        return frozenset(k for k in self.keys if isinstance(k, str)) | frozenset(re.findall("[a-z_]+", self.eligible))
+
 
 class Cancelled(Exception):
     """A progress callback returned False."""

@@ -30,8 +30,8 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(features.unit_features(corpora.document_corpus(spark, sf_dir)), "units")
+def features_of(spark: SparkSession, sf_dir: str, only: frozenset[str] | None = None) -> DataFrame:
+    return saved(features.unit_features(corpora.document_corpus(spark, sf_dir), only=only), "units")
 
 
 # -- features ---------------------------------------------------------------------------------------
@@ -155,7 +155,7 @@ def block_signature(spark, sf_dir):
 
 def _one_pass(p: matching.MatchPass):
     def run(spark, sf_dir):
-        return matching.match_unique(features_of(spark, sf_dir), p)
+        return matching.match_unique(features.unit_features(corpora.document_corpus(spark, sf_dir), only=p.columns()), p)
 
     return run
 
@@ -215,7 +215,7 @@ def match_fuzzy_scores(spark, sf_dir):
 
 @query()
 def match_fuzzy(spark, sf_dir):
-    units = features_of(spark, sf_dir)
+    units = features_of(spark, sf_dir)  # the scores use nearly all features
     first = matching.cascade(units, matching.PASSES[:2])
     return fuzzy.fuzzy_matches(saved(matching.open_units(units, first), "open"))
 
@@ -301,7 +301,7 @@ def blocks_talk(spark, sf_dir):
 def _quick(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Result of the exact-fingerprint pass alone: the smallest whole diff."""
     corpus = corpora.document_corpus(spark, sf_dir)
-    hashes = features.unit_hashes(corpus).withColumnRenamed("func_addr", "addr")
+    hashes = features.byte_hashes(corpus).withColumnRenamed("func_addr", "addr")
     sizes = corpus.blocks.groupBy(*corpora.UNIT).agg(F.count("*").alias("nodes")).withColumnRenamed("func_addr", "addr")
     units = saved(corpus.units.join(hashes, ["diff_id", "side", "addr"]).join(sizes, ["diff_id", "side", "addr"]).withColumn("edges", F.col("nodes") - 1), "units")
     matches = saved(matching.match_unique(units, matching.PASSES[0]), "matches")
@@ -410,8 +410,9 @@ def resolve_corpus(spark, sf_dir):
 
 
 @query(
-    """WITH bl AS (SELECT o_orderkey AS func_addr, o_orderkey * 10 AS b, o_orderkey * 10 + 7 AS e FROM orders WHERE o_orderkey <= 2000), w AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS a FROM lineitem WHERE l_orderkey <= 2000)
-SELECT a AS at, func_addr FROM (SELECT a, func_addr, row_number() OVER (PARTITION BY a ORDER BY func_addr = a DESC, func_addr) AS n FROM w JOIN bl ON (a >= b AND a < e) OR func_addr = a) WHERE n = 1"""
+    """WITH bl AS (SELECT o_orderkey AS func_addr, o_orderkey * 10 AS b, o_orderkey * 10 + 7 AS e FROM orders), w AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS a FROM lineitem),
+hit AS (SELECT a, func_addr FROM w JOIN bl ON a >= b AND a < e UNION ALL SELECT a, func_addr FROM w JOIN bl ON func_addr = a)
+SELECT a AS at, func_addr FROM (SELECT a, func_addr, row_number() OVER (PARTITION BY a ORDER BY func_addr = a DESC, func_addr) AS n FROM hit) WHERE n = 1"""
 )
 def unit_at_address(spark, sf_dir):
     o = corpora.table(spark, sf_dir, "orders")
@@ -451,7 +452,7 @@ def export_html_rows(spark, sf_dir):
     return rows.select("diff_id", "name", F.regexp_extract("html", "^(<tr.*?</td><td>.*?</td>)", 1).alias("head"))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS similarity, 1.0::DOUBLE AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'identical' ELSE 'changed' END AS shown FROM orders WHERE o_orderkey <= 3000""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS similarity, 1.0::DOUBLE AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'identical' ELSE 'changed' END AS shown FROM orders""")
 def v1_compat(spark, sf_dir):
     """Documents of the first version and with wrong types: defaults instead of errors."""
     o = corpora.table(spark, sf_dir, "orders")

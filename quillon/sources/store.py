@@ -29,7 +29,7 @@ def documents(result: DataFrame, block_matches: DataFrame | None, left: str, rig
         rows = rows.withColumn("blocks", F.array().cast(f"array<{BLOCK}>"))
     else:
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-        own = block_matches.groupBy("diff_id", F.col("left_func").alias("left_addr"), F.col("right_func").alias("right_addr")).agg(F.array_sort(F.collect_list(F.struct(zero("left_addr").alias("l"), zero("right_addr").alias("r"), F.col("status").alias("s")))).alias("blocks"))
+        own = block_matches.groupBy("diff_id", zero("left_func").alias("left_addr"), zero("right_func").alias("right_addr")).agg(F.array_sort(F.collect_list(F.struct(zero("left_addr").alias("l"), zero("right_addr").alias("r"), F.col("status").alias("s")))).alias("blocks"))
         rows = rows.join(own, key, "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>")))
     fields = [f.split(":")[0] for f in FUNCTION[7:].split(",blocks")[0].split(",")] + ["blocks"]
     packed = rows.groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("functions"))

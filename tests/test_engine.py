@@ -64,6 +64,27 @@ def test_each_block_is_there_once(diff):
     assert blocks.highlights(m).where("colour = 'yellow'").count() > 0
 
 
+def test_blocks_of_unmatched_units_are_listed(diff):
+    """All blocks of a removed unit are removed and shown in red, those of an added one added and green."""
+    result = {(r.left_addr, r.right_addr): r for r in diff.result.where("algorithm = 'unmatched'").collect()}
+    listed = {}
+    for m in diff.block_matches.where("left_func is null or right_func is null").collect():
+        listed.setdefault((m.left_func, m.right_func), []).append(m)
+    assert {k: (len(v), {m.status for m in v}) for k, v in listed.items()} == {k: (r.bb_added + r.bb_removed, {r.status}) for k, r in result.items()}
+    shown = {(r.side, r.func_addr): r.colour for r in blocks.highlights(diff.block_matches).collect()}
+    assert all(shown["L" if a else "R", a or b] == ("red" if a else "green") for a, b in result)
+
+
+def test_only_the_features_asked_for(spark):
+    c = corpus(spark, V1, V2)
+    whole = features.unit_features(c)
+    for p in matching.PASSES:
+        part = features.unit_features(c, only=p.columns())
+        assert len(part.columns) < len(whole.columns)
+        same = lambda df: sorted((r.diff_id, r.left_addr, r.right_addr) for r in matching.match_unique(df, p).collect())
+        assert same(part) == same(whole)
+
+
 def test_a_corpus_against_itself(spark):
     assert {r.status for r in engine.compute(corpus(spark, V1, V1, names=False)).result.collect()} == {"identical"}
 
