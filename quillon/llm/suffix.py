@@ -219,9 +219,8 @@ class Group:
         """Where a suffix of WIDTH bytes or more begins that its block did not settle."""
         long = self.lengths >= WIDTH
         here = _spread(self.starts[:-1][long], self.starts[1:][long] - WIDTH + 1, self.n)
-        for begin, size in _settled(back, TIED_BLOCKS):
-            here &= ~_spread(begin, begin + size, self.n)
-        return here
+        begin, size = _settled(back, TIED_BLOCKS)
+        return here & ~_spread(begin, begin + size, self.n) if len(begin) else here
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and end places of the blocks of suffixes, and their texts."""
@@ -356,12 +355,11 @@ PLACES = ((8, True), (8, False))
 LOW = U((1 << 40) - 1)
 
 
-def _settled(back: pa.Table, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Begins and sizes of the stretches that rows of this kind settle."""
-    for k, raw in zip(back.column("kind").to_pylist(), back.column("data").to_pylist(), strict=True):
-        if k == kind:
-            begin, size = _unpacked(raw, *PLACES)
-            yield begin.astype(np.int64), size.astype(np.int64)
+def _settled(back: pa.Table, *kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and sizes of the stretches that rows of these kinds settle."""
+    found = [_unpacked(raw, *PLACES) for k, raw in zip(back.column("kind").to_pylist(), back.column("data").to_pylist(), strict=True) if k in kinds]
+    begin, size = (np.concatenate([x[c] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64) for c in (0, 1))
+    return begin, size
 
 
 def _dealt(pk: int, n_buckets: int, buckets: np.ndarray, row: Callable[[np.ndarray], tuple[bytes, bytes]], done: bytes = b"") -> pa.Table:
@@ -550,8 +548,7 @@ RESULT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, k
 
 def _cut(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
     g = Group(table)
-    found = [x for kind in (TIED_BLOCKS, TIED) for x in _settled(back, kind)]
-    begin, size = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    begin, size = _settled(back, TIED_BLOCKS, TIED)
     order = np.argsort(begin, kind="stable")
     begin, end = begin[order], (begin + size + WIDTH - 1)[order]
     rows: dict[str, list] = {k: [] for k in RESULT.names}
