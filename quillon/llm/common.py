@@ -36,11 +36,14 @@ def n_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder's URI below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the setting is missing (a single machine, as in tests) a temporary folder takes its place.
+    Where the setting is missing on a single machine, as in tests, a temporary folder takes its place;
+    on a cluster that is an error, since other machines would not find it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = current or "file://" + tempfile.mkdtemp(prefix="quillon-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
