@@ -3,6 +3,11 @@
 Quality rules, near-duplicates, benchmark decontamination and secrets are settled in this order, and
 what is left is encoded. A stage gets all rows that the one before it kept; all stages but the last
 return the columns of documents.
+
+Defined results: rows with a null text, an empty one or fewer than ten words go in the first stage. Of
+equal texts and of repeated rows one row stays, that of the smallest id. A row with a null id is kept like
+others. Further columns, whatever their names, stay up to the last stage. Texts have no length limit; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
