@@ -38,3 +38,43 @@ def test_rows(docs, rows):
 def test_odd_rows(odd, none):
     assert sharding.shards(none).count() == 0
     assert sorted((r.doc_id or 0, r.row) for r in sharding.shards(odd).collect()) == [(0, 0), (5, 1), (5, 2), (6, 3)]
+
+
+def plain_place(row, n, seed, rounds=6):
+    """Feistel rounds with cycle walking on Python's own whole numbers."""
+    word = 2**64
+    bits = 2
+    while 2**bits < n:
+        bits += 2
+    half = 2 ** (bits // 2)
+    at = row
+    while True:
+        left, right = divmod(at, half)
+        for k in range(rounds):
+            x = (right + (seed * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03)) % word
+            x = (x ^ x // 2**30) * 0xBF58476D1CE4E5B9 % word
+            x = (x ^ x // 2**27) * 0x94D049BB133111EB % word
+            x ^= x // 2**31
+            left, right = right, left ^ x % half
+        at = left * half + right
+        if at < n:
+            return at
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5000), st.integers(0, 2**40), st.data())
+def test_permutation_against_plain_numbers(n, seed, data):
+    row = data.draw(st.integers(0, n - 1))
+    assert sharding.permute(np.array([row]), n, seed).tolist() == [plain_place(row, n, seed)]
+
+
+def test_shards_and_slots_against_brute_force(spark, rows):
+    """A text of over a megabyte, null, empty and repeated texts, and an extra column with the name of a result."""
+    whole = [(r[0], r[1], "mine") for r in rows] + [(2000, "long é " * 200_000, "mine")]
+    docs = spark.createDataFrame(whole, "doc_id long, text string, slot string").repartition(4)
+    want = {}
+    for row, (i, text, _) in enumerate(sorted(whole, key=lambda r: r[0])):
+        raw = (text or "").encode()
+        at = plain_place(row, len(whole), 20240229)
+        want[i] = (len(raw) + 1, zlib.crc32(raw), at % 16, at // 16)
+    assert {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shards(docs).collect()} == want
