@@ -1,3 +1,4 @@
+import os
 import random
 import time
 
@@ -120,3 +121,30 @@ def test_a_passage_that_articles_share_stays_in_both(spark):
     pages = [(i, f"http://h.example/{i}", f"<p>Site</p><article><p>{line()}</p><p>{shared}</p><p>{line()}</p></article>") for i in range(4)]
     for r in html.main_text(spark.createDataFrame(pages, PAGE)).collect():
         assert r.text.split("\n")[1] == shared and r.text.count("\n") == 2
+
+
+def test_pairing_and_deletion_against_brute_force(spark):
+    """Lines come in one order on all pages, so their longest common subsequence is what two pages share."""
+    rng = random.Random(11)
+    pages, lines = [], {}
+    for i in range(80):
+        host, path = f"h{i % 3}.example", "/" + "/".join(rng.choices("abc", k=rng.randint(1, 4))) + f"/{i}"
+        own = sorted(rng.sample(range(12), rng.randint(0, 6))) + [100 + 50 * i + k for k in range(rng.randint(0, 6))]
+        lines[host, path] = own
+        pages += [(n, f"http://{host}{path}", "<body><main>" + "".join(f"<p>line {x}</p>" for x in own) + "</main></body>") for n in ([i, 1000 + i] if i % 10 == 0 else [i])]
+    want, less = {}, 0
+    for n, url, _ in pages:
+        host, path = url[7:].split("/", 1)
+        path = "/" + path
+        there = [p for h, p in lines if h == host and p != path]
+        near = [max((p for p in there if p < path), default=None), min((p for p in there if p > path), default=None)]
+        alike = [-1 if p is None else len(os.path.commonprefix([p, path])) for p in near]
+        other = near[0] if alike[0] >= alike[1] else near[1]
+        mine, theirs = lines[host, path], lines[host, other]
+        both = set(mine) & set(theirs)
+        keep = mine if 10 * len(both) >= 9 * max(len(mine), len(theirs)) or 2 * len(both) >= len(mine) else [x for x in mine if x not in both]
+        less += len(keep) < len(mine)
+        want[n] = "\n".join(f"line {x}" for x in keep)
+    assert less > 10
+    got = html.main_text(spark.createDataFrame(pages, PAGE).repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == want
