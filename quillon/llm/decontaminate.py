@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, written
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN, GRAM = 13, 5
 BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    """The words of a text that is lower-cased already."""
+    """The words of a text, in the case that they have there."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
 
 
@@ -61,7 +61,9 @@ def with_fingerprints(df: DataFrame, span: int, name: str = "prints") -> DataFra
     shorter runs, which only add candidates.
     """
     gram = min(GRAM, span)
-    df = df.withColumn("gram1", F.transform("words", lambda w: F.xxhash64(w)))
+    # Words that are equal but for A-Z are equal in full lower case too, which has a fast path; it is taken word by word,
+    # since the lower case of some letters depends on what stands beside them.
+    df = df.withColumn("gram1", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
     for k in range(2, gram + 1):
         df = df.withColumn(f"gram{k}", F.zip_with(*_beside(f"gram{k - 1}", k - 1, "gram1"), lambda x, y: F.xxhash64(x, y)))
     least = f"gram{gram}"
@@ -91,15 +93,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items_of(benchmark)
     spans = sorted(r[0] for r in items.select("span").distinct().collect())  # 13 values at most
     src = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row_id"), F.xxhash64("doc_id", "text").alias("row_hash"), "doc_id", "text")
-    # Full lower-casing is a superset of A-Z and has a fast path; it serves the candidates, which are compared exactly below.
-    loose = src.select("row_id", "row_hash", words(F.lower("text")).alias("words"))
+    loose = src.select("row_id", "row_hash", words(F.col("text")).alias("words"))
     found = None
     for span in spans:  # explode_outer: the filter that is inferred from explode would compute the arrays twice
         own = items.where(F.col("span") == span)
-        prints = written(with_fingerprints(own.select(F.transform("words", lambda w: F.lower(w)).alias("words")), span).select(F.explode_outer("prints").alias("print")).distinct(), "prints")
+        prints = written(with_fingerprints(own.select("words"), span).select(F.explode_outer("prints").alias("print")).distinct(), "prints")
         hits = with_fingerprints(loose, span).select("row_id", "row_hash", F.explode_outer("prints").alias("print")).join(_side(prints), "print", "left_semi").select("row_id", "row_hash").distinct()
         found = hits if found is None else found.union(hits)
-    plain = src.select("doc_id", "row_id", "row_hash", F.size(words(F.lower("text"))).cast("long").alias("n_words"))
+    plain = src.select("doc_id", "row_id", "row_hash", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.sha2(F.lit("").cast("binary"), 256)
     if found is None:
         return plain.select("doc_id", "row_id", "row_hash", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))

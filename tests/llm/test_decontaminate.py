@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from quillon.llm import decontaminate
@@ -61,3 +62,23 @@ def test_filter_with_clashing_names_and_no_rows(spark):
     kept = decontaminate.keep_clean(docs, items)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0 for r in kept.collect())) == [0, 2]
     assert decontaminate.keep_clean(docs.limit(0), items).count() == 0
+
+
+def test_letters_whose_lower_case_depends_on_their_neighbours(spark):
+    item = "ΑΣ Β " * 10
+    docs = [(i, sep.join(item.split()) + sep + " ".join(f"w{k}" for k in range(20))) for i, sep in enumerate([" ", "'", ".", "·", "_"])]
+    got = run(spark, docs, [(1, item)])
+    assert got == brute(docs, [(1, item)]) and [r[2] for r in got[:3]] == [20, 20, 20]
+
+
+def test_special_casing_at_random(spark):
+    rng = random.Random(11)
+    parts = ["Σ", "ς", "σ", "İ", "i\u0307", "I", "ß", "ẞ", "K", "K", "Å", "Ǆ", "ﬀ", "a", "Z", "\u00ad", "\u0345", "Ωm", "7"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 3)))
+    items = [(k, " ".join(word() for _ in range(rng.choice([2, 5, 13, 17])))) for k in range(12)]
+    docs = []
+    for i in range(80):
+        t = rng.choice(items)[1]
+        t = "".join(c.upper() if "a" <= c <= "z" and rng.random() < 0.5 else c for c in t)
+        docs.append((i, " ".join(word() for _ in range(rng.randint(0, 9))) + rng.choice([" ", "'", ". "]) + rng.choice([" ", "'", "-", "."]).join(t.split(" ")) + rng.choice([" ", "'"]) + word()))
+    assert run(spark, docs, items) == brute(docs, items)
