@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, neardup, pieces, rules, secrets, sharding, suffix, tokenbin, wordpiece
+from . import decontaminate, html, neardup, pieces, pii, ranking, rules, secrets, sharding, suffix, tokenbin, whitening, wordpiece
 from .common import table
 from pyspark.sql import functions as F
 
@@ -54,6 +54,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, DOC))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, DOC), table(spark, sf_dir, "benchmark"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, DOC))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact deviation is a decimal; here it is a long, null where it is beyond one."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_quality_rules": op2_quality_rules,
@@ -65,5 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_personal_data": op12_personal_data,
+    "op13_whitening": op13_whitening,
 }
-ORACLE: dict[str, str] = {"op1_repeated_bytes": suffix.SQL, "op3_decontamination": decontaminate.SQL, "op8_near_duplicates": neardup.SQL}
+ORACLE: dict[str, str] = {"op1_repeated_bytes": suffix.SQL, "op3_decontamination": decontaminate.SQL, "op8_near_duplicates": neardup.SQL, "op11_ranked_search": ranking.SQL}
