@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import fnv1a, prime_product, quantize, text_key
-from quillon.plans.storage import saved, small
+from quillon.plans.storage import counted, ranks, saved, small
 from quillon.sources.corpora import BLOCK, UNIT, Corpus
 
 #: Token types that a skeleton leaves out (fixed values).
@@ -32,25 +33,46 @@ def first_letters(text: Column) -> Column:
     return F.lower(F.substring(text, 1, 2))
 
 
-def primes(n: int) -> np.ndarray:
-    """The first n primes, by a sieve up to the known bound."""
-    bound = 15 if n < 6 else int(n * (math.log(n) + math.log(math.log(n)))) + 1
-    sieve = np.ones(bound + 1, bool)
-    sieve[:2] = False
-    for p in range(2, math.isqrt(bound) + 1):
-        if sieve[p]:
-            sieve[p * p :: p] = False
-    return np.flatnonzero(sieve)[:n]
+#: Whole numbers that a task sieves at a time.
+SEGMENT = 1 << 20
 
 
-def prime_dictionary(mnemonics: DataFrame) -> DataFrame:
-    """mnemonic → prime, the same for both sides: distinct mnemonics in binary order get successive primes."""
-    spark = mnemonics.sparkSession
-    distinct = saved(mnemonics.select("mnemonic").distinct(), "mnemonics")
-    ranked = distinct.withColumn("rank", F.row_number().over(Window.orderBy("mnemonic")))  # one row per mnemonic of the alphabet
-    found = primes(max(distinct.count(), 1))
-    table = spark.createDataFrame([(i + 1, int(p)) for i, p in enumerate(found)], "rank int, prime long")
-    return small(saved(ranked.join(small(table), "rank").select("mnemonic", "prime"), "primes"))
+def primes(spark: SparkSession, n: int) -> DataFrame:
+    """At least the first n primes, each segment sieved by a task of its own."""
+    bound = 15 if n < 6 else int(n * (math.log(n) + math.log(math.log(n)))) + 1
+    segment = SEGMENT
+
+    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in pdf.id:
+                low, high = k * segment, (k + 1) * segment
+                base = np.ones(math.isqrt(high) + 1, bool)
+                open_ = np.ones(segment, bool)
+                open_[: max(0, 2 - low)] = False
+                for p in range(2, len(base)):
+                    if base[p]:
+                        base[p * p :: p] = False
+                        open_[max(p * p, -(-low // p) * p) - low :: p] = False
+                yield pd.DataFrame({"prime": np.flatnonzero(open_) + low})
+
+    segments = bound // segment + 1
+    return spark.range(0, segments, 1, min(segments, 1000)).mapInPandas(sieve, "prime long")
+
+
+def prime_dictionary(mnemonics: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """mnemonic → prime, the same for both sides: distinct mnemonics in binary order get successive primes.
+
+    A dictionary made earlier (known: mnemonic, prime) is kept as it is, and new mnemonics get the primes behind its own.
+    Ranks come from prefix sums over ranges, so no task holds the alphabet.
+    """
+    distinct = mnemonics.select("mnemonic").distinct()
+    used = 0
+    if known is not None:
+        distinct, used = distinct.join(known, "mnemonic", "left_anti"), known.count()
+    placed, n = counted(ranks(distinct, "mnemonic", after=used), "mnemonics")
+    table = ranks(primes(mnemonics.sparkSession, max(used + n, 1)), "prime")
+    found = placed.join(table, "rank").select("mnemonic", "prime")
+    return small(saved(found if known is None else known.select("mnemonic", "prime").unionByName(found), "primes"))
 
 
 def degrees(corpus: Corpus) -> DataFrame:
@@ -70,6 +92,9 @@ def skeletons(corpus: Corpus) -> DataFrame:
 
 def block_features(corpus: Corpus) -> DataFrame:
     """A row per block: degrees, instr_count, byte_hash, mnemonic_sig."""
+    if corpus.packed is not None:
+        rows = corpus.packed.select("diff_id", "side", F.col("addr").alias("func_addr"), F.explode_outer("blocks").alias("b")).where("b.block_addr is not null")
+        return rows.select(*UNIT, "b.block_addr", text_key(F.col("b.bytes")).alias("byte_hash"), "b.in_degree", "b.out_degree", "b.instr_count", "b.mnemonic_sig")
     hashed = corpus.blocks.select(*BLOCK, text_key(F.col("bytes")).alias("byte_hash"))
     return hashed.join(degrees(corpus), BLOCK).join(skeletons(corpus), BLOCK, "left").na.fill({"instr_count": 0, "mnemonic_sig": ""})
 
@@ -82,6 +107,8 @@ def block_products(corpus: Corpus, mnemonic: Callable[[Column], Column] = first_
 
 def unit_hashes(corpus: Corpus) -> DataFrame:
     """byte_hash and norm_hash of every unit: its blocks one after the other in address order."""
+    if corpus.packed is not None:
+        return packed_features(corpus, frozenset(("byte_hash", "norm_hash"))).select(*UNIT, "byte_hash", "norm_hash")
     parts = corpus.blocks.join(skeletons(corpus).select(*BLOCK, "mnemonic_sig"), BLOCK, "left").na.fill({"mnemonic_sig": ""})
     whole = F.array_join(in_order("block_addr", value=F.hex("bytes")), "")
     norm = F.array_join(in_order("block_addr", value=F.col("mnemonic_sig")), "")
@@ -99,12 +126,14 @@ def unit_fnv(corpus: Corpus) -> DataFrame:
     return corpus.blocks.groupBy(*UNIT).agg(fnv1a(whole).alias("fnv"))
 
 
-def unit_products(corpus: Corpus, mnemonic: Callable[[Column], Column] = first_letters) -> DataFrame:
+def unit_products(corpus: Corpus, mnemonic: Callable[[Column], Column] = first_letters, dictionary: DataFrame | None = None) -> DataFrame:
     """spp, pseudo_primes and pseudo_hash of every unit that has mnemonics or syntax-tree operations."""
+    if corpus.packed is not None:
+        return packed_products(corpus.packed, mnemonic, dictionary)
     ops = corpus.tokens.where("tok_type = 'opcode'").select(*UNIT, F.lit("op").alias("of"), mnemonic(F.col("text")).alias("mnemonic"))
     if corpus.ast is not None:
         ops = ops.unionByName(corpus.ast.select(*UNIT, F.lit("ast").alias("of"), F.concat(F.lit("hlil:"), F.col("op").cast("string")).alias("mnemonic")))
-    per = ops.join(prime_dictionary(ops), "mnemonic").groupBy(*UNIT)
+    per = ops.join(prime_dictionary(ops) if dictionary is None else dictionary, "mnemonic").groupBy(*UNIT)
     found = per.agg(*(prime_product(F.collect_list(F.when(F.col("of") == of, F.col("prime")))).alias(name) for of, name in (("op", "spp"), ("ast", "pseudo_primes"))), F.count_if(F.col("of") == "ast").alias("n_ast"))
     found = found.withColumn("pseudo_primes", F.when(F.col("n_ast") > 0, F.col("pseudo_primes"))).drop("n_ast")
     if corpus.ast is None:
@@ -125,6 +154,8 @@ def md_index(corpus: Corpus) -> DataFrame:
 
 def reference_sets(corpus: Corpus) -> DataFrame:
     """Sorted distinct constants and hashes of the strings' first bytes."""
+    if corpus.packed is not None:
+        return packed_features(corpus, frozenset(("constants", "string_hashes"))).select(*UNIT, "constants", "string_hashes")
     value = F.when(F.col("kind") == "const", F.col("value"))
     text = F.when(F.col("kind") == "string", F.conv(F.substring(text_key(F.substring("bytes", 1, STRING_PREFIX)), 1, 15), 16, 10).cast("long"))
     return corpus.refs.groupBy(*UNIT).agg(F.array_sort(F.collect_set(value)).alias("constants"), F.array_sort(F.collect_set(text)).alias("string_hashes"))
@@ -158,9 +189,60 @@ def callees(calls: DataFrame) -> DataFrame:
     return calls.where("callee is not null").select("diff_id", "side", "caller", "callee").distinct()
 
 
-def unit_features(corpus: Corpus, mnemonic: Callable[[Column], Column] = first_letters, only: frozenset[str] | None = None) -> DataFrame:
+def op_names(packed: DataFrame, mnemonic: Callable[[Column], Column] = first_letters) -> DataFrame:
+    """of (op or ast) and mnemonic of every operation of packed rows."""
+    of = lambda kind, text: F.struct(F.lit(kind).alias("of"), text.alias("mnemonic"))
+    both = F.concat(F.transform("ops", lambda w: of("op", mnemonic(w))), F.transform("ast", lambda k: of("ast", F.concat(F.lit("hlil:"), k.cast("string")))))
+    return packed.select("diff_id", "side", F.col("addr").alias("func_addr"), F.explode_outer(both).alias("m")).where("m.of is not null").select(*UNIT, "m.of", "m.mnemonic")
+
+
+def packed_products(packed: DataFrame, mnemonic: Callable[[Column], Column] = first_letters, dictionary: DataFrame | None = None) -> DataFrame:
+    """spp, pseudo_primes and pseudo_hash out of packed rows: a unit's mnemonics are counted before they are dealt out."""
+    counts = op_names(packed, mnemonic).groupBy(*UNIT, "of", "mnemonic").agg(F.count("*").alias("times"))
+    if dictionary is None:
+        counts = saved(counts, "mnemonics")
+        dictionary = prime_dictionary(counts)
+    per = counts.join(dictionary, "mnemonic").groupBy(*UNIT)
+    power = lambda kind: prime_product(F.flatten(F.collect_list(F.when(F.col("of") == kind, F.array_repeat("prime", F.col("times").cast("int"))))))
+    found = per.agg(power("op").alias("spp"), power("ast").alias("pseudo_primes"), F.count_if(F.col("of") == "ast").alias("n_ast"))
+    found = found.withColumn("pseudo_primes", F.when(F.col("n_ast") > 0, F.col("pseudo_primes"))).drop("n_ast")
+    codes = F.array_join(F.transform("ast", lambda k: k.cast("string")), ",")
+    return packed.select("diff_id", "side", F.col("addr").alias("func_addr"), F.when(F.size("ast") > 0, text_key(codes)).alias("pseudo_hash")).where("pseudo_hash is not null").join(found, UNIT)
+
+
+def packed_features(corpus: Corpus, only: frozenset[str] | None = None, mnemonic: Callable[[Column], Column] = first_letters, dictionary: DataFrame | None = None) -> DataFrame:
+    """unit_features of packed rows: one projection of one scan; only prime products need more."""
+    asked = lambda *names: only is None or not only.isdisjoint(names)
+    edge = lambda a, b: F.lit(math.sqrt(2)) * a["in_degree"] + F.lit(math.sqrt(3)) * a["out_degree"] + F.lit(math.sqrt(5)) * b["in_degree"] + F.lit(math.sqrt(7)) * b["out_degree"]
+    rows = corpus.packed.withColumn("degrees", F.transform("blocks", lambda b: F.struct(b["in_degree"].alias("in_degree"), b["out_degree"].alias("out_degree"))))
+    weights = F.transform("links", lambda k: edge(F.get("degrees", k["src"] - 1), F.get("degrees", k["dst"] - 1)))
+    terms = F.array_sort(F.transform(F.filter(weights, lambda w: w > 0), lambda w: 1.0 / F.sqrt(w)))
+    string = lambda s: F.conv(F.substring(text_key(F.substring(F.encode(s, "UTF-8"), 1, STRING_PREFIX)), 1, 15), 16, 10).cast("long")
+    nodes, edges = F.size("blocks").cast("long"), F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["out_degree"])
+    made = {
+        "nodes": nodes, "edges": edges, "calls": F.col("calls"), "instr_count": F.col("instr_count"),
+        "cyclomatic": F.when(edges >= nodes, edges - nodes + 2).otherwise(2).cast("long"),
+        "byte_hash": text_key(F.array_join(F.transform("blocks", lambda b: F.hex(b["bytes"])), "")),
+        "norm_hash": text_key(F.array_join(F.transform("blocks", lambda b: b["mnemonic_sig"]), "")),
+        "md_index": F.aggregate(terms, F.lit(0.0), lambda a, x: a + x),
+        "constants": F.array_sort(F.array_distinct("constants")),
+        "string_hashes": F.array_sort(F.array_distinct(F.transform("strings", string))),
+    }
+    wanted = [c for c in made if asked(c) or c == "md_index" and asked("md_q") or c in ("constants", "string_hashes") and asked("constants", "string_hashes")]
+    out = rows.select("diff_id", "side", "addr", F.col("addr").alias("func_addr"), "name", *(made[c].alias(c) for c in wanted))
+    if "md_index" in wanted:
+        out = out.withColumn("md_q", quantize(F.col("md_index")))
+    if asked("spp", "pseudo_primes", "pseudo_hash"):
+        out = out.join(packed_products(corpus.packed, mnemonic, dictionary), UNIT, "left").withColumn("spp", F.coalesce("spp", F.lit("1").cast("decimal(38,0)")))
+    return out
+
+
+def unit_features(corpus: Corpus, mnemonic: Callable[[Column], Column] = first_letters, only: frozenset[str] | None = None, dictionary: DataFrame | None = None) -> DataFrame:
     """A row per unit with all that matching uses, or with the features named in `only`: what is not asked for is not
-    computed (a left join is not pruned by itself). Units without blocks share one hash of nothing."""
+    computed (a left join is not pruned by itself). Units without blocks share one hash of nothing. A stored dictionary
+    (mnemonic, prime) gives the prime products of a part of a corpus without a look at the rest."""
+    if corpus.packed is not None:
+        return packed_features(corpus, only, mnemonic, dictionary).drop("func_addr")
     asked = lambda *names: only is None or not only.isdisjoint(names)
     out, nothing, empty = shapes(corpus, only), text_key(F.lit("")), F.array().cast("array<bigint>")
     defaults: dict[str, Column] = {}
@@ -171,7 +253,7 @@ def unit_features(corpus: Corpus, mnemonic: Callable[[Column], Column] = first_l
         out = out.join(byte_hashes(corpus), UNIT, "left")
         defaults |= {"byte_hash": nothing}
     if asked("spp", "pseudo_primes", "pseudo_hash"):
-        out = out.join(unit_products(corpus, mnemonic), UNIT, "left")
+        out = out.join(unit_products(corpus, mnemonic, dictionary), UNIT, "left")
         defaults |= {"spp": F.lit("1").cast("decimal(38,0)")}
     if asked("md_index", "md_q"):
         out = out.join(md_index(corpus), UNIT, "left")
@@ -189,7 +271,7 @@ def one_unit(corpus: Corpus, diff_id: str, side: str, addr: int) -> Corpus:
     """The corpus of a single unit: the same plans, with the filter pushed into every scan."""
     here = (F.col("diff_id") == diff_id) & (F.col("side") == side)
     own = lambda df, at="func_addr": df.where(here & (F.col(at) == addr)) if df is not None else None
-    return Corpus(own(corpus.units, "addr"), own(corpus.blocks), own(corpus.tokens), own(corpus.edges), own(corpus.calls, "caller"), own(corpus.refs), own(corpus.ast))
+    return Corpus(own(corpus.units, "addr"), own(corpus.blocks), own(corpus.tokens), own(corpus.edges), own(corpus.calls, "caller"), own(corpus.refs), own(corpus.ast), own(corpus.packed, "addr"))
 
 
 def one_block(corpus: Corpus, diff_id: str, side: str, addr: int, block: int) -> DataFrame:

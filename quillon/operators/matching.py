@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.storage import saved
+from quillon.plans.storage import BROADCAST_ROWS, counted, saved
 
 
 @dataclass(frozen=True)
@@ -78,13 +78,60 @@ def open_units(units: DataFrame, matches: DataFrame) -> DataFrame:
     return units.join(taken(matches), ["diff_id", "side", "addr"], "left_anti")
 
 
+def keyed(units: DataFrame, passes: tuple[MatchPass, ...]) -> DataFrame:
+    """diff_id, side, addr, and a struct k<i> of two hashes of the unit's key for each pass, null where it has none."""
+    out = []
+    for i, p in enumerate(passes):
+        keys = _keys(p)
+        whole = F.when(F.expr(p.eligible), F.lit(True))
+        for k in keys:
+            whole = F.when(k.isNotNull(), whole)
+        out.append(F.when(whole, F.struct(F.xxhash64(F.lit(i), *keys).alias("a"), F.xxhash64(F.lit(~i), *keys).alias("b"))).alias(f"k{i}"))
+    return units.select("diff_id", "side", "addr", *out)
+
+
+def _sides(rows: DataFrame, *by: str) -> DataFrame:
+    """For each key the number of its members on each side and the xor of their addresses, which is the address of one."""
+    on = lambda side: F.col("side") == side
+    return rows.groupBy(*by).agg(*(c for s, n in (("L", "left"), ("R", "right")) for c in (F.count_if(on(s)).alias(f"n_{n}"), F.coalesce(F.bit_xor(F.when(on(s), F.col("addr"))), F.lit(0).cast("long")).alias(f"{n}_addr"))))
+
+
 def cascade(units: DataFrame, passes: tuple[MatchPass, ...] = PASSES, progress: Progress | None = None) -> DataFrame:
-    """Matches of all passes in turn; each pass sees only what is still unmatched. The matches of a pass are a saved
-    table, so lineage does not grow with the passes."""
-    matches = units.sparkSession.createDataFrame([], MATCHES)
+    """Matches of all passes in turn; each pass sees only what is still unmatched.
+
+    The keys of all passes are counted once, in one aggregation that combines on the map side; keys that are on one
+    side only can never match and are left out. A pass subtracts from its counts the members that earlier passes have
+    taken: number and xor of addresses, so that the one that is left is known without another look at the units. What
+    a pass takes is looked up once for its later keys. So a pass moves its keys at most, never the units.
+    """
+    spark = units.sparkSession
+    matches = spark.createDataFrame([], MATCHES)
+    if len(passes) == 1:
+        if progress and progress(passes[0].name, 0, 1) is False:
+            raise Cancelled(passes[0].name)
+        return saved(match_unique(units, passes[0]), "pass")
+    keys = saved(keyed(units, passes), "keys")
+    each = F.array(*(F.struct(F.lit(i).alias("pass"), F.col(f"k{i}").alias("k")) for i in range(len(passes))))
+    entries = keys.select("diff_id", "side", "addr", F.explode(each).alias("e")).select("diff_id", "side", "addr", "e.pass", "e.k.a", "e.k.b").where("a is not null")
+    counts = saved(_sides(entries, "diff_id", "pass", "a", "b").where("n_left > 0 and n_right > 0"), "counts", "pass")
+    gone: list[DataFrame] = []
     for i, p in enumerate(passes):
         if progress and progress(p.name, i, len(passes)) is False:
             raise Cancelled(p.name)
-        found = saved(match_unique(open_units(units, matches) if i else units, p), "pass")
+        own = counts.where(F.col("pass") == i).drop("pass")
+        if gone:
+            rows = gone[0]
+            for g in gone[1:]:
+                rows = rows.unionByName(g, allowMissingColumns=True)
+            rows = rows.select("diff_id", "side", "addr", f"k{i}.a", f"k{i}.b").where("a is not null")
+            less = _sides(rows, "diff_id", "a", "b").withColumnsRenamed({c: f"{c}_gone" for c in ("n_left", "n_right", "left_addr", "right_addr")})
+            zero = lambda c: F.coalesce(f"{c}_gone", F.lit(0).cast("long"))
+            left = own.join(less, ["diff_id", "a", "b"], "left")
+            own = left.select("diff_id", *((F.col(c) - zero(c)).alias(c) for c in ("n_left", "n_right")), *(F.col(c).bitwiseXOR(zero(c)).alias(c) for c in ("left_addr", "right_addr")))
+        found = own.where("n_left = 1 and n_right = 1").select("diff_id", "left_addr", "right_addr", F.lit(p.confidence).alias("confidence"), F.lit(p.name).alias("algorithm"))
+        found, n = counted(found, "pass")
         matches = found if not i else matches.unionByName(found)
+        if n and i + 1 < len(passes):
+            ends = taken(found)
+            gone.append(saved(keys.join(F.broadcast(ends) if n <= BROADCAST_ROWS // 2 else ends, ["diff_id", "side", "addr"]).drop(*(f"k{j}" for j in range(i + 1))), "taken"))
     return matches

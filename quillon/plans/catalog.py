@@ -131,18 +131,23 @@ def feat_callgraph(spark, sf_dir):
     + " SELECT diff_id, side, addr, name, nodes, edges, calls, instr_count, byte_hash, norm_hash, CAST(spp AS VARCHAR) AS spp, md_q FROM f WHERE side = 'L' AND addr = 8"
 )
 def extract_one(spark, sf_dir):
-    """The row of a single unit out of the whole table; prime products need the dictionary of both sides."""
-    whole = features_of(spark, sf_dir)
-    return whole.where("side = 'L' and addr = 8").select("diff_id", "side", "addr", "name", "nodes", "edges", "calls", "instr_count", "byte_hash", "norm_hash", F.col("spp").cast("string").alias("spp"), "md_q")
+    """The row of a single unit: the corpus is read for its stored dictionary, which extraction then looks up; the
+    filter stands at every scan of the unit's own rows."""
+    c = corpora.document_corpus(spark, sf_dir)
+    dictionary = features.prime_dictionary(features.op_names(c.packed))
+    at = (F.col("side") == "L") & (F.col("addr") == 8)
+    own = corpora.Corpus(c.units.where(at), c.blocks, c.tokens, c.edges, c.calls, packed=c.packed.where(at))
+    row = features.unit_features(own, dictionary=dictionary)
+    return row.select("diff_id", "side", "addr", "name", "nodes", "edges", "calls", "instr_count", "byte_hash", "norm_hash", F.col("spp").cast("string").alias("spp"), "md_q")
 
 
-@query(twins.over(twins.UNITS, twins.BLOCKS, twins.HASHES) + " SELECT func_addr AS addr, nodes, edges, instr_count, byte_hash, norm_hash FROM uh WHERE diff_id = 'en' AND side = 'L' AND func_addr BETWEEN 1 AND 30")
+@query(twins.over(twins.UNITS, twins.BLOCKS, twins.HASHES) + " SELECT func_addr AS addr, nodes, edges, instr_count, byte_hash, norm_hash FROM uh WHERE diff_id = 'en' AND side = 'L'")
 def extract_filtered(spark, sf_dir):
-    """The extraction plan over units of an address range; the filter is pushed into the scans."""
+    """The extraction plan over the left units of a language; the filter is pushed into the scan."""
     c = corpora.document_corpus(spark, sf_dir)
-    own = lambda df, at="func_addr": df.where((F.col("diff_id") == "en") & (F.col("side") == "L") & F.col(at).between(1, 30)) if df is not None else None
-    c = corpora.Corpus(own(c.units, "addr"), own(c.blocks), own(c.tokens), own(c.edges), own(c.calls, "caller"), own(c.refs), own(c.ast))
-    return features.shapes(c).join(features.unit_hashes(c), corpora.UNIT).select(F.col("func_addr").alias("addr"), "nodes", "edges", "instr_count", "byte_hash", "norm_hash")
+    c.packed = c.packed.where("diff_id = 'en' and side = 'L'")
+    wanted = ("nodes", "edges", "instr_count", "byte_hash", "norm_hash")
+    return features.unit_features(c, only=frozenset(wanted)).select("addr", *wanted)
 
 
 @query(twins.over(twins.UNITS) + " SELECT diff_id, side, func_addr, block_addr, string_agg(text, ' ' ORDER BY line_no) AS signature FROM t GROUP BY ALL")
@@ -225,7 +230,7 @@ def match_fuzzy(spark, sf_dir):
 
 def _block_pairs(spark, sf_dir):
     corpus = corpora.document_corpus(spark, sf_dir)
-    units = saved(features.unit_features(corpus), "units")
+    units = saved(features.unit_features(corpus, only=matching.PASSES[0].columns() | matching.PASSES[1].columns()), "units")
     return corpus, units, matching.cascade(units, matching.PASSES[:2])
 
 
@@ -301,9 +306,7 @@ def blocks_talk(spark, sf_dir):
 def _quick(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Result of the exact-fingerprint pass alone: the smallest whole diff."""
     corpus = corpora.document_corpus(spark, sf_dir)
-    hashes = features.byte_hashes(corpus).withColumnRenamed("func_addr", "addr")
-    sizes = corpus.blocks.groupBy(*corpora.UNIT).agg(F.count("*").alias("nodes")).withColumnRenamed("func_addr", "addr")
-    units = saved(corpus.units.join(hashes, ["diff_id", "side", "addr"]).join(sizes, ["diff_id", "side", "addr"]).withColumn("edges", F.col("nodes") - 1), "units")
+    units = saved(features.unit_features(corpus, only=frozenset(("byte_hash", "nodes", "edges"))), "units")
     matches = saved(matching.match_unique(units, matching.PASSES[0]), "matches")
     rows = units.select("diff_id", "side", F.col("addr").alias("func_addr"), "nodes")
     same = matches.join(rows.where("side = 'L'"), [matches.diff_id == rows.diff_id, matches.left_addr == rows.func_addr]).select(matches["*"], F.col("nodes").alias("bb_identical"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; it is counted first.
@@ -23,10 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back."""
+def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a table in the shared folder, read back; `by`: columns whose values get a folder each."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,3 +40,28 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 def small(df: DataFrame) -> DataFrame:
     """df for broadcast if it is counted to be small, else as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+#: Bits of a row's number inside its partition, in Spark's own numbering of rows.
+ROW_BITS = 33
+
+
+def in_ranges(df: DataFrame, *order: str | Column, name: str = "sorted") -> DataFrame:
+    """df sorted by the order over range partitions, as a saved table, with `part` and `row` (from 0 inside a part).
+
+    No task holds more than a range, and later parts hold later rows.
+    """
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    return saved(cut.withColumns({"part": F.shiftright(at, ROW_BITS), "row": at.bitwiseAND(F.lit((1 << ROW_BITS) - 1))}), name)
+
+
+def ranks(df: DataFrame, *order: str | Column, rank: str = "rank", after: int = 0) -> DataFrame:
+    """df with its rows' ranks (from `after` + 1) in the order, by prefix sums of the sizes of range partitions."""
+    table = in_ranges(df, *order)
+    offsets, seen = [], after
+    for part, n in sorted(tuple(r) for r in table.groupBy("part").count().collect()):  # a row for each partition
+        offsets.append((part, seen))
+        seen += n
+    starts = df.sparkSession.createDataFrame(offsets, "part long, start long")
+    return table.join(F.broadcast(starts), "part").withColumn(rank, F.col("start") + F.col("row") + 1).drop("part", "row", "start")

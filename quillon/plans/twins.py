@@ -42,7 +42,7 @@ md AS (SELECT diff_id, side, func_addr, sum(1 / sqrt(sqrt(2) * a.in_degree + sqr
 """
 
 REFS = r"""
-rc AS (SELECT diff_id, side, addr AS func_addr, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) <= 15), lambda x: CAST(x AS BIGINT)))) AS constants FROM u),
+rc AS (SELECT diff_id, side, addr AS func_addr, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: CASE WHEN length(x) <= 18 THEN TRY_CAST(x AS BIGINT) ELSE CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) END))) AS constants FROM u),
 rs AS (SELECT diff_id, side, func_addr, list_sort(list_distinct(list(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT)))) AS string_hashes FROM t WHERE contains(text, '@') GROUP BY ALL)
 """
 

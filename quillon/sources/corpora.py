@@ -7,13 +7,17 @@ edges:  diff_id, side, func_addr, src_block, dst_block (null: unknown target)
 calls:  diff_id, side, caller, site, callee (null: unresolved)
 refs:   diff_id, side, func_addr, kind (const or string), value, bytes
 ast:    diff_id, side, func_addr, seq, op
+packed: a row for each unit (diff_id, side, addr, name) with what the tables above hold of it, where a source can make
+        that in one go: blocks in address order (block_addr, bytes, in_degree, out_degree, instr_count, mnemonic_sig),
+        links between known blocks (src, dst: places in the array), instr_count, calls (sites), ops and ast in order,
+        constants and strings. Features are then computed inside the row; else they are aggregated from the tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNIT = ["diff_id", "side", "func_addr"]
@@ -29,6 +33,7 @@ class Corpus:
     calls: DataFrame
     refs: DataFrame | None = None
     ast: DataFrame | None = None
+    packed: DataFrame | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,17 +44,44 @@ def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of the documents: one diff for each language. By the last digit of the id a document
     is dropped from a side (0, 9), renamed (1), appended to (2), reversed by lines (3) or given another number (4)."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("?")).alias("diff_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = F.col("doc_id") % 10
+    d, text = F.col("doc_id") % 10, F.col("text")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    left = docs.where(d != 9).select("diff_id", F.lit("L").alias("side"), (F.col("doc_id") + 1).alias("addr"), name.alias("name"), F.when(d == 4, F.concat("text", F.lit(" #1"))).otherwise(F.col("text")).alias("text"))
     changed = (
-        F.when(d == 2, F.concat("text", F.lit("\nappended tail line")))
-        .when(d == 3, F.array_join(F.reverse(F.split("text", "\n")), "\n"))
-        .when(d == 4, F.concat("text", F.lit(" #2")))
-        .otherwise(F.col("text"))
+        F.when(d == 2, F.concat(text, F.lit("\nappended tail line")))
+        .when(d == 3, F.array_join(F.reverse(F.split(text, "\n")), "\n"))
+        .when(d == 4, F.concat(text, F.lit(" #2")))
+        .otherwise(text)
     )
-    right = docs.where(d != 0).select("diff_id", F.lit("R").alias("side"), (F.col("doc_id") + 1).alias("addr"), F.when(d == 1, F.concat(F.lit("ren_"), F.col("doc_id").cast("string"))).otherwise(name).alias("name"), changed.alias("text"))
-    return left.unionByName(right)
+    of = lambda side, name, text: F.struct(F.lit(side).alias("side"), name.alias("name"), text.alias("text"))
+    left = F.when(~(d == 9), of("L", name, F.when(d == 4, F.concat(text, F.lit(" #1"))).otherwise(text)))
+    right = F.when(~(d == 0), of("R", F.when(d == 1, F.concat(F.lit("ren_"), F.col("doc_id").cast("string"))).otherwise(name), changed))
+    # Both sides come out of one scan; explode_outer, since a filter inferred from explode would compute the texts twice.
+    both = docs.select("diff_id", (F.col("doc_id") + 1).alias("addr"), F.explode_outer(F.array(left, right)).alias("u")).where("u.side is not null")
+    return both.select("diff_id", "u.side", "addr", "u.name", "u.text")
+
+
+def long_constant(digits: Column) -> Column:
+    """A number of at most 18 digits as it is; a longer one stands for itself by 60 bits of its hash."""
+    return F.when(F.length(digits) <= 18, digits.try_cast("long")).otherwise(F.conv(F.substring(F.md5(digits.cast("binary")), 1, 15), 16, 10).cast("long"))
+
+
+def document_packed(units: DataFrame) -> DataFrame:
+    """A row for each document unit with all that its features need, by array functions on the row."""
+    number = lambda w: w.rlike("^#?[0-9]+$")
+    rows = units.withColumn("lines", F.split("text", "\n"))
+    rows = rows.withColumn("words", F.transform("lines", lambda line: F.filter(F.split(line, " "), lambda w: w != "")))
+    shown = lambda ws: F.when(F.size(ws) == 0, "").otherwise(F.concat(F.array_join(F.transform(ws, lambda w: F.when(number(w), "").otherwise(F.concat(w, F.lit(" ")))), "\n"), F.lit("\n")))
+    block = lambda line, ws: F.struct(F.encode(line, "UTF-8").alias("bytes"), F.size(ws).cast("long").alias("instr_count"), shown(ws).alias("mnemonic_sig"))
+    rows = rows.withColumns({"n": F.size("lines"), "flat": F.flatten("words"), "blocks": F.zip_with("lines", "words", block)})
+    rows = rows.withColumns({"ops": F.filter("flat", lambda w: ~number(w)), "at": F.sequence(F.lit(1), F.col("n")), "constants": F.transform(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), long_constant)})
+    one = lambda when: F.when(when, 1).otherwise(0).cast("long")
+    placed = lambda b, i: F.struct(i.cast("long").alias("block_addr"), b["bytes"].alias("bytes"), one(i > 1).alias("in_degree"), one(i < F.col("n")).alias("out_degree"), b["instr_count"].alias("instr_count"), b["mnemonic_sig"].alias("mnemonic_sig"))
+    links = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.struct(i.alias("src"), (i + 1).alias("dst")))).otherwise(F.array().cast("array<struct<src:int,dst:int>>"))
+    return rows.select(
+        "diff_id", "side", "addr", "name", F.zip_with("blocks", "at", placed).alias("blocks"), links.alias("links"),
+        F.size("flat").cast("long").alias("instr_count"), F.size(F.filter("flat", lambda w: w.endswith("."))).cast("long").alias("calls"),
+        "ops", F.transform("ops", lambda w: F.length(w)).alias("ast"), "constants", F.filter("flat", lambda w: w.contains("@")).alias("strings"),
+    )
 
 
 def document_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -61,10 +93,10 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     tokens = words.select(*BLOCK, "line_no", F.lit(0).alias("tok_no"), F.when(F.col("text").rlike("^#?[0-9]+$"), "integer").otherwise("opcode").alias("tok_type"), "text")
     edges = units.select(*key, F.size(F.split("text", "\n")).alias("n")).where("n > 1").select(*UNIT, F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i")).select(*UNIT, F.col("i").cast("long").alias("src_block"), (F.col("i") + 1).cast("long").alias("dst_block"))
     calls = tokens.where(F.col("text").endswith(".")).select("diff_id", "side", F.col("func_addr").alias("caller"), (F.col("block_addr") * 1_000_000 + F.col("line_no")).alias("site"), F.lit(None).cast("long").alias("callee"))
-    const = units.select(*key, F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("v")).where("length(v) <= 15").select(*UNIT, F.lit("const").alias("kind"), F.col("v").cast("long").alias("value"), F.lit(None).cast("binary").alias("bytes"))
+    const = units.select(*key, F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("v")).select(*UNIT, F.lit("const").alias("kind"), long_constant(F.col("v")).alias("value"), F.lit(None).cast("binary").alias("bytes"))
     strings = tokens.where(F.col("text").contains("@")).select(*UNIT, F.lit("string").alias("kind"), F.lit(None).cast("long").alias("value"), F.encode("text", "UTF-8").alias("bytes"))
     ast = tokens.where("tok_type = 'opcode'").select(*UNIT, (F.col("block_addr") * 1_000_000 + F.col("line_no")).alias("seq"), F.length("text").alias("op"))
-    return Corpus(units.drop("text"), blocks, tokens, edges, calls, const.unionByName(strings), ast)
+    return Corpus(units.drop("text"), blocks, tokens, edges, calls, const.unionByName(strings), ast, document_packed(units))
 
 
 def event_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
