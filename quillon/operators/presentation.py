@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.hashing import unsigned_order
 from quillon.functions.text import hex_address, name_contains, normalized_name, score_text
 from quillon.operators.features import SEMANTIC
+from quillon.plans.storage import in_ranges, places, saved, small
 
 FILTERS = ("all", "differences", "changed", "added", "removed")
 
@@ -26,15 +27,25 @@ def grid(entries: DataFrame) -> DataFrame:
 
 
 def positions(rows: DataFrame, *order: str) -> DataFrame:
-    """pos: the place of every row within its diff in the shown order."""
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("diff_id").orderBy(*order)))
+    """pos: the place of every row within its diff in the shown order, by range partitions and sums of their sizes."""
+    return places(rows, ["diff_id"], list(order), "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def steps(placed: DataFrame) -> DataFrame:
-    """For every row the place of the next and the previous one that is not identical, without wrapping around."""
+    """For every row the place of the next and the previous one that is not identical, without wrapping around.
+
+    A segmented scan: rows are sorted into ranges; inside a range and diff a window finds the neighbours, and what lies
+    beyond its ends is carried over from the first and last changes of the diff's other ranges.
+    """
+    rows = in_ranges(placed, "diff_id", "pos").drop("row")
     change = F.when(F.col("status") != "identical", F.col("pos"))
-    w = Window.partitionBy("diff_id").orderBy("pos")
-    return placed.withColumns({"next_change": F.min(change).over(w.rowsBetween(1, Window.unboundedFollowing)), "previous_change": F.max(change).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    ends = rows.groupBy("diff_id", "part").agg(F.min(change).alias("first"), F.max(change).alias("last"))  # a row for each range and diff
+    w = Window.partitionBy("diff_id").orderBy("part")
+    carried = ends.select("diff_id", "part", F.min("first").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"), F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    w = Window.partitionBy("diff_id", "part").orderBy("pos")
+    inside = rows.withColumns({"next_change": F.min(change).over(w.rowsBetween(1, Window.unboundedFollowing)), "previous_change": F.max(change).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    joined = inside.join(small(saved(carried, "carried")), ["diff_id", "part"])
+    return joined.withColumns({"next_change": F.coalesce("next_change", "after"), "previous_change": F.coalesce("previous_change", "before")}).drop("part", "after", "before")
 
 
 def first_change(placed: DataFrame, *, last: bool = False) -> DataFrame:

@@ -222,7 +222,7 @@ def match_fuzzy_scores(spark, sf_dir):
 def match_fuzzy(spark, sf_dir):
     units = features_of(spark, sf_dir)  # the scores use nearly all features
     first = matching.cascade(units, matching.PASSES[:2])
-    return fuzzy.fuzzy_matches(saved(matching.open_units(units, first), "open"))
+    return fuzzy.fuzzy_matches(saved(matching.open_units(units, first), "open"), max_side=None)
 
 
 # -- blocks -----------------------------------------------------------------------------------------
@@ -251,7 +251,8 @@ def blocks_norm(spark, sf_dir):
 
 
 def _full(spark, sf_dir) -> engine.Diff:
-    return engine.compute(corpora.document_corpus(spark, sf_dir))
+    """The whole engine over the documents, with the bounds of a side and of blocks lifted."""
+    return engine.compute(corpora.document_corpus(spark, sf_dir), engine.Options(fuzzy_max_side=None, max_blocks=None))
 
 
 @query()

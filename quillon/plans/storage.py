@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; it is counted first.
@@ -65,3 +65,13 @@ def ranks(df: DataFrame, *order: str | Column, rank: str = "rank", after: int =
         seen += n
     starts = df.sparkSession.createDataFrame(offsets, "part long, start long")
     return table.join(F.broadcast(starts), "part").withColumn(rank, F.col("start") + F.col("row") + 1).drop("part", "row", "start")
+
+
+def places(df: DataFrame, group: list[str], order: list[str | Column], place: str = "place") -> DataFrame:
+    """df with each row's number (from 1) inside its group in the order. A group that is longer than a range lies in
+    several parts; their sizes are summed up, so no task holds a group."""
+    table = in_ranges(df, *group, *order)
+    runs = table.groupBy(*group, "part").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    runs = small(saved(runs.select(*group, "part", (before - F.col("first") + 1).alias("start")), "runs"))
+    return table.join(runs, [*group, "part"]).withColumn(place, F.col("row") + F.col("start")).drop("part", "row", "start")

@@ -85,14 +85,15 @@ def document_packed(units: DataFrame) -> DataFrame:
 
 
 def document_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Units are documents, blocks are lines, instructions are words; numbers are immediates."""
+    """Units are documents, blocks are lines, instructions are words; numbers are immediates. A word that ends a sentence is
+    a call of the unit at half the address."""
     units = document_units(spark, sf_dir)
     key = [F.col("diff_id"), F.col("side"), F.col("addr").alias("func_addr")]
     blocks = units.select(*key, F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(*UNIT, (F.col("pos") + 1).cast("long").alias("block_addr"), F.encode("line", "UTF-8").alias("bytes"))
     words = blocks.select(*BLOCK, F.posexplode(F.filter(F.split(F.decode("bytes", "UTF-8"), " "), lambda w: w != "")).alias("line_no", "text"))
     tokens = words.select(*BLOCK, "line_no", F.lit(0).alias("tok_no"), F.when(F.col("text").rlike("^#?[0-9]+$"), "integer").otherwise("opcode").alias("tok_type"), "text")
     edges = units.select(*key, F.size(F.split("text", "\n")).alias("n")).where("n > 1").select(*UNIT, F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i")).select(*UNIT, F.col("i").cast("long").alias("src_block"), (F.col("i") + 1).cast("long").alias("dst_block"))
-    calls = tokens.where(F.col("text").endswith(".")).select("diff_id", "side", F.col("func_addr").alias("caller"), (F.col("block_addr") * 1_000_000 + F.col("line_no")).alias("site"), F.lit(None).cast("long").alias("callee"))
+    calls = tokens.where(F.col("text").endswith(".")).select("diff_id", "side", F.col("func_addr").alias("caller"), (F.col("block_addr") * 1_000_000 + F.col("line_no")).alias("site"), F.when(F.col("func_addr") > 1, F.expr("func_addr div 2")).alias("callee"))
     const = units.select(*key, F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("v")).select(*UNIT, F.lit("const").alias("kind"), long_constant(F.col("v")).alias("value"), F.lit(None).cast("binary").alias("bytes"))
     strings = tokens.where(F.col("text").contains("@")).select(*UNIT, F.lit("string").alias("kind"), F.lit(None).cast("long").alias("value"), F.encode("text", "UTF-8").alias("bytes"))
     ast = tokens.where("tok_type = 'opcode'").select(*UNIT, (F.col("block_addr") * 1_000_000 + F.col("line_no")).alias("seq"), F.length("text").alias("op"))
