@@ -25,6 +25,11 @@ def diff_name(left: Column, right: Column, fallback: str = "diff") -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") & (F.coalesce(b, F.lit("")) == ""), fallback).otherwise(F.concat(a, F.lit("-vs-"), b))
 
 
+def raw_diff_name(left: Column, right: Column) -> Column:
+    """The name of a diff that is saved from the list of diffs: both names as they are."""
+    return F.concat(F.coalesce(left, F.lit("")), F.lit("-vs-"), F.coalesce(right, F.lit("")))
+
+
 def hex_address(address: Column, none: str = "") -> Column:
     return F.when(F.coalesce(address, F.lit(0)) == 0, none).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(address))))
 

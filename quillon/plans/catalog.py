@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import hashing, scores, text
 from quillon.operators import assembly, blocks, features, fuzzy, matching, presentation, propagation
 from quillon.plans import engine, twins
-from quillon.plans.storage import saved
+from quillon.plans.storage import saved, shared_folder
 from quillon.sources import corpora, export, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -429,17 +430,62 @@ def unit_at_address(spark, sf_dir):
 # -- store and export -------------------------------------------------------------------------------
 
 
-@query(QUICK + SHOWN + " SELECT diff_id, name, status, left_addr, right_addr, similarity, confidence, algorithm, bb_identical, bb_changed, bb_added, bb_removed FROM en WHERE diff_id = 'en'")
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[store.DiffStore, DataFrame]:
+    """A fresh store with the diff of each language, and their names."""
+    rows = saved(store.function_rows(_quick(spark, sf_dir)[0], None), "functions")
+    names = rows.select("diff_id").distinct().orderBy("diff_id")
+    s = store.DiffStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    for (name,) in names.collect():  # a row for each diff
+        s.save(f"of {name}/a=b", rows.where(F.col("diff_id") == name), "a", "b", "2024-01-01T00:00:00")
+    return s, names
+
+
+@query(QUICK + SHOWN + " SELECT diff_id, name, status, left_addr, right_addr, similarity, confidence, algorithm, bb_identical, bb_changed, bb_added, bb_removed FROM en")
 def store_roundtrip(spark, sf_dir):
-    """Saves one diff, loads it by name and unfolds its rows."""
-    from quillon.plans.storage import shared_folder
-    import uuid
+    """Saves every diff under a name of its own, and loads them by name."""
+    s, names = _stored(spark, sf_dir)
+    out = None
+    for (name,) in names.collect():
+        own = s.load(f"of {name}/a=b").drop("blocks").select(F.lit(name).alias("diff_id"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
 
-    rows = _quick(spark, sf_dir)[0].where("diff_id = 'en'")
-    s = store.DiffStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
-    s.save("first", saved(store.documents(rows, None, "a", "b", "2024-01-01T00:00:00"), "document"))
-    back = s.load("first").select(F.explode("functions").alias("f")).select("f.*").drop("blocks")
-    return back.select(F.lit("en").alias("diff_id"), "*")
+
+@query("SELECT CAST(row_number() OVER (ORDER BY encode(d)) AS BIGINT) AS position, 'of ' || d || '/a=b' AS name, 'a → b · 2024-01-01T00:00:00' AS subtitle FROM (SELECT DISTINCT coalesce(lang, '?') AS d FROM documents) QUALIFY position > 1")
+def store_catalog(spark, sf_dir):
+    """Names and subtitles of the stored diffs, after the first was deleted; positions count from 1."""
+    s, names = _stored(spark, sf_dir)
+    s.delete(f"of {names.first()[0]}/a=b")
+    return s.titles().select((F.col("position") + 1).alias("position"), "name", "subtitle")
+
+
+SHOWN_STATUS = "CASE WHEN old IN ('added', 'removed') THEN old WHEN similarity >= 0.999 THEN 'identical' ELSE 'changed' END"
+
+
+@query(QUICK + SHOWN + f" SELECT diff_id, count(*) FILTER ({SHOWN_STATUS} = 'identical') AS n_identical, count(*) FILTER ({SHOWN_STATUS} = 'changed') AS n_changed, count(*) FILTER ({SHOWN_STATUS} = 'added') AS n_added, count(*) FILTER ({SHOWN_STATUS} = 'removed') AS n_removed FROM en GROUP BY diff_id")
+def reload_summary(spark, sf_dir):
+    """Counts of stored rows that keep the old three statuses, judged by their similarity."""
+    return assembly.summary(assembly.entries(_quick(spark, sf_dir)[0], old_status=True), stored=True)
+
+
+@query(twins.over(twins.UNITS, twins.BLOCKS) + " SELECT diff_id, func_addr, byte_hash, CAST(instr_count AS BIGINT) AS instr_count, mnemonic_sig, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree FROM bs WHERE side = 'L' AND block_addr = 2")
+def extract_block(spark, sf_dir):
+    """The second block of every left unit, by the plan that extracts one block."""
+    rows = features.block_features(corpora.document_corpus(spark, sf_dir)).where("side = 'L' and block_addr = 2")
+    return rows.select("diff_id", "func_addr", "byte_hash", "instr_count", "mnemonic_sig", "in_degree", "out_degree")
+
+
+@query("SELECT c_custkey AS id, coalesce(c_name, '') || '-vs-' || '/opt/lib/' || c_name AS diff_name FROM customer")
+def raw_names(spark, sf_dir):
+    c = corpora.table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), text.raw_diff_name(F.col("c_name"), F.concat(F.lit("/opt/lib/"), "c_name")).alias("diff_name"))
+
+
+@query("SELECT s_name AS name, path FROM (SELECT s_name, s_suppkey, '/c/' || s_suppkey % 9 AS path FROM supplier) WHERE path = '/c/4' ORDER BY s_suppkey LIMIT 1")
+def resolve_path(spark, sf_dir):
+    """The first candidate at a path."""
+    s = corpora.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("position"), F.col("s_name").alias("name"), F.concat(F.lit("/c/"), (F.col("s_suppkey") % 9).cast("string")).alias("path"))
+    return presentation.resolve_by_path(s, "/c/4").select("name", "path")
 
 
 @query(QUICK + SHOWN + f""" SELECT diff_id, name, status, {HEX.format('left_addr', '')} AS "leftAddr", {HEX.format('right_addr', '')} AS "rightAddr", bb_added FROM en""")

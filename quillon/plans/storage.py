@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,18 +27,72 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@dataclass
+class Run:
+    """The tables of one run, numbered in the order in which they are made."""
+
+    folder: str
+    made: list[str] = field(default_factory=list)
+    reused: int = 0
+
+
+_run: ContextVar[Run | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def run_in(folder: str) -> Iterator[Run]:
+    """Tables that are saved inside are kept below the folder, and those that an earlier run has finished there are read
+    instead of made again. The same work makes the same tables in the same order, since all choices follow the data."""
+    token = _run.set(run := Run(folder.rstrip("/")))
+    try:
+        yield run
+    finally:
+        _run.reset(token)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of the path, and the path as Hadoop has it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+def tidy(spark: SparkSession, run: Run, *kept: DataFrame) -> None:
+    """Deletes the run's tables but those that the kept frames read."""
+    used = {f.rsplit("/", 1)[0].split(":", 1)[-1].replace("//", "/") for df in kept for f in df.inputFiles()}
+    for path in run.made:
+        if not any(u.startswith(path.split(":", 1)[-1].replace("//", "/")) for u in used):
+            remove(spark, path)
+
+
 def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df as a table in the shared folder, read back; `by`: columns whose values get a folder each."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, run = df.sparkSession, _run.get()
+    if run is None:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    else:
+        path = f"{run.folder}/{len(run.made):05d}-{name}"
+        run.made.append(path)
+        fs, at = file_system(spark, f"{path}/_SUCCESS")
+        if fs.exists(at):
+            run.reused += 1
+            return spark.read.schema(df.schema).parquet(path)
+    out = df.write.mode("errorifexists" if run is None else "overwrite")
+    (out.partitionBy(*by) if by else out).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """df as a saved table, and its number of rows, counted while it is written."""
+    run = _run.get()
+    before = run.reused if run else 0
     seen = Observation()
     out = saved(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return out, seen.get["n"]
+    return out, out.count() if run and run.reused > before else seen.get["n"]
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -156,14 +156,18 @@ def test_fuzzy_pruning_is_exact_and_choice_is_greedy(spark):
 def test_store(spark, diff, tmp_path):
     s = store.DiffStore(spark, "file://" + str(tmp_path / "store"))
     assert s.list().count() == 0 and s.load("x") is None and not s.delete("x")
-    doc = store.documents(diff.result, diff.block_matches, "v1", "v2", "2024-01-01T00:00:00")
-    for name in ("x", "y", "x"):
-        s.save(name, doc)
-    assert [(r.position, r.name) for r in s.list().collect()] == [(0, "x"), (1, "y")]
-    row = s.load("x").first()
-    assert row.schema == 2 and len(row.functions) == diff.result.count() and sum(len(f.blocks) for f in row.functions) == diff.block_matches.count()
+    rows = store.function_rows(diff.result, diff.block_matches)
+    for name in ("x", "y/z=1:2", "x"):
+        s.save(name, rows, "v1", "v2", "2024-01-01T00:00:00")
+    assert [(r.position, r.name) for r in s.list().collect()] == [(0, "x"), (1, "y/z=1:2")]
+    back = s.load("x").collect()
+    assert len(back) == diff.result.count() and sum(len(r.blocks) for r in back) == diff.block_matches.count()
     assert s.titles().first().subtitle == "v1 → v2 · 2024-01-01T00:00:00"
-    assert s.delete("x") and [r.name for r in s.list().collect()] == ["y"] and s.load("x") is None
+    assert len(list((tmp_path / "store/data").iterdir())) == 2
+    assert s.delete("y/z=1:2") and [r.name for r in s.list().collect()] == ["x"] and s.load("y/z=1:2") is None
+    assert len(list((tmp_path / "store/data").iterdir())) == 1 and not s.delete("y/z=1:2")
+    doc = store.documents(diff.result, diff.block_matches, "v1", "v2", "2024-01-01T00:00:00")
+    assert doc.first().schema == 2 and len(doc.first().functions) == len(back)
     path = "file://" + str(tmp_path / "one")
     store.save_file(doc, path)
     with pytest.raises(store.AlreadyThere):
@@ -267,3 +271,107 @@ def test_line_changes_of_the_whole_engine(spark, diff, monkeypatch):
     got = catalog.QUERIES["instr_diff_full"](spark, "").collect()
     assert {(r.left_addr, r.right_addr, r.line_no, r.left_line, r.right_line) for r in got} == want and len(got) == len(want)
     assert ("div", "sub") in {(r.left_line, r.right_line) for r in got}
+
+
+def test_two_writers_and_a_killed_save(spark, diff, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = "file://" + str(tmp_path / "store")
+    rows = store.function_rows(diff.result, None).limit(2)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: store.DiffStore(spark, folder).save(f"n{k}", rows), range(6)))
+    s = store.DiffStore(spark, folder)
+    assert sorted(r.name for r in s.list().collect()) == [f"n{k}" for k in range(6)] and sorted(r.position for r in s.list().collect()) == list(range(6))
+    assert not s._publish(s._read()[0], [])  # a version is given once only
+    with monkeypatch.context() as m:
+        m.setattr(store.DiffStore, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            s.save("late", rows)
+    assert s.load("late") is None and s.list().count() == 6 and s.clean() == 1 and s.clean() == 0 and s.load("n3").count() == 2
+
+
+def test_a_run_goes_on_where_it_was_cancelled(spark, diff, tmp_path):
+    from quillon.plans.storage import run_in
+
+    folder, c = "file://" + str(tmp_path / "run"), corpus(spark, V1, V2)
+    with pytest.raises(matching.Cancelled):
+        engine.compute(c, progress=lambda name, i, n: name != "nec", folder=folder)
+    before = len(list((tmp_path / "run").iterdir()))
+    with run_in(folder) as run:
+        again = engine._compute(c, engine.Options(), None)
+    assert run.reused == before > 3
+    done = engine.compute(c, folder=folder)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(done.result) == rows(diff.result) == rows(again.result) and rows(done.block_matches) == rows(diff.block_matches)
+    assert {p.name.split("-")[1] for p in (tmp_path / "run").iterdir()} == {"units", "blocks", "residual", "result"}
+    with pytest.raises(matching.Cancelled):
+        engine.compute(c, progress=lambda name, i, n: name != "features", folder=folder + "2")
+    assert not (tmp_path / "run2").exists()
+
+
+#: Ten scenarios: two units as they were, two changed, one renamed, one with its blocks in another order, two gone, two new.
+OLD = {
+    "scan": ["load a b", "test b", "jump out", "add a one", "loop back"], "encode": ["push x", "shift x four", "mask x", "store low", "store high", "ret"],
+    "mix": ["load k", "xor k v", "rotate v", "store v", "next v", "again k", "ret"], "sum": ["zero s", "add s v", "fold s", "ret s"],
+    "wipe": ["fill p zero", "step p", "ret p p"], "sort": ["case one", "case two three", "case four five six", "default", "join", "leave q", "halt q", "done"],
+    "decode": [f"part {w} of many" for w in "abcdefghijkl"], "turn": [" ".join(f"swap{k}" for k in range(60))],
+}
+NEW = {
+    "scan": OLD["scan"], "encode": OLD["encode"], "mix": [*OLD["mix"][:2], "rotate w", *OLD["mix"][3:]], "sum": [*OLD["sum"][:2], "bend s", "ret s"],
+    "blank": OLD["wipe"], "sort": [*OLD["sort"][2:], *OLD["sort"][:2]],
+    "count": [f"bit {k} and then more of it" for k in range(30)], "spin": ["ror"],
+}
+
+
+def test_the_ten_scenarios_with_and_without_names(spark, tmp_path):
+    from quillon.operators.assembly import entries, summary
+
+    found = engine.compute(corpus(spark, OLD, NEW))
+    rows = {(r.left_name, r.right_name): r for r in found.result.collect()}
+    assert rows["scan", "scan"].status == rows["encode", "encode"].status == rows["wipe", "blank"].status == "identical"
+    assert rows["mix", "mix"].status == rows["sum", "sum"].status == rows["sort", "sort"].status == "changed"
+    assert {k for k, r in rows.items() if r.status == "removed"} == {("decode", None), ("turn", None)}
+    assert {k for k, r in rows.items() if r.status == "added"} == {(None, "count"), (None, "spin")}
+    listed = entries(found.result)
+    text = json.loads(open(export.export(listed, str(tmp_path / "r"), "a", "b", "t")).read())
+    assert {"functions", "summary"} <= set(text) and "scan" in {f["name"] for f in text["functions"]}
+    page = open(export.export(listed, str(tmp_path / "r.html"), "a", "b", "t")).read()
+    assert "<table" in page and "scan" in page and "changed" in page
+    again = summary(entries(found.result, old_status=True), stored=True).first()
+    assert (again.n_identical, again.n_changed, again.n_added, again.n_removed) == (4, 2, 2, 2)  # the reordered one has 0.999
+    bare = engine.compute(corpus(spark, OLD, NEW, names=False)).summary.first()
+    assert bare.n_added == 2 and bare.n_removed == 2 and bare.n_identical + bare.n_changed == 6
+
+
+def test_pairs_and_blocks_against_plain_python(spark, diff):
+    """Similarity, status and block matches of every matched pair, by loops over the two corpora."""
+    shape = lambda n, k: (int(k > 0), int(k < n - 1))
+    side = [{100 + i * 10: lines for i, lines in enumerate(v.values())} for v in (V1, V2)]
+    skeleton = lambda line: [w for w in line.split() if not w.isdigit()] + [len(line.split())]
+    got = {}
+    for m in diff.block_matches.collect():
+        got.setdefault((m.left_func, m.right_func), set()).add((m.left_addr, m.right_addr, m.status))
+    for r in diff.result.where("left_addr is not null and right_addr is not null").collect():
+        a, b = side[0][r.left_addr], side[1][r.right_addr]
+        left, right, out = list(range(len(a))), list(range(len(b))), set()
+        for key, status in ((lambda x: x, "identical"), (skeleton, "changed")):
+            for i in list(left):
+                j = next((j for j in right if key(a[i]) == key(b[j])), None)
+                if j is not None:
+                    out.add((i, j, status))
+                    left.remove(i)
+                    right.remove(j)
+        for i in list(left):
+            if right:
+                j = min(right, key=lambda j: 1000 * sum(abs(x - y) for x, y in zip(shape(len(a), i), shape(len(b), j), strict=True)) + abs(len(a[i].split()) - len(b[j].split())))
+                out.add((i, j, "changed"))
+                left.remove(i)
+                right.remove(j)
+        out |= {(i, None, "removed") for i in left} | {(None, j, "added") for j in right}
+        place = lambda f, k: None if k is None else f * 100 + k
+        assert got[r.left_addr, r.right_addr] == {(place(r.left_addr, i), place(r.right_addr, j), s) for i, j, s in out}
+        n = [sum(s == want for _, _, s in out) for want in ("identical", "changed", "added", "removed")]
+        assert [r.bb_identical, r.bb_changed, r.bb_added, r.bb_removed] == n
+        edges = 1 - abs(len(a) - len(b)) / max(len(a) - 1, len(b) - 1, 1)
+        want = 1.0 if a == b else min(0.999, 0.8 * (2 * n[0] + n[1]) / (len(a) + len(b)) + 0.2 * edges)
+        assert abs(r.similarity - want) < 1e-9 and r.status == ("identical" if a == b else "changed")
