@@ -60,8 +60,7 @@ def combined(values: Column) -> Column:
 def prime_product(primes: Column) -> Column:
     """Product of an array of small primes modulo 2^64 - 59; a product of 0 counts as 1."""
     one, modulus = F.lit("1").cast("decimal(38,0)"), F.lit(PRIME_MODULUS).cast("decimal(38,0)")
-    out = F.aggregate(primes, one, lambda p, x: ((p * x.cast("decimal(18,0)")) % modulus).cast("decimal(38,0)"))
-    return F.when(out == 0, one).otherwise(out)
+    return F.aggregate(primes, one, lambda p, x: ((p * x.cast("decimal(18,0)")) % modulus).cast("decimal(38,0)"), lambda p: F.when(p == 0, one).otherwise(p))
 
 
 def unsigned(h: Column) -> Column:

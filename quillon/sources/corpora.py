@@ -40,10 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores; a table that a scan splits into so many stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of the documents: one diff for each language. By the last digit of the id a document
     is dropped from a side (0, 9), renamed (1), appended to (2), reversed by lines (3) or given another number (4)."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("?")).alias("diff_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("?")).alias("diff_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text")))
     d, text = F.col("doc_id") % 10, F.col("text")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     changed = (
@@ -75,10 +81,13 @@ def document_packed(units: DataFrame) -> DataFrame:
     rows = rows.withColumns({"n": F.size("lines"), "flat": F.flatten("words"), "blocks": F.zip_with("lines", "words", block)})
     rows = rows.withColumns({"ops": F.filter("flat", lambda w: ~number(w)), "at": F.sequence(F.lit(1), F.col("n")), "constants": F.transform(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), long_constant)})
     one = lambda when: F.when(when, 1).otherwise(0).cast("long")
-    placed = lambda b, i: F.struct(i.cast("long").alias("block_addr"), b["bytes"].alias("bytes"), one(i > 1).alias("in_degree"), one(i < F.col("n")).alias("out_degree"), b["instr_count"].alias("instr_count"), b["mnemonic_sig"].alias("mnemonic_sig"))
+    # A function of array elements must not refer to another column: Spark may put that column's expression in its place, for every element.
+    near = F.transform("at", lambda i: F.struct(i.cast("long").alias("i"), one(i > 1).alias("in")))
+    near = F.zip_with(near, F.reverse("at"), lambda x, rest: x.withField("out", one(rest > 1)))
+    placed = lambda b, x: F.struct(x["i"].alias("block_addr"), b["bytes"].alias("bytes"), x["in"].alias("in_degree"), x["out"].alias("out_degree"), b["instr_count"].alias("instr_count"), b["mnemonic_sig"].alias("mnemonic_sig"))
     links = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.struct(i.alias("src"), (i + 1).alias("dst")))).otherwise(F.array().cast("array<struct<src:int,dst:int>>"))
     return rows.select(
-        "diff_id", "side", "addr", "name", F.zip_with("blocks", "at", placed).alias("blocks"), links.alias("links"),
+        "diff_id", "side", "addr", "name", F.zip_with("blocks", near, placed).alias("blocks"), links.alias("links"),
         F.size("flat").cast("long").alias("instr_count"), F.size(F.filter("flat", lambda w: w.endswith("."))).cast("long").alias("calls"),
         "ops", F.transform("ops", lambda w: F.length(w)).alias("ast"), "constants", F.filter("flat", lambda w: w.contains("@")).alias("strings"),
     )

@@ -195,4 +195,4 @@ def test_packed_units_have_the_features_of_their_tables(spark, tmp_path):
     assert rows(a, sorted(b.columns)) == rows(b, sorted(b.columns))
     only = features.unit_features(packed, only=frozenset(("byte_hash", "norm_hash", "md_q", "calls")))
     plan = only._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    assert plan.count("FileScan") == 1 and "hashpartitioning" not in plan  # a small table may be spread over the cores
