@@ -60,7 +60,11 @@ def combined(values: Column) -> Column:
 def prime_product(primes: Column) -> Column:
     """Product of an array of small primes modulo 2^64 - 59; a product of 0 counts as 1."""
     one, modulus = F.lit("1").cast("decimal(38,0)"), F.lit(PRIME_MODULUS).cast("decimal(38,0)")
-    return F.aggregate(primes, one, lambda p, x: ((p * x.cast("decimal(18,0)")) % modulus).cast("decimal(38,0)"), lambda p: F.when(p == 0, one).otherwise(p))
+    # Small primes are multiplied as 64-bit numbers for as long as they fit; decimals take what that gives.
+    state = lambda p, b: F.struct(p.alias("p"), b.alias("b"))
+    whole = lambda s: ((s["p"] * s["b"].cast("decimal(18,0)")) % modulus).cast("decimal(38,0)")
+    step = lambda s, x: F.when(s["b"] < F.lit(10**17) / x, state(s["p"], s["b"] * x)).otherwise(state(whole(s), x))
+    return F.aggregate(F.transform(primes, lambda x: x.cast("long")), state(one, F.lit(1).cast("long")), step, lambda s: F.when(whole(s) == 0, one).otherwise(whole(s)))
 
 
 def unsigned(h: Column) -> Column:
