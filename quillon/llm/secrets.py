@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and random-looking strings found by character Markov models.
 
 Two first-order models over classes of characters are trained from labelled samples, one of random
-strings (keys, hex, base64), one of ordinary identifiers (words in camel, snake and kebab case, with
-numbers and paths). A candidate is a run of at least MIN_RUN key characters, which is the shortest
+strings (keys, hex, base64), one of ordinary strings: identifiers (words in camel, snake and kebab case,
+with numbers and paths), compounds of words of many languages, and invented words made of syllables. A candidate is a run of at least MIN_RUN key characters, which is the shortest
 random string of the samples; it is a secret if its mean log-likelihood ratio per step is above a
 threshold. Where a whole run is not, its best part between separators that is long enough may be, and
 so on to the left and right of that, so that an identifier or path around a key does not hide it.
@@ -41,7 +41,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 MIN_RUN, LEAST_KINDS = 16, 5
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 PART = re.compile(r"[A-Za-z0-9+]+")
-THRESHOLD = 0.35
+THRESHOLD = 0.25
 #: Most labelled strings of each label that train() uses.
 TRAIN_ROWS = 20_000
 
@@ -68,16 +68,41 @@ WORDS = (
     "transfer tree type unit update upload user utility value vendor version video view visit volume warning watch web weight widget width window "
     "word work world write year zone"
 ).split()
+#: Words and names of other languages, in ASCII letters (fixed values).
+FOREIGN = (
+    "aujourd bonjour toujours beaucoup travail oiseaux cheveux heureux ouvrier euxieme feuille bureaux ailleurs yeux "
+    "geschwindigkeit wirtschaft schiff fahrt gesellschaft strasse haupt schluss buch verwaltung kraft werk pflicht jahr "
+    "llan fair pwll gwyn gyll goger chwyrn drobwll llanty silio gogogoch cymru ysgol eyja fjalla jokull thing vellir snaefell hvolsvollur kirkju "
+    "paivaa tyottomyys kuukausi lentokone hyvaa yliopisto jarvi szczescie chrzaszcz przyjaciel wszystko dziewczyna zmrzlina ctvrtek "
+    "gracias desarrollo murcielago ferrocarril paraguas queria guerra cabeza lluvia giorno famiglia ragazzo bellezza sciogliere aiuola chiesa "
+    "wetenschap nieuwsgierig zeeuws ijsvrij koeien coracao saudade trabalho ilha nguyen phuong khuong hawaii kalani humuhumu nukunuku apuaa oahu "
+    "shinkansen kyoukai tsunami ryokan xiongmao zhuangyuan beijing qingdao mbongeni nkosi ubuntu ngozi"
+).split()
+#: Beginnings, middles and ends of syllables (fixed values).
+ONSETS = "b bl br c ch cl cr d dr dw f fl fr g gh gl gn gr gw h hw j k kh kl kn kr l ll m n ng p ph pl pr q qu r rh s sc sch sh sk sl sm sn sp st str sv sw t th tr ts tw v vl w wh wr x y z zh".split()
+NUCLEI = "a aa ae ai au e ea ee ei eau eu i ia ie io o oa oe oi oo ou u ue ui uo y".split()
+CODAS = "b ch ck d ff g gh h k l ld ll lm lt m mp n nd ng nk nt p r rd rk rn rt s sch sk ss st t th tt v w x z".split()
+
+
+def invented_word(rng: random.Random) -> str:
+    """A word of syllables, some without a beginning or an end, so that any letters can meet."""
+    optional = lambda parts: rng.choice(parts) if rng.random() < 0.5 else ""
+    return "".join(optional(ONSETS) + rng.choice(NUCLEI) + optional(CODAS) for _ in range(rng.randint(3, 9)))
 
 
 def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, bool]]:
-    """n random strings (True) and n ordinary identifiers (False), made from the seed."""
+    """n random strings (True) and n ordinary ones (False: a half identifiers, a quarter compounds, a quarter invented words), made from the seed."""
     rng = random.Random(seed)
     b62, b64, hexa, upper = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_uppercase + string.digits
     out: list[tuple[str, bool]] = []
     for _ in range(n):
         alphabet = rng.choice((b62, b62, b64, b62 + "_-", hexa, upper, string.ascii_lowercase + string.digits))
         out.append(("".join(rng.choices(alphabet, k=rng.randint(16, 64))), True))
+        kind = rng.randrange(4)
+        if kind < 2:
+            word = invented_word(rng) if kind else "".join(rng.choices(FOREIGN, k=rng.randint(2, 5)))
+            out.append((word.upper() if rng.random() < 0.08 else rng.choice((word, word.capitalize())), False))
+            continue
         words = rng.choices(WORDS, k=rng.randint(2, 7))
         style = rng.randrange(6)
         name = {0: "_", 1: "-", 2: "/", 3: "", 4: "", 5: ""}[style].join(w if style < 3 or style == 5 else w.capitalize() for w in words)

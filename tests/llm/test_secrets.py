@@ -60,3 +60,34 @@ def test_accuracy_of_spans_in_texts():
     assert found("kQzWvXjRpGtYbNhD") and not found("x" * 300) and not found("=-" * 100)
     t = "password=hunter2hunter2/Zk3nQ8vXw2LrT7yB5mJ1 " + "0123456789abcdef" * 2 + "ZQ8vXw2LrT7yB5mJ1kPz"
     assert [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.all_spans(t, m)[1]] == [("assign", t[:44]), ("hex", t[45:77]), ("random", t[77:])]
+
+
+def test_strings_of_another_origin():
+    """Digests in several alphabets, names of two libraries, and long words of other languages: none is made by the training generator."""
+    import base64
+    import hashlib
+
+    import numpy
+    import pandas
+
+    m = secrets.default_models()
+    found = lambda t: bool(secrets.all_spans(f"see {t} here", m)[1])
+    for cut in (lambda b: b.hex()[:16], lambda b: base64.b64encode(b).decode()[:16], lambda b: base64.b32encode(b).decode()[:16]):
+        keys = [cut(hashlib.sha256(f"test {i}".encode()).digest()) for i in range(1000)]
+        assert sum(map(found, keys)) / len(keys) > 0.95
+    names = {n for o in (numpy, numpy.ndarray, pandas, pandas.DataFrame, pandas.Series, pandas.Index) for n in dir(o) if len(n) >= secrets.MIN_RUN}
+    assert len(names) > 50 and sum(map(found, names)) / len(names) < 0.02
+    words = "Donaudampfschifffahrtsgesellschaft antidisestablishmentarianism Llanfairpwllgwyngyll eyjafjallajokull oueuxieraiauxeuxle Thhalynderwhhaou"
+    assert not any(map(found, words.split()))
+
+
+def test_random_spans_against_all_parts():
+    """In a run that is not random as a whole, the span is the part between separators that exceeds the threshold by most."""
+    m = secrets.default_models()
+    for run in ("user_account_page-Zk3nQ8vXw2LrT7yB5mJ1", "home/static/Q8vXw2LrT7yB5mJ1kPzW/archive_page", "account_settings_update_schedule_page"):
+        cuts = [x.span() for x in re.finditer(r"[A-Za-z0-9+]+", run)]
+        steps = [m.ratio[secrets.ALPHABET.index(run[i - 1]) if i else len(secrets.ALPHABET), secrets.ALPHABET.index(c)] for i, c in enumerate(run)]
+        parts = {(s, e): sum(steps[s:e]) - secrets.THRESHOLD * (e - s) for s, _ in cuts for _, e in cuts if e - s >= secrets.MIN_RUN}
+        best = max(parts, key=parts.get)
+        want = [(0, len(run))] if sum(steps) / len(steps) > secrets.THRESHOLD else [best] if parts[best] > 0 and sum(steps[best[0] : best[1]]) else []
+        assert secrets.random_spans(run, m, secrets.THRESHOLD) == want, run
