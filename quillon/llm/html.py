@@ -9,11 +9,14 @@ copy rather than a sibling, and deletes nothing.
 
 Explicit markup says where main text can be: text in navigation, headers, footers, asides, forms,
 scripts, styles and in elements whose class, id or role is the name of such a part (all words of the
-name count, so "share-box" is one and "social-science" is not) is never main text; of the rest, the
-lines of an ``article`` are, all of them: a passage that two articles share belongs to both. Without
-an ``article`` differencing decides about the lines of ``main``, or without that about all: each one
-that the sibling has too is deleted. Only where two pages share VERSIONS or more of those lines are
-they versions of one text, which both keep.
+name count, so "share-box" is one and "social-science" is not) is never main text. In an ``article``
+differencing decides about containers: an element whose lines the sibling has, all of them, is a part
+of the frame and goes; one with a line of its own keeps what it shares, and so does the article
+itself, so that a passage that two articles share belongs to both. A paragraph, heading or list item
+whose class is a single word of VAGUE ("card share") counts as a container there. Without an
+``article`` differencing decides about each line of ``main``, or without that of all. Only where two
+pages share VERSIONS or more of the lines in question (in an article: of those that are in no shared
+container) are they versions of one text, which both keep.
 
 Hosts are never gathered in one task: the order by (host, path) is a range sort, neighbours meet by
 their global row numbers. Only 64-bit line digests travel; page sources are joined with the lines to
@@ -30,6 +33,7 @@ import html as html_lib
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -56,9 +60,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Words that may stand beside one of FRAME in the name of a part (fixed values).
 BESIDE = frozenset(
     "area article articles bar block body bottom box btn button buttons card center col column container content count entry fixed form global group head heading header holder icon icons "
-    "inline inner item items js layer left link links list main message mobile more page panel policy post posts primary right row secondary section site slot small sticky "
-    "text thread title toggle top unit user wrap wrapper".split()
+    "inline inner item items js layer left link links list main message mobile more note notes page panel policy post posts primary reader readers right row secondary section site slot small sticky "
+    "text thread title toggle top unit user users visitor visitors wrap wrapper".split()
 )
+#: Words of FRAME that name kinds of text as well: alone on a paragraph of an article they leave the decision to differencing (fixed values).
+VAGUE = frozenset("alert banner comment notice notices promotion related reply search share sharing skip social".split())
+#: Elements that hold a line of text rather than other elements (fixed values).
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption summary".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPLIT = re.compile(r"[^a-z]+")
@@ -73,10 +81,17 @@ BROADCAST_ROWS = 20_000
 ARTICLE, MAIN, PLAIN, FRAMED = 3, 2, 1, 0
 
 
+def _joined(word: str) -> bool:
+    """Whether the word is one of FRAME and one of BESIDE without a space ("adbox")."""
+    return any(word[:i] in FRAME and word[i:] in BESIDE for i in range(2, len(word) - 2))
+
+
+@lru_cache(1 << 16)
 def _names_frame(token: str) -> bool:
     """Whether a class or id is the name of a part of the frame."""
     words = [w for w in SPLIT.split(token) if w]
-    return not FRAME.isdisjoint(words) and all(w in FRAME or w in BESIDE for w in words)
+    parts = [w in FRAME or w not in BESIDE and _joined(w) for w in words]
+    return any(parts) and all(p or w in BESIDE for p, w in zip(parts, words, strict=True))
 
 
 def tokens(source: str) -> Iterator[tuple[str, bool, str]]:
@@ -135,8 +150,8 @@ def tokens(source: str) -> Iterator[tuple[str, bool, str]]:
         yield "", False, source[text:]
 
 
-def _framed(name: str, raw: str, depth: int) -> bool:
-    """Whether the element starts a part of the frame; depth: 1 or more inside an article or main."""
+def _framed(name: str, raw: str, depth: int, vague: bool = True) -> bool:
+    """Whether the element starts a part of the frame; depth: 1 or more inside an article or main; vague: whether words of VAGUE alone say so."""
     if name in OUT or (name == "header" and not depth):
         return True
     if not raw or name in ("html", "body"):
@@ -144,7 +159,7 @@ def _framed(name: str, raw: str, depth: int) -> bool:
     for key, value in ATTRIBUTE.findall(raw):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            if any(_names_frame(token) for token in value.split()):
+            if any(_names_frame(token) and (vague or token not in VAGUE) for token in value.split()):
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -153,8 +168,14 @@ def _framed(name: str, raw: str, depth: int) -> bool:
 
 def blocks(source: str) -> list[tuple[str, int]]:
     """The page's text lines in order, each with its standing: ARTICLE, MAIN, PLAIN or FRAMED."""
+    return outline(source)[0]
+
+
+def outline(source: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
+    """The lines with their standing, and from which to before which line the containers inside of articles go, empty ones left out."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int, int]] = []  # name, standing inside, depth of articles
+    inner: dict[tuple[int, int], None] = {}
+    stack: list[tuple[str, int, int, int]] = []  # name, standing outside, depth of articles there, first line of a container or -1
     open_: Counter[str] = Counter()
     held: list[str] = []
     standing, depth = PLAIN, 0
@@ -166,12 +187,14 @@ def blocks(source: str) -> list[tuple[str, int]]:
             out.append((line, standing))
 
     def pop() -> tuple[int, int]:
-        name, *rest = stack.pop()
+        name, outside, deep, start = stack.pop()
         open_[name] -= 1
-        return rest
+        if 0 <= start < len(out):
+            inner[start, len(out)] = None
+        return outside, deep
 
-    def push(name: str) -> None:
-        stack.append((name, standing, depth))
+    def push(name: str, container: bool = False) -> None:
+        stack.append((name, standing, depth, len(out) if container else -1))
         open_[name] += 1
 
     for name, closing, raw in tokens(source):
@@ -202,14 +225,18 @@ def blocks(source: str) -> list[tuple[str, int]]:
                 standing, depth = pop()  # its end tag may be left out
             if raw.rstrip().endswith("/") and name not in ("p", "div"):
                 continue
-            push(name)
-            if standing != FRAMED and _framed(name, raw, depth):
+            leaf = name in LEAVES and standing == ARTICLE
+            framed = standing != FRAMED and _framed(name, raw, depth, not leaf)
+            push(name, standing == ARTICLE and not framed and name != "main" and (not leaf or bool(raw) and _framed(name, raw, depth)))
+            if framed:
                 standing = FRAMED
             elif name in ("article", "main") and standing != FRAMED:
                 depth += 1
                 standing = ARTICLE if name == "article" else max(standing, MAIN)
     flush()
-    return out
+    while stack:
+        pop()
+    return out, list(inner)
 
 
 def own_standing(lines: list[tuple[str, int]]) -> int:
@@ -315,18 +342,42 @@ def deleted(lines: Sequence[int], loose: Sequence[int], other: Sequence[int]) ->
     return sorted(own)
 
 
+def shared_parts(lines: Sequence[int], article: Sequence[int], inner: Sequence[int], other: Sequence[int]) -> list[int]:
+    """Those of the article's positions that are in containers (from, to, from, to ...) whose lines a sibling shares, all of them."""
+    shared = common(lines, other) if inner else []
+    if not shared or len(shared) >= COPY * max(len(lines), len(other)):
+        return []
+    text, both = np.zeros((2, len(lines) + 1), np.int64)
+    text[np.asarray(article) + 1] = 1
+    both[np.asarray(shared) + 1] = 1
+    texts_, boths = np.cumsum(text), np.cumsum(both & text)
+    start, end = np.asarray(inner).reshape(-1, 2).T
+    whole = texts_[end] - texts_[start] == boths[end] - boths[start]
+    depth = np.zeros(len(lines) + 1, np.int64)
+    np.add.at(depth, start[whole], 1)
+    np.add.at(depth, end[whole], -1)
+    gone = np.cumsum(depth)[:-1] > 0
+    at = np.asarray(article)
+    rest = at[~gone[at]]
+    if both[rest + 1].sum() >= VERSIONS * len(rest):
+        return []
+    return at[gone[at]].tolist()
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths, hashes, loose = [], [], [], []
+        hosts, paths, hashes, loose, inner = [], [], [], [], []
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host, path = address(url)
-            lines = blocks(source or "")
+            lines, parts = outline(source or "")
             hosts.append(host)
             paths.append(path)
             hashes.append([digest(x) for x, _ in lines])
             own = own_standing(lines)
-            loose.append([i for i, (_, s) in enumerate(lines) if s == own and own in (PLAIN, MAIN)])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int32()))], ["key", "host", "path", "lines", "loose"])
+            parts = parts if own == ARTICLE else []
+            loose.append([i for i, (_, s) in enumerate(lines) if s == own and (own in (PLAIN, MAIN) or parts)])
+            inner.append([i for part in parts for i in part])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int32())), pa.array(inner, pa.list_(pa.int32()))], ["key", "host", "path", "lines", "loose", "inner"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,11 +392,11 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in ("path", "lines", "loose", "path_before", "lines_before", "path_after", "lines_after")}
+        cols = {n: batch.column(n).to_pylist() for n in ("path", "lines", "loose", "inner", "path_before", "lines_before", "path_after", "lines_after")}
         found = []
-        for path, lines, loose, pb, lb, pn, ln in zip(*cols.values(), strict=True):
-            nearest = lb if prefix(path, pb) >= prefix(path, pn) else ln
-            found.append(deleted(lines, loose, nearest or []))
+        for path, lines, loose, inner, pb, lb, pn, ln in zip(*cols.values(), strict=True):
+            nearest = (lb if prefix(path, pb) >= prefix(path, pn) else ln) or []
+            found.append(shared_parts(lines, loose, inner, nearest) if inner else deleted(lines, loose, nearest))
         keep = [i for i, x in enumerate(found) if x]
         yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.list_(pa.int32()))], ["key", "drop"])
 
@@ -387,7 +438,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
     src = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
     id_type = src.schema["page_id"].dataType.simpleString()
-    parsed = written(map_arrow(src, _parse, "key bigint, host string, path string, lines array<bigint>, loose array<int>"), "lines")
+    parsed = written(map_arrow(src, _parse, "key bigint, host string, path string, lines array<bigint>, loose array<int>, inner array<int>"), "lines")
     met = parsed.where("host is not null").join(siblings(parsed), ["host", "path"])
     drops = written(map_arrow(met, _differ, "key bigint, drop array<int>").dropDuplicates(["key"]), "drops")
     few = drops.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

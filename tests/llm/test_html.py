@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 import time
@@ -148,3 +149,64 @@ def test_pairing_and_deletion_against_brute_force(spark):
     assert less > 10
     got = html.main_text(spark.createDataFrame(pages, PAGE).repartition(3)).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+def test_containers_in_articles_against_brute_force(spark):
+    """Without any class or id: a container goes if the sibling shares all its lines; what a container with own lines shares stays."""
+    rng = random.Random(21)
+    counter = itertools.count(10**6)
+    source = lambda t: "".join(f"<{x[0]}>{source(x[1])}</{x[0]}>" if isinstance(x, tuple) else f"<p>line {x}</p>" for x in t)
+    flat = lambda t: [y for x in t for y in (flat(x[1]) if isinstance(x, tuple) else [x])]
+
+    def tree(deep, last):
+        """Shared lines (below 100) come in one order on all pages, so the longest common subsequence is what two pages share."""
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            if deep and rng.random() < 0.5:
+                out.append((rng.choice(("div", "section", "ul")), tree(deep - 1, last)))
+            elif rng.random() < 0.6:
+                last[0] += rng.randint(1, 2)
+                out.append(last[0])
+            else:
+                out.append(next(counter))
+        return out
+
+    pages, trees = [], {}
+    for i in range(120):
+        trees[f"/{i:03}"] = [next(counter), *tree(3, [0]), *(next(counter) for _ in range(3))]
+        pages.append((i, f"http://h.example/{i:03}", f"<nav>Menu {i}</nav><article>{source(trees[f'/{i:03}'])}</article>"))
+    order, want, less = sorted(trees), {}, 0
+    for k, path in enumerate(order):
+        near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order)]
+        best = max(near, key=lambda q: (html.prefix(path, q), q < path))
+        mine, theirs = flat(trees[path]), flat(trees[best])
+        both = set(mine) & set(theirs)
+
+        def keep(t, both=both):
+            return [y for x in t for y in ([] if isinstance(x, tuple) and set(flat(x[1])) <= both else keep(x[1]) if isinstance(x, tuple) else [x])]
+
+        rest = keep(trees[path])
+        rest = mine if 2 * len(both & set(rest)) >= len(rest) else rest
+        less += len(rest) < len(mine)
+        want[int(path[1:])] = "\n".join(f"line {x}" for x in rest)
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, PAGE).repartition(3)).collect()}
+    assert less > 20 and got == want
+
+
+def test_names_and_differencing_in_articles(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(6))
+    own = {i: [line() for _ in range(4)] for i in range(5)}
+    page = lambda i: (
+        f'<article><p>{own[i][0]}</p><div><p>Read this on our site</p><p>Pay here</p></div><div class="reader-comments"><p>{line()}</p></div><div class="adbox">{line()}</div>'
+        f'<div class="js-cookie-note">{line()}</div><p class="card share">{own[i][1]}</p><p class="share">Tell your friends</p><section><p>{own[i][2]}</p><p>A passage of all</p></section><p>{own[i][3]}</p></article>'
+    )
+    got = {r.page_id: r.text.split("\n") for r in html.main_text(spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in own], PAGE)).collect()}
+    assert got == {i: [*o[:3], "A passage of all", o[3]] for i, o in own.items()}
+
+
+def test_a_page_of_over_a_megabyte(spark):
+    lines = [f"word {i} of a long page" for i in range(60_000)]
+    pages = [(k, f"http://h.example/{k}", "<article>" + "".join(f"<div><p>{x} {k}</p></div>" for x in lines) + "<div>Same</div></article>") for k in range(2)]
+    for r in html.main_text(spark.createDataFrame(pages, PAGE)).collect():
+        assert r.n_chars > 1_000_000 and r.text == "\n".join(f"{x} {r.page_id}" for x in lines)
