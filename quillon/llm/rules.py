@@ -5,14 +5,17 @@ minimum covariance determinant is sought by deterministic starts (quartile range
 and the scatters of squashed coordinates and of spatial signs) and concentration steps: take the
 distances under the present centre and scatter, keep the (n + P + 1) / 2 of n rows that are nearest,
 and estimate anew from those. After FIRST_STEPS steps the start with the smallest determinant goes on
-alone, until no group's estimate changes any more. Determinants are those of the scatter plus a small
+alone. A group keeps its estimate, and takes no more part, once a step no longer lowers the logarithm of
+its determinant by more than TOLERANCE; the steps go on until that holds for every group, however many it
+takes (each lowers a figure that FLOOR bounds from below). Determinants are those of the scatter plus a small
 diagonal (FLOOR), so that a statistic that is constant in half of a group has a scale. A text whose
 Mahalanobis distance under that estimate is too large is rejected. Fixed base rules reject first.
 
 Equal vectors of a group count once in its estimate: copies of a text, however many, weigh no more
 than one, so they cannot draw the estimate to themselves. All distinct vectors take part in every
 step. Distances and coordinates are tallied in fixed bins, so a quantile
-is a cumulative sum over one row per bin; moments are sums of whole numbers (coordinates are
+is a cumulative sum over one row per bin, and the moments of the nearest half are sums over the bins up to
+that quantile: a step is one aggregation over the vectors. Moments are sums of whole numbers (coordinates are
 quantized), so they come out alike however rows are spread over tasks. A hot source is combined on
 the map side and never gathered. Only per-group estimates move, and they are broadcast only if there
 are at most BROADCAST_GROUPS groups; beyond, a shuffled join with AQE's skew handling takes its place.
@@ -28,7 +31,7 @@ empty results; extra columns, of any name, are left alone; texts have no length
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -46,8 +49,8 @@ P = len(DIMENSIONS)
 #: Steps of a coordinate's unit in the quantized vectors, and the least standard deviation of each coordinate, so that a statistic that is 0 nearly everywhere still has a scale.
 STEPS = 512
 FLOOR = (0.06, 0.05, 0.30, 0.30, 0.06, 0.06, 0.06)
-#: Concentration steps of all starts, and the most of the one that goes on (bins can make it swing between two estimates).
-FIRST_STEPS, MOST_STEPS = 2, 20
+#: Concentration steps of all starts, and the least fall of a determinant's logarithm for which the one that goes on takes another step.
+FIRST_STEPS, TOLERANCE = 2, 1e-6
 #: Least group, and the largest squared distance that is kept (in units in which the median text of a group has the chi-square median). Text statistics have longer tails than a normal distribution: 60 is far beyond its 0.999 quantile of 24.3, so that clean texts stay.
 MIN_GROUP, CUTOFF = 60, 60.0
 CHI2_MEDIAN = 6.346  # for 7 dimensions
@@ -55,7 +58,7 @@ CHI2_MEDIAN = 6.346  # for 7 dimensions
 NOISE = 30.0
 BROADCAST_GROUPS = 50_000
 #: Bins of a squared distance per doubling.
-BINS = 32
+BINS = 256
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 VECTOR = ", ".join(f"q{i} long" for i in range(P))
 
@@ -148,7 +151,7 @@ def _quantiles(rows: DataFrame, shares: tuple[float, ...]) -> DataFrame:
     return at.groupBy("g").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", F.array(*(f"at{k}" for k in range(len(shares))))))), lambda x: x["col2"]).alias("quantiles"))
 
 
-PARAMS = "g string, start int, n long, centre array<double>, inverse array<double>, logdet double"
+PARAMS = "g string, start int, n long, centre array<double>, inverse array<double>, logdet double, middle int, moves boolean"
 
 
 def _solved(n: float, mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float], float]:
@@ -202,20 +205,29 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mean, signs = _scatter(r, "u", FINE)
             for start, cov in enumerate((np.diag(spread**2), np.eye(P) * max(float((spread**2).mean()), 0.01), tanh / np.outer(size, size) * np.outer(scale, scale), P * (signs + np.outer(mean, mean)) * np.outer(scale, scale))):
                 centre, inverse, logdet = _solved(r["n"], q[:, 1], cov)
-                out.append({"g": r["g"], "start": start, "n": r["n"], "centre": centre, "inverse": inverse, "logdet": logdet})
+                out.append({"g": r["g"], "start": start, "n": r["n"], "centre": centre, "inverse": inverse, "logdet": logdet, "middle": None, "moves": True})
         yield pa.RecordBatch.from_pylist(out, PARAM_TYPE)
 
 
-PARAM_TYPE = pa.schema([("g", pa.string()), ("start", pa.int32()), ("n", pa.int64()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("logdet", pa.float64())])
+PARAM_TYPE = pa.schema([("g", pa.string()), ("start", pa.int32()), ("n", pa.int64()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("logdet", pa.float64()), ("middle", pa.int32()), ("moves", pa.bool_())])
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            centre, inverse, logdet = _solved(r["n"], *_scatter(r, "q", STEPS))
-            out.append({"g": r["g"], "start": r["start"], "n": r["n"], "centre": centre, "inverse": inverse, "logdet": logdet})
-        yield pa.RecordBatch.from_pylist(out, PARAM_TYPE)
+def _estimated(falling: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The estimate from the nearest half's sums. If `falling`, only one that lowers the determinant is taken; else the old one stays for good."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                old = {k: r[k] for k in PARAM_TYPE.names} | {"moves": False}
+                if r["moves"]:
+                    centre, inverse, logdet = _solved(r["n"], *_scatter(r, "q", STEPS))
+                    taken = not falling or logdet < r["logdet"] - TOLERANCE
+                    old = old | {"centre": centre, "inverse": inverse, "logdet": logdet, "moves": True} if taken else old
+                out.append(old)
+            yield pa.RecordBatch.from_pylist(out, PARAM_TYPE)
+
+    return run
 
 
 def distance2() -> Column:
@@ -236,37 +248,37 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 2.0**-20) * BINS).cast("int")
 
 
-def _thresholds(rows: DataFrame, more: int) -> DataFrame:
-    """Per group and start, the bin up to which at least half of the rows and `more` halves lie."""
-    bins = rows.groupBy("g", "start", "bin").agg(F.count("*").alias("c"))
+def _halves(rows: DataFrame, params: DataFrame, n_groups: int) -> DataFrame:
+    """Per group and start, the sums of the nearest (n + P + 1) / 2 of the n rows or, to the bin, a few more, and the bin of the middle row (now)."""
+    moving = params.where("moves").select("g", "start", "centre", "inverse")
+    far = rows.join(F.broadcast(moving) if n_groups <= BROADCAST_GROUPS else moving, "g").withColumn("bin", _bin(distance2()))
+    sums = _moments([f"q{i}" for i in range(P)], [F.col(f"q{i}") for i in range(P)])
+    bins = far.groupBy("g", "start", "bin").agg(F.count("*").alias("m"), *sums)
     w = Window.partitionBy("g", "start")
-    ranked = bins.withColumns({"upto": F.sum("c").over(w.orderBy("bin")), "all": F.sum("c").over(w)})
-    return ranked.where(2 * F.col("upto") >= F.least(F.col("all") + more, 2 * F.col("all"))).groupBy("g", "start").agg(F.min("bin").alias("most"))
+    ranked = bins.withColumns({"upto": F.sum("m").over(w.orderBy("bin")), "all": F.sum("m").over(w)})
+    near = ranked.where(2 * (F.col("upto") - F.col("m")) < F.least(F.col("all") + P + 1, 2 * F.col("all")))
+    return near.groupBy("g", "start").agg(F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("bin"))).alias("now"), *(F.sum(c).alias(c) for c in bins.columns[3:]))
 
 
 def estimates(rows: DataFrame, n_groups: int) -> DataFrame:
     """One row per group: centre, inverse scatter (upper triangle) and scale, by minimum covariance determinant. rows: g and the vector."""
     quantiles = written(_quantiles(rows, (0.25, 0.5, 0.75)), "quantiles")
     params = written(map_arrow(_squashed(rows, quantiles, n_groups), _starts, PARAMS), "start")
-    sums = _moments([f"q{i}" for i in range(P)], [F.col(f"q{i}") for i in range(P)])
 
-    def step(params: DataFrame) -> DataFrame:
-        far = _attached(rows, params, ["g"], n_groups).withColumn("bin", _bin(distance2()))
-        most = written(_thresholds(far, P + 1), "most")
-        near = _attached(far, most, ["g", "start"], n_groups).where(F.col("bin") <= F.col("most"))
-        return written(map_arrow(near.groupBy("g", "start").agg(F.max("n").alias("n"), F.count("*").alias("m"), *sums), _estimated, PARAMS), "step")
+    def step(params: DataFrame, falling: bool) -> DataFrame:
+        met = params.join(_halves(rows, params, n_groups), ["g", "start"], "left").withColumn("middle", F.coalesce("now", "middle"))
+        return written(map_arrow(met, _estimated(falling), PARAMS), "step")
 
     for _ in range(FIRST_STEPS):
-        params = step(params)
-    best = params.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "centre", "inverse")).alias("b")).select("g", "b.start", "b.n", "b.centre", "b.inverse", "b.logdet")
-    best = written(best, "best")
-    for _ in range(MOST_STEPS - FIRST_STEPS):
-        last, best = best, step(best)
-        if not best.join(last.select("g", F.col("centre").alias("c"), F.col("logdet").alias("l")), "g").where("centre <> c or logdet <> l").limit(1).count():
-            break
-    scale = _thresholds(_attached(rows, best, ["g"], n_groups).withColumn("bin", _bin(distance2())), 0).select("g", F.pow(F.lit(2.0), (F.col("most") + 1) / F.lit(float(BINS))).alias("median2"))
-    # The floor keeps a group whose texts are all alike from getting a scale of nearly nothing.
-    return written(best.join(scale, "g").withColumn("scale", F.greatest(F.col("median2") / CHI2_MEDIAN, F.lit(0.25))).select("g", "n", "centre", "inverse", "scale"), "estimates")
+        params = step(params, falling=False)
+    rest = [c for c in params.columns if c not in ("g", "logdet", "start")]
+    best = params.groupBy("g").agg(F.min(F.struct("logdet", "start", *rest)).alias("b")).select("g", *(f"b.{c}" for c in params.columns[1:]))
+    best = step(best, falling=True)
+    while not best.where("moves").isEmpty():
+        best = step(best, falling=True)
+    # The last step of a group has found its middle distance under the estimate that stayed. The floor keeps a group whose texts are all alike from getting a scale of nearly nothing.
+    median2 = F.pow(F.lit(2.0), (F.col("middle") + 1) / F.lit(float(BINS)))
+    return best.select("g", "n", "centre", "inverse", F.greatest(median2 / CHI2_MEDIAN, F.lit(0.25)).alias("scale"))
 
 
 def fitted(rows: DataFrame) -> tuple[DataFrame, int]:

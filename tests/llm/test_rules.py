@@ -108,10 +108,8 @@ def plain(vectors):
             now = step(*now[:2])
         ends.append(now)
     now = min(ends, key=lambda e: e[2])
-    for _ in range(rules.MOST_STEPS - rules.FIRST_STEPS):
-        last, now = now, step(*now[:2])
-        if np.allclose(last[0], now[0], atol=1e-12) and abs(last[2] - now[2]) < 1e-12:
-            break
+    while (new := step(*now[:2]))[2] < now[2] - rules.TOLERANCE:
+        now = new
     middle = np.sort(bins(*now[:2]))[-(-n // 2) - 1]
     return now[0], now[1], max(2 ** ((middle + 1) / rules.BINS) / rules.CHI2_MEDIAN, 0.25)
 
