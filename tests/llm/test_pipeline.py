@@ -1,9 +1,9 @@
 import corpus_pipeline
 from test_decontaminate import brute as contamination
 from test_neardup import brute as groups
-from test_rules import base
+from test_rules import plain_verdicts
 
-from quillon.llm import pieces, secrets
+from quillon.llm import pieces, rules, secrets
 from quillon.llm.common import tokenizer_path
 
 
@@ -14,22 +14,17 @@ def test_stages_against_brute_force(spark, tmp_path, rows):
     bench = [(1, " ".join(rows[9][1].split()[:30]))]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    # groups are below the least size of an estimate here, so that the base rules decide alone
-    left = [(d[0], d[1]) for d in docs if base(d[1])[0] >= 10 and 100 * base(d[1])[4] <= 20 * base(d[1])[0]]
+    good, pools, _ = plain_verdicts([d[1:4] for d in docs])
+    assert () in pools and len(docs) >= rules.MIN_GROUP
+    left = [(d[0], d[1]) for d, k in zip(docs, good, strict=True) if k]
     left = [(d, t) for d, t in left if groups(left, 5)[d][2]]
     bad = {r[0] for r in contamination(left, bench) if r[5]}
     left = [(d, secrets.redacted(t, secrets.all_spans(t, secrets.default_models())[1])) for d, t in left if d not in bad]
     assert bad and any("[secret]" in t for _, t in left)
     m = pieces.model(tokenizer_path("piece_bpe_32k.model"))
     want = {d: m.library.encode(t, add_eos=True) for d, t in left}
-    docs_df = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    import quillon.llm.rules as rules
-
-    assert len(docs) >= rules.MIN_GROUP  # the pool over all is judged as well
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    judged = {r.doc_id: r.kept for r in rules.quality(docs_df).collect()}
-    lost = {d for d, k in judged.items() if not k and d in want}
-    assert {d: i for d, i in want.items() if d in got} == got and set(want) - set(got) <= lost
+    assert got == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "benchmark decontamination", "secret scans", "encoding and decoding"]
 
 

@@ -122,3 +122,37 @@ def test_verdicts_against_a_plain_estimate(spark):
         d = np.array(found[r.doc_id][5:]) / rules.STEPS - centre
         expected = d @ inverse @ d / scale / (1 + rules.NOISE / max(r.n_words, 1))
         assert abs(r.distance2 - expected) <= 1e-6 * max(1, expected) and r.kept == (not r.base_failed and expected <= rules.CUTOFF)
+
+
+def plain_verdicts(rows):
+    """Kept or not for each (text, lang, source): groups, what is too small pooled by language, and what is still too small over all."""
+    found = [rules.statistics(t or "") for t, _, _ in rows]
+    groups, rest = {}, Counter()
+    for f, (_, lang, source) in zip(found, rows, strict=True):
+        groups.setdefault((lang, source), set()).add(f[5:])
+    for (lang, _), vectors in groups.items():
+        rest[lang] += len(vectors) if len(vectors) < rules.MIN_GROUP else 0
+    pool_of = {g: g if len(v) >= rules.MIN_GROUP else (g[0],) if rest[g[0]] >= rules.MIN_GROUP else () for g, v in groups.items()}
+    pools = {}
+    for g, vectors in groups.items():
+        pools.setdefault(pool_of[g], set()).update(vectors)
+    fits = {p: plain(v) for p, v in pools.items() if len(v) >= rules.MIN_GROUP}
+    out = []
+    for f, (_, lang, source) in zip(found, rows, strict=True):
+        kept = f[0] >= 10 and 100 * f[4] <= 20 * f[0]
+        if kept and (fit := fits.get(pool_of[lang, source])):
+            d = np.array(f[5:]) / rules.STEPS - fit[0]
+            kept = d @ fit[1] @ d / fit[2] / (1 + rules.NOISE / f[0]) <= rules.CUTOFF
+        out.append(bool(kept))
+    return out, set(pool_of.values()), fits
+
+
+def test_pools_against_plain_estimates(spark):
+    """A group of its own, a language's small groups, and small groups of three languages together, nulls among them."""
+    found = corpus(spark, 300).select("doc_id", "text").collect()
+    place = lambda i: ("en", "own") if i < 100 else ("de", f"s{i % 5}") if i < 200 else ((None, "fr", "es")[i % 3], (None, "x")[i % 2])
+    rows = [(r.doc_id, r.text, *place(r.doc_id)) for r in found]
+    want, pools, fits = plain_verdicts([r[1:] for r in rows])
+    assert pools == {("en", "own"), ("de",), ()} == set(fits) and 30 <= want.count(False) <= 45
+    got = {r.doc_id: r.kept for r in rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {r[0]: k for r, k in zip(rows, want, strict=True)}
