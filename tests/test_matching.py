@@ -196,3 +196,17 @@ def test_packed_units_have_the_features_of_their_tables(spark, tmp_path):
     only = features.unit_features(packed, only=frozenset(("byte_hash", "norm_hash", "md_q", "calls")))
     plan = only._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "hashpartitioning" not in plan  # a small table may be spread over the cores
+
+
+def test_a_single_pass_evaluates_no_feature_in_its_filters(spark, tmp_path):
+    """Filters on features took their expressions along: degrees of all blocks were made again for every link."""
+    from quillon.plans import catalog
+
+    lines = "\n".join(f"line {i} of many" for i in range(400))
+    spark.createDataFrame([(i, f"{lines}\n{i} " * (i + 1), "en", "s", 0) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["match_mdindex"](spark, str(tmp_path))
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.left_addr, r.right_addr) for r in found.collect()} == {(2, 2)}  # 0 is on one side only, 2 has a line more on the right
+    packed = corpora.document_packed(corpora.document_units(spark, str(tmp_path)))
+    for links, n in packed.selectExpr("links", "size(blocks) n").collect():
+        assert [tuple(k) for k in links] == [(i, i + 1, int(i > 1), 1, 1, int(i + 1 < n)) for i in range(1, n)]
