@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.hashing import unsigned_order
 from quillon.functions.text import hex_address, name_contains, normalized_name, score_text
-from quillon.operators.features import SEMANTIC
+from quillon.operators.features import SEMANTIC, line_tokens
 from quillon.plans.storage import in_ranges, places, saved, small
+from quillon.sources.corpora import BLOCK, Corpus
 
 FILTERS = ("all", "differences", "changed", "added", "removed")
 
@@ -94,8 +95,12 @@ def unit_at(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     return hit.withColumn("n", F.row_number().over(Window.partitionBy("diff_id", "side", "at").orderBy(*order))).where("n = 1").drop("n")
 
 
-def signatures(tokens: DataFrame) -> DataFrame:
-    """Meaningful tokens of every block, in order."""
-    kept = tokens.where(F.col("tok_type").isin(*SEMANTIC))
+def signatures(corpus: Corpus) -> DataFrame:
+    """Meaningful tokens of every block that has any, in order."""
+    if corpus.lines is not None:
+        kept = F.transform(F.filter(line_tokens(), lambda t: t["tok_type"].isin(*SEMANTIC)), lambda t: t["text"])
+        # A filter is not put before explode, where it would evaluate the tokens once more.
+        return corpus.lines.select(*BLOCK, F.explode_outer(F.array(kept)).alias("kept")).where("size(kept) > 0").select(*BLOCK, F.array_join("kept", " ").alias("signature"))
+    kept = corpus.tokens.where(F.col("tok_type").isin(*SEMANTIC))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "tok_no", "text"))), lambda t: t["text"])
-    return kept.groupBy("diff_id", "side", "func_addr", "block_addr").agg(F.array_join(ordered, " ").alias("signature"))
+    return kept.groupBy(*BLOCK).agg(F.array_join(ordered, " ").alias("signature"))

@@ -210,3 +210,24 @@ def test_a_single_pass_evaluates_no_feature_in_its_filters(spark, tmp_path):
     packed = corpora.document_packed(corpora.document_units(spark, str(tmp_path)))
     for links, n in packed.selectExpr("links", "size(blocks) n").collect():
         assert [tuple(k) for k in links] == [(i, i + 1, int(i > 1), 1, 1, int(i + 1 < n)) for i in range(1, n)]
+
+
+def test_block_tokens_are_counted_and_shown_inside_their_row(spark, tmp_path):
+    texts = ["one two. 3\n\nfour a@b 12", "", None, "x", "#12 7\n\n", "same same. same one"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts * 2)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows, tables = corpora.document_corpus(spark, str(tmp_path)), corpora.document_corpus(spark, str(tmp_path))
+    tables.packed = tables.lines = None
+    shown = presentation.signatures(rows)
+    assert "hashpartitioning" not in shown._jdf.queryExecution().executedPlan().toString()
+    plan = features.unit_features(rows, only=frozenset(("pseudo_hash",)))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    sort = lambda df, *cols: sorted(map(tuple, df.select("diff_id", "side", "func_addr", *cols).collect()))
+    assert sort(shown, "block_addr", "signature") == sort(presentation.signatures(tables), "block_addr", "signature")
+    units, parts = sort(features.unit_products(tables), "spp", "pseudo_primes", "pseudo_hash"), sort(features.block_products(tables), "block_addr", "spp")
+    for most in (features.BROADCAST_ROWS, 0):  # a small dictionary is looked up in the row, a large one is joined
+        features.BROADCAST_ROWS, kept = most, features.BROADCAST_ROWS
+        try:
+            assert sort(features.unit_products(rows), "spp", "pseudo_primes", "pseudo_hash") == units
+            assert sort(features.block_products(rows), "block_addr", "spp") == parts
+        finally:
+            features.BROADCAST_ROWS = kept
