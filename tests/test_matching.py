@@ -231,3 +231,17 @@ def test_block_tokens_are_counted_and_shown_inside_their_row(spark, tmp_path):
             assert sort(features.block_products(rows), "block_addr", "spp") == parts
         finally:
             features.BROADCAST_ROWS = kept
+
+
+def test_lines_of_equal_blocks_are_not_dealt_out(spark, tmp_path):
+    texts = ["one two. 3\nfour a@b 12\nfour a@b 12", "x 1\nx 2", "same"]
+    spark.createDataFrame([(i + 2, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows, tables = corpora.document_corpus(spark, str(tmp_path)), corpora.document_corpus(spark, str(tmp_path))
+    tables.lines = None
+    shown = blocks.shown_lines(rows)
+    assert "hashpartitioning" not in shown._jdf.queryExecution().executedPlan().toString()
+    sort = lambda df: sorted(map(str, df.collect()))
+    assert sort(shown.where("size(lines) > 0")) == sort(blocks.shown_lines(tables))
+    pairs = spark.createDataFrame([("en", 4, 4, 1, 1, "changed"), ("en", 4, 4, 1, 2, "identical"), ("en", 5, 5, 1, None, "removed")], blocks.BLOCK_MATCHES)
+    for c in (rows, tables):
+        assert [tuple(r)[3:] for r in blocks.line_changes(pairs, blocks.shown_lines(c)).collect()] == [(1, 1, 1, "1", "2")]  # the right side has the lines in reverse
