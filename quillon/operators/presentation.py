@@ -41,10 +41,10 @@ def steps(placed: DataFrame) -> DataFrame:
     rows = in_ranges(placed, "diff_id", "pos").drop("row")
     change = F.when(F.col("status") != "identical", F.col("pos"))
     ends = rows.groupBy("diff_id", "part").agg(F.min(change).alias("first"), F.max(change).alias("last"))  # a row for each range and diff
-    w = Window.partitionBy("diff_id").orderBy("part")
-    carried = ends.select("diff_id", "part", F.min("first").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"), F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    w = Window.partitionBy("diff_id", "part").orderBy("pos")
-    inside = rows.withColumns({"next_change": F.min(change).over(w.rowsBetween(1, Window.unboundedFollowing)), "previous_change": F.max(change).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    # What follows is what precedes in falling order: a frame that grows costs a step for a row, one that shrinks is read anew for each.
+    over = lambda *by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("diff_id", "part", F.min("first").over(over("diff_id", order=F.desc("part"))).alias("after"), F.max("last").over(over("diff_id", order=F.asc("part"))).alias("before"))
+    inside = rows.withColumns({"next_change": F.min(change).over(over("diff_id", "part", order=F.desc("pos"))), "previous_change": F.max(change).over(over("diff_id", "part", order=F.asc("pos")))})
     joined = inside.join(small(saved(carried, "carried")), ["diff_id", "part"])
     return joined.withColumns({"next_change": F.coalesce("next_change", "after"), "previous_change": F.coalesce("previous_change", "before")}).drop("part", "after", "before")
 

@@ -245,3 +245,14 @@ def test_lines_of_equal_blocks_are_not_dealt_out(spark, tmp_path):
     pairs = spark.createDataFrame([("en", 4, 4, 1, 1, "changed"), ("en", 4, 4, 1, 2, "identical"), ("en", 5, 5, 1, None, "removed")], blocks.BLOCK_MATCHES)
     for c in (rows, tables):
         assert [tuple(r)[3:] for r in blocks.line_changes(pairs, blocks.shown_lines(c)).collect()] == [(1, 1, 1, "1", "2")]  # the right side has the lines in reverse
+
+
+def test_stepping_reads_no_range_anew_for_each_row(spark):
+    """A frame that shrinks (to the end of its range) is read anew for every row: quadratic in a range."""
+    rows = spark.range(60_000).select(F.lit("d").alias("diff_id"), (F.col("id") + 1).cast("int").alias("pos"), F.when(F.col("id") % 7 == 0, "added").otherwise("identical").alias("status"))
+    found = presentation.steps(rows)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().replace(" ", "").lower()
+    want = rows.select("pos", ((F.floor((F.col("pos") - 1) / 7) + 1) * 7 + 1).alias("next"), (F.floor((F.col("pos") - 2) / 7) * 7 + 1).alias("previous"))
+    met = found.join(want, "pos")
+    assert met.where(~F.col("next_change").eqNullSafe(F.when(F.col("next") <= 60_000, F.col("next")))).count() == 0
+    assert met.where(~F.col("previous_change").eqNullSafe(F.when(F.col("pos") > 1, F.col("previous")))).count() == 0
