@@ -256,3 +256,16 @@ def test_stepping_reads_no_range_anew_for_each_row(spark):
     met = found.join(want, "pos")
     assert met.where(~F.col("next_change").eqNullSafe(F.when(F.col("next") <= 60_000, F.col("next")))).count() == 0
     assert met.where(~F.col("previous_change").eqNullSafe(F.when(F.col("pos") > 1, F.col("previous")))).count() == 0
+
+
+def test_propagation_asks_only_keys_that_open_units_have(spark, monkeypatch):
+    """A chain of calls without names or products: each round has a table of neighbours a direction, and one step for the one key."""
+    made = []
+    kept = storage.saved
+    monkeypatch.setattr(storage, "saved", lambda df, name, *by: made.append(name) or kept(df, name, *by))
+    monkeypatch.setattr(propagation, "saved", lambda df, name, *by: made.append(name) or kept(df, name, *by))
+    u = units(spark, [unit(s, k, "", 1, 1, 1, 0, 0.0, 1) for s in "LR" for k in range(4)])
+    calls = spark.createDataFrame([("d", s, k, k + 1) for s in "LR" for k in range(3)], "diff_id string, side string, caller long, callee long")
+    got = propagation.propagate(spark.createDataFrame([("d", 0, 0, 1.0, "seed")], matching.MATCHES), u, calls)
+    assert {(r.left_addr, r.right_addr): round(r.confidence, 6) for r in got.collect()} == {(0, 0): 1.0, (1, 1): 0.7, (2, 2): 0.49, (3, 3): 0.343}
+    assert made.count("round") == made.count("beside") == 2 * 4 and len(made) < 30
