@@ -269,3 +269,18 @@ def test_propagation_asks_only_keys_that_open_units_have(spark, monkeypatch):
     got = propagation.propagate(spark.createDataFrame([("d", 0, 0, 1.0, "seed")], matching.MATCHES), u, calls)
     assert {(r.left_addr, r.right_addr): round(r.confidence, 6) for r in got.collect()} == {(0, 0): 1.0, (1, 1): 0.7, (2, 2): 0.49, (3, 3): 0.343}
     assert made.count("round") == made.count("beside") == 2 * 4 and len(made) < 30
+
+
+def test_trade_calls_are_dealt_out_by_their_number(spark, monkeypatch):
+    """The number of partitions follows the rows, not the session's setting, and no row is lost or repeated."""
+    monkeypatch.setattr(corpora, "TASK_ROWS", 100)
+    found = features.callees(corpora.trade_calls(spark, "/root/testdata/sf0.001"))
+    items, orders = (pd.read_parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders"))
+    assert found.rdd.getNumPartitions() >= 2 * len(items) // 100
+    rows = items.merge(orders, left_on="l_orderkey", right_on="o_orderkey")
+    want = set()
+    for key, part, supplier, customer in rows[["l_orderkey", "l_partkey", "l_suppkey", "o_custkey"]].itertuples(index=False):
+        side = "LR"[key % 2]
+        want |= {(side, customer + 1, part + corpora.PARTS), (side, part + corpora.PARTS, supplier + corpora.SUPPLIERS)}
+    got = [(r.side, r.caller, r.callee) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
