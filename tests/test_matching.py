@@ -284,3 +284,13 @@ def test_trade_calls_are_dealt_out_by_their_number(spark, monkeypatch):
         want |= {(side, customer + 1, part + corpora.PARTS), (side, part + corpora.PARTS, supplier + corpora.SUPPLIERS)}
     got = [(r.side, r.caller, r.callee) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_a_large_side_is_not_broadcast_by_the_size_of_its_files(spark, monkeypatch):
+    """Saved matches are a few bytes a row; what the driver would hold of them follows from their number."""
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 10)
+    u = storage.saved(units(spark, [unit(s, k, "", 1, 1, 1, 0, 0.0, 1) for s in "LR" for k in range(40)]), "units")
+    plan = lambda n: matching.open_units(u, storage.saved(spark.createDataFrame([("d", k, k, 1.0, "x") for k in range(n)], matching.MATCHES), "matches"))
+    large, few = plan(30), plan(3)
+    assert "BroadcastExchange" not in large._jdf.queryExecution().executedPlan().toString() and large.count() == 20
+    assert "BroadcastExchange" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 74
