@@ -294,3 +294,14 @@ def test_a_large_side_is_not_broadcast_by_the_size_of_its_files(spark, monkeypat
     large, few = plan(30), plan(3)
     assert "BroadcastExchange" not in large._jdf.queryExecution().executedPlan().toString() and large.count() == 20
     assert "BroadcastExchange" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 74
+
+
+def test_classes_meet_only_under_a_product_or_beside_one_without_a_tree(spark):
+    """All classes without constants met under one key, and a class had a key for each count of each way."""
+    rows = [unit(s, 2 * i + (s == "R") + 1, spp=1000 + i, pp=2000 + i) for i in range(150) for s in "LR"]
+    met, holds = fuzzy.meetings(fuzzy.vectors(units(spark, rows))[0])
+    assert met.count() == 2 * 150 and met.where(holds).count() == 150
+    rows += [unit("LR"[i % 2], 1000 + i, spp=1) for i in range(2)]
+    rows += [unit("LR"[i % 2], 2000 + i, spp=7 + i, pp=(None, 3)[i // 2], constants=[5]) for i in range(4)]
+    want = {(a[2], b[2]) for a in rows for b in rows if a[1] == "L" and b[1] == "R" and python_score(a, b) >= 0.75}
+    assert {(r.left_addr, r.right_addr) for r in fuzzy.scored(units(spark, rows)).collect()} == want and len(want) > 150
