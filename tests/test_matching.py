@@ -305,3 +305,18 @@ def test_classes_meet_only_under_a_product_or_beside_one_without_a_tree(spark):
     rows += [unit("LR"[i % 2], 2000 + i, spp=7 + i, pp=(None, 3)[i // 2], constants=[5]) for i in range(4)]
     want = {(a[2], b[2]) for a in rows for b in rows if a[1] == "L" and b[1] == "R" and python_score(a, b) >= 0.75}
     assert {(r.left_addr, r.right_addr) for r in fuzzy.scored(units(spark, rows)).collect()} == want and len(want) > 150
+
+
+def test_word_features_come_with_the_products_of_their_row(spark, tmp_path):
+    texts = ["12\r 3\u0085 #4\u2028\n5\r\r x\r", " \n \nMov. mOv, É. a@b 7@", ".\n..\n#1", "\n", "ΑΣ 1\t2 é. @", "9" * 20 + " " * 9]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts * 3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    packed, tables = (corpora.document_corpus(spark, str(tmp_path)) for _ in range(2))
+    tables.packed = None
+    rows = lambda df, cols: sorted((repr(tuple(round(v, 9) if isinstance(v, float) else v for v in (r[c] for c in cols))) for r in df.collect()))
+    a, b = features.unit_features(packed), features.unit_features(tables)
+    assert "Join" not in a._jdf.queryExecution().executedPlan().toString()
+    assert set(a.columns) == set(b.columns) and rows(a, sorted(a.columns)) == rows(b, sorted(a.columns))
+    some = ["addr", "calls", "instr_count", "norm_hash", "pseudo_hash", "side", "string_hashes"]
+    assert rows(features.unit_features(packed, only=frozenset(some[1:])), some) == rows(a, some)
+    whole = features.packed_products(packed.packed, mnemonic=lambda w: w)
+    assert rows(whole, ["func_addr", "side", "spp"]) == rows(features.unit_products(tables, mnemonic=lambda w: w).where("spp > 1 or pseudo_hash is not null"), ["func_addr", "side", "spp"])
