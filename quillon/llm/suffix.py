@@ -52,8 +52,10 @@ REACH = WIDTH - GRAM + 1
 PERIOD, COVER = 13, 4
 #: One suffix in so many, on average, begins a block of whole ties.
 BLOCK = 128
-#: Groups per shuffle partition; there is one bucket per shuffle partition.
+#: Groups per partition; there is one bucket per partition.
 GROUPS = 2
+#: Bytes of text in a partition, about: a task holds a group of half as many with some dozens of bytes for each.
+TASK_BYTES = 1 << 24
 #: Occurrences from which an anchor's suffixes are dealt one by one.
 HOT = 4096
 #: Suffixes of a bucket that are sorted at a time, about; places that are fingerprinted at a time.
@@ -578,9 +580,17 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "mark")), pa.array(raw, pa.binary()), batch.column("pk")], ["doc_id", "id", "mark", "raw", "pk"])
 
 
+def n_tasks(docs: DataFrame) -> int:
+    """Partitions by the bytes of the texts, whatever number the session shuffles into: fewer would hold more than a worker's
+    memory, and more would make rows that grow with their square."""
+    spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(min(n_partitions(spark), spark.sparkContext.defaultParallelism), -(-n_bytes // TASK_BYTES))
+
+
 def repeated_bytes(docs: DataFrame, *, keep_spans: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans: begin, end, begin, ... in bytes) of every row of docs."""
-    n = n_partitions(docs.sparkSession)
+    n = n_tasks(docs)
     number = F.col("doc_id").cast("long")
     src = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(LAST)).alias("id"), F.xxhash64("text").alias("mark"), "text")
     # Rows without an id are told apart by their place, so that copies of one text are dealt to many groups.

@@ -98,3 +98,13 @@ def test_odd_rows(odd, none):
     assert suffix.repeated_bytes(none).count() == 0
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix.repeated_bytes(odd).collect())
     assert got == [(0, 24, 0), (5, 24, 0), (5, 24, 0), (6, 0, 0)]
+
+
+def test_partitions_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    """They were the session's shuffle partitions, so few of those put any number of texts into one task."""
+    docs = spark.createDataFrame([(i, f"{i:04d}" * 100 + "the same passage in all of the texts, of over fifty bytes" * (i % 2)) for i in range(40)], "doc_id long, text string")
+    want = sorted(map(tuple, suffix.repeated_bytes(docs).collect()))
+    monkeypatch.setattr(suffix, "TASK_BYTES", 1000)
+    found = suffix.repeated_bytes(docs)
+    assert found.rdd.getNumPartitions() == -(-(40 * 400 + 20 * 57) // 1000)
+    assert sorted(map(tuple, found.collect())) == want and sum(r[2] for r in want) > 19 * 57
