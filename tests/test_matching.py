@@ -271,6 +271,26 @@ def test_propagation_asks_only_keys_that_open_units_have(spark, monkeypatch):
     assert made.count("round") == made.count("beside") == 2 * 4 and len(made) < 30
 
 
+def test_neighbours_lie_in_rows_of_units(spark, monkeypatch):
+    """A round looks a unit up, not each of its links; the neighbours of a hub are spread over several rows."""
+    tables, kept = {}, storage.saved
+
+    def noted(df, name, *by):
+        out = kept(df, name, *by)
+        tables.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(propagation, "CHUNK", 4, raising=False)
+    monkeypatch.setattr(propagation, "saved", noted)
+    u = units(spark, [unit(s, k, "", k + 1, 1, 1, 0, 0.0, 1) for s in "LR" for k in range(13)])
+    calls = spark.createDataFrame([("d", s, 0, k) for s in "LR" for k in range(1, 13)], "diff_id string, side string, caller long, callee long")
+    got = propagation.propagate(spark.createDataFrame([("d", 0, 0, 1.0, "seed")], matching.MATCHES), u, calls)
+    assert {(r.left_addr, r.right_addr): r.confidence for r in got.collect()} == {(k, k): 0.7 if k else 1.0 for k in range(13)}
+    rows = [(r.side, r.addr, len(r.down), len(r.up)) for r in tables["nodes"][0].collect()]
+    assert sum(x[2] for x in rows) == sum(x[3] for x in rows) == 24 and sorted(x[1] for x in rows if x[1]) == sorted([*range(1, 13)] * 2)
+    assert all(sum(1 for x in rows if x[:2] == (s, 0)) > 1 for s in "LR")
+
+
 def test_trade_calls_are_dealt_out_by_their_number(spark, monkeypatch):
     """The number of partitions follows the rows, not the session's setting, and no row is lost or repeated."""
     monkeypatch.setattr(corpora, "TASK_ROWS", 100)
