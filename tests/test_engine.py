@@ -273,6 +273,18 @@ def test_line_changes_of_the_whole_engine(spark, diff, monkeypatch):
     assert ("div", "sub") in {(r.left_line, r.right_line) for r in got}
 
 
+def test_line_changes_make_no_other_part_of_the_result(spark, diff, monkeypatch):
+    from quillon.plans import catalog
+
+    made, kept = [], engine.saved
+    monkeypatch.setattr(engine, "saved", lambda df, name, *by: made.append(name) or kept(df, name, *by))
+    monkeypatch.setattr(catalog.corpora, "document_corpus", lambda spark, sf_dir: corpus(spark, V1, V2))
+    got = catalog.QUERIES["instr_diff_full"](spark, "")
+    assert "units" in made and not {"result", "residual"} & set(made)
+    want = blocks.line_changes(diff.block_matches, blocks.shown_lines(corpus(spark, V1, V2)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_two_writers_and_a_killed_save(spark, diff, tmp_path, monkeypatch):
     from concurrent.futures import ThreadPoolExecutor
 
